@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 
@@ -11,6 +13,7 @@ import numpy as np
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WITH_SPACE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _WITHOUT_SPACE = re.compile(f"[^{_SPACE}]+")
+_SEPARATOR = "\x01"
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -19,33 +22,82 @@ class PieceEncoder:
 
     No pre-token of the supported tokenizers reaches across such a cut: byte-level BPE takes white space only at the
     start of a pre-token (keep_space), and BPE with word ends drops white space. So the joined ids are those of the
-    whole text. The memory holds at most max_pieces pieces of up to 48 characters and starts anew when it is full.
+    whole text. New pieces go to the tokenizer many at a time in one string, and its ids are dealt back to the pieces:
+    by the tokens' lengths in bytes for byte-level BPE, and by a separator otherwise. The memory holds at most
+    max_pieces pieces of up to 48 characters and starts anew when it is full.
     """
 
-    def __init__(self, path: str, keep_space: bool, dtype: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, keep_space: bool, dtype: str, max_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.keep_space = keep_space
         self.find = (_WITH_SPACE if keep_space else _WITHOUT_SPACE).findall
         self.dtype, self.max_pieces, self.known = dtype, max_pieces, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a byte is a character there
+        self.separator = np.array(self._ids(_SEPARATOR))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian integers of dtype."""
-        pieces = self.find(text)
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _dealt(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece, from one call of the tokenizer."""
+        if self.keep_space:
+            ids = np.array(self._ids("".join(pieces)), self.dtype)
+            ends = np.cumsum([len(p.encode()) for p in pieces])
+            reached = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if reached[-1] == ends[-1] and (reached[cuts - 1] == ends).all():
+                return [ids[i:j] for i, j in pairwise([0, *cuts.tolist()])]
+        elif len(self.separator) == 1 and not any(_SEPARATOR in p for p in pieces):
+            ids = np.array(self._ids(f" {_SEPARATOR} ".join(pieces)), self.dtype)
+            cuts = np.flatnonzero(ids == self.separator[0])
+            if len(cuts) == len(pieces) - 1:
+                return [ids[i + 1 : j] for i, j in pairwise([-1, *cuts.tolist(), len(ids)])]
+        return [np.array(self._ids(p), self.dtype) for p in pieces]
+
+    def _learn(self, new: list[str]) -> None:
+        at = 0
+        if self.keep_space:  # a piece at a text's start, or of white space alone, would merge with its neighbour
+            alone = [p for p in new if not p[0].isspace() or p[-1].isspace()]
+            found = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+            self.known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(alone, found, strict=True))
+            new = [p for p in new if p[0].isspace() and not p[-1].isspace()]
+        while at < len(new):
+            low, size = at, 0
+            while at < len(new) and size < 65_536:
+                size += len(new[at])
+                at += 1
+            some = new[low:at]
+            self.known.update((p, ids.tobytes()) for p, ids in zip(some, self._dealt(some), strict=True))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text (null: empty), as little-endian integers of dtype."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.find(text or ""))
+            size += len(text or "")
+            if size > 2_000_000:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, texts: list[list[str]]) -> list[bytes]:
         known = self.known
-        new = set(pieces).difference(known)
-        if not new:
-            return b"".join(map(known.__getitem__, pieces))
+        new = {p for pieces in texts for p in pieces if p not in known}
         if len(known) + len(new) > self.max_pieces:
             known.clear()
-            new = set(pieces)
-        short = list(new)
-        found = self.tokenizer.encode_batch_fast(short, add_special_tokens=False)
-        fresh = {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(short, found, strict=True)}
-        known.update((p, b) for p, b in fresh.items() if len(p) <= 48)
-        return b"".join([known[p] if p in known else fresh[p] for p in pieces])
+            new = {p for pieces in texts for p in pieces}
+        self._learn(list(new))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        for p in new:
+            if len(p) > 48:
+                del known[p]
+        return out
 
 
 def encoder(path: str, keep_space: bool, dtype: str) -> PieceEncoder:

@@ -67,7 +67,7 @@ def pack_documents(
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path, keep_space, "<u4").encode
+        encode_all = encoder(tokenizer_path, keep_space, "<u4").encode_all
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         group, total, rows = [], 0, []
@@ -89,8 +89,8 @@ def pack_documents(
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), encode_all(batch["text"]), strict=True):
+                ids += end
                 of, at = len(ids) // 4, 0
                 while of - at >= window:
                     piece = ids[4 * at : 4 * (at + window)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import media, packing, secrets, token_files
+from patchloom.llm import decontamination, language, media, packing, secrets, token_files
 from patchloom.llm.common import shared_dir, table, tokenizer_path
 
 
@@ -30,13 +30,22 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_token_files": op3_token_files, "op4_media": op4_media, "op7_secrets": op7_secrets}
+    own = (op1_packing, op3_token_files, op4_media, op6_language, op7_secrets, op8_decontamination)
+    return {query.__name__: query for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": decontamination.ORACLE_SQL}

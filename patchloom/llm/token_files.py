@@ -37,14 +37,14 @@ def write_token_files(
     """
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, width = encoder(tokenizer_path, keep_space, dtype).encode, np.dtype(dtype).itemsize
+        encode_all, width = encoder(tokenizer_path, keep_space, dtype).encode_all, np.dtype(dtype).itemsize
         end = end_id.to_bytes(width, "little")
         number = TaskContext.get().partitionId()
         ids, doc_ids, lengths = [], [], []
         for batch in batches:
             doc_ids.extend(NULL_ID if pd.isna(x) else int(x) for x in batch["doc_id"].astype("Int64"))
-            for text in batch["text"]:
-                found = encode(text or "") + end
+            for found in encode_all(batch["text"]):
+                found += end
                 ids.append(found)
                 lengths.append(len(found) // width)
         if not doc_ids:
