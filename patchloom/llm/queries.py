@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import decontamination, language, media, packing, secrets, token_files
+from patchloom.llm import decontamination, language, media, packing, quality, secrets, token_files
 from patchloom.llm.common import shared_dir, table, tokenizer_path
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json")).drop("ids")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
@@ -43,7 +47,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_token_files, op4_media, op6_language, op7_secrets, op8_decontamination)
+    own = (op1_packing, op2_quality, op3_token_files, op4_media, op6_language, op7_secrets, op8_decontamination)
     return {query.__name__: query for query in own}
 
 
