@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import decontamination, html_text, language, media, packing, quality, secrets, token_files
+from patchloom.llm import decontamination, html_text, language, media, near_dup, packing, quality, secrets, token_files
 from patchloom.llm.common import shared_dir, table, tokenizer_path
 
 
@@ -34,6 +34,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.duplicate_classes(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_quality, op3_token_files, op4_media, op6_language, op7_secrets, op8_decontamination, op10_html_text)
+    own = (op1_packing, op2_quality, op3_token_files, op4_media, op5_near_duplicates, op6_language, op7_secrets, op8_decontamination, op10_html_text)
     return {query.__name__: query for query in own}
 
 
