@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import decontamination, html_text, language, media, near_dup, packing, quality, secrets, token_files
+from patchloom.llm import decontamination, html_text, katz, language, media, near_dup, packing, quality, secrets, token_files
 from patchloom.llm.common import shared_dir, table, tokenizer_path
 
 
@@ -50,12 +50,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_quality, op3_token_files, op4_media, op5_near_duplicates, op6_language, op7_secrets, op8_decontamination, op10_html_text)
+    own = (op1_packing, op2_quality, op3_token_files, op4_media, op5_near_duplicates, op6_language, op7_secrets, op8_decontamination, op9_katz, op10_html_text)
     return {query.__name__: query for query in own}
 
 
