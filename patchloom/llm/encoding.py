@@ -27,7 +27,7 @@ class PieceEncoder:
     max_pieces pieces of up to 48 characters and starts anew when it is full.
     """
 
-    def __init__(self, path: str, keep_space: bool, dtype: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, keep_space: bool, dtype: str, max_pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,6 +39,8 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a byte is a character there
+        # A comma or full stop that ends a piece after a letter is a pre-token of its own.
+        self.stops = {c: np.array(self._ids(c), dtype).tobytes() for c in ",."}
         self.separator = np.array(self._ids(_SEPARATOR))
 
     def _ids(self, text: str) -> list[int]:
@@ -60,7 +62,13 @@ class PieceEncoder:
                 return [ids[i + 1 : j] for i, j in pairwise([-1, *cuts.tolist(), len(ids)])]
         return [np.array(self._ids(p), self.dtype) for p in pieces]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        stopped = [p for p in new if p[-1] in self.stops and len(p) > 1 and p[-2].isalpha()]
+        bodies = {p[:-1] for p in stopped}
+        self._learn_whole([*(p for p in bodies if p not in self.known), *(new.difference(stopped) - bodies)])
+        self.known.update((p, self.known[p[:-1]] + self.stops[p[-1]]) for p in stopped)
+
+    def _learn_whole(self, new: list[str]) -> None:
         at = 0
         if self.keep_space:  # a piece at a text's start, or of white space alone, would merge with its neighbour
             alone = [p for p in new if not p[0].isspace() or p[-1].isspace()]
@@ -92,11 +100,12 @@ class PieceEncoder:
         if len(known) + len(new) > self.max_pieces:
             known.clear()
             new = {p for pieces in texts for p in pieces}
-        self._learn(list(new))
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
         for p in new:
             if len(p) > 48:
-                del known[p]
+                known.pop(p, None)
+                known.pop(p[:-1], None)
         return out
 
 
