@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import file_system, shared_dir, write_file
+from patchloom.llm.common import file_system, shared_dir, write_file, written
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -46,7 +46,7 @@ def to_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each line starts with its filter, 0
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 2)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def from_png(stored: bytes) -> bytes:
@@ -68,52 +68,43 @@ def png_header(head: bytes) -> tuple[int, int, int, int]:
 
 
 def store_payloads(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Write each distinct payload of docs once, in tar shards below path; returns the index: digest, shard, offset, length.
+    """Write the payloads of docs in tar shards below path; returns the index, a row for each digest: digest, shard, offset, length.
 
-    Null and empty texts share the payload of 64 zero bytes; repeated texts are stored once; no rows give an empty
-    index. Each task first drops the repeats that it sees, so a payload that a third of all rows share reaches the
-    shuffle once per task.
+    Each task of the scan writes one shard, in which a payload stands once however many rows share it; nothing but the
+    index is shuffled. A payload that several shards hold has its least place in the index, and its other copies are
+    left unused. Null and empty texts share the payload of 64 zero bytes; no rows give an empty index.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            out = []
-            for payload in batch["payload"]:
-                digest = hashlib.sha256(payload).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    out.append((digest.hex(), to_png(payload)))
-            yield pd.DataFrame(out, columns=["digest", "media"])
-
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = f"{path}/shard-{TaskContext.get().partitionId():06d}.tar"
-        rows = []
+        rows: list[tuple[str, str, int, int]] = []
+        seen: set[bytes] = set()
 
         def members() -> Iterator[bytes]:
-            at, last = 0, None
+            at = 0
             for batch in batches:
-                for digest, media in zip(batch["digest"], batch["media"], strict=True):
-                    if digest == last:
+                for payload in batch["payload"]:
+                    digest = hashlib.sha256(payload).digest()
+                    if digest in seen:
                         continue
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    seen.add(digest)
+                    media = to_png(payload)
+                    info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(media)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     tail = b"\0" * (-len(media) % tarfile.BLOCKSIZE)
-                    rows.append((digest, name, at + len(head), len(media)))
-                    at, last = at + len(head) + len(media) + len(tail), digest
+                    rows.append((digest.hex(), name, at + len(head), len(media)))
+                    at += len(head) + len(media) + len(tail)
                     yield head + media + tail
             yield b"\0" * (2 * tarfile.BLOCKSIZE)
 
         write_file(name, members())
         yield pd.DataFrame(rows, columns=["digest", "shard", "offset", "length"])
 
-    payloads = docs.select(padded(F.col(text)).alias("payload"))
-    media = payloads.mapInPandas(encode, "digest string, media binary")
     # The index is written, not only planned: reading it again must not write the shards again.
-    index = f"{path}/index"
-    media.repartition("digest").sortWithinPartitions("digest").mapInPandas(shard, INDEX).write.parquet(index)
-    return docs.sparkSession.read.schema(INDEX).parquet(index)
+    made = written(docs.select(padded(F.col(text)).alias("payload")).mapInPandas(shard, INDEX), "media-index")
+    places = made.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"))
+    return places.select("digest", "p.shard", "p.offset", "p.length")
 
 
 def read_stored(index: DataFrame, read_payloads: bool) -> DataFrame:
