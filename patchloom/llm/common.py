@@ -60,6 +60,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def once(value: Column) -> Column:
+    """value as a generated column: computed once a row even where functions over arrays refer to it many times.
+
+    Without this, Catalyst may write the expression into the function and compute it for every element.
+    """
+    return F.explode(F.array(value))
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text modulo modulus; -1 for a null doc_id, which so belongs to no held-out fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import ascii_lower
+from patchloom.llm.common import ascii_lower, once
 
 #: What is not a word character, capital letters among the words' characters; text is cut at runs of these.
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -105,11 +105,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     spans = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("tie").alias("hit_tie")).agg(F.collect_set(F.struct("start", "size")).alias("hit_spans"))
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.xxhash64("text") == F.col("hit_tie")), "left")
     pattern = F.lit(f"^{_GAPS}|{_GAPS}?[^{_GAPS[1:-2]}]+|{_GAPS}$")
-    parts = F.regexp_extract_all("text", pattern, F.lit(0))
     lead = F.when(F.col("text").rlike(f"^{_GAPS}"), 1).otherwise(0)
-    kept = F.filter(parts, lambda p, i: ~F.exists("hit_spans", lambda s: (i - lead >= s["start"]) & (i - lead < s["start"] + s["size"])))
+    cut = joined.select("*", once(F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("parts"), lead.alias("lead"))).alias("cut_"))
+    place = lambda i: i - F.col("cut_.lead")
+    kept = F.filter("cut_.parts", lambda p, i: ~F.exists("hit_spans", lambda s: (place(i) >= s["start"]) & (place(i) < s["start"] + s["size"])))
     text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return cut.withColumn("text", text).select(*docs.columns)
 
 
 #: DuckDB SQL for contamination() on the tables documents and benchmark.

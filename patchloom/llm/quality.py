@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import crc_remainder, written
+from patchloom.llm.common import crc_remainder, once, written
 
 STATISTICS = (
     "words", "word_length", "distinct_words", "repeated_words", "symbols", "marks", "capitals", "digits", "repeated_lines",
@@ -31,7 +31,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     symbols and marks are shares of characters (symbols: not letters, digits, white space or common punctuation).
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_words", F.filter(F.split(value, r"\s+"), lambda w: w != "")).withColumn("_lines", F.split(value, "\n"))
+    words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
+    rows = docs.select(*docs.columns, once(F.struct(words.alias("w"), F.split(value, "\n").alias("l"))).alias("_cut")).withColumns({"_words": F.col("_cut.w"), "_lines": F.col("_cut.l")})
     n, chars = F.size("_words"), F.length(value)
 
     def share(part: Column, whole: Column) -> Column:
@@ -40,14 +41,15 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def characters(but: str) -> Column:
         return share(F.length(F.regexp_replace(value, but, "")), chars)
 
-    repeated = F.size(F.filter("_words", lambda w, i: (i > 0) & (w == F.get("_words", i - 1))))
+    after = F.arrays_zip(F.slice("_words", 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice("_words", 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+    repeated = F.size(F.filter(after, lambda p: p["a"] == p["b"]))
     return rows.withColumns({
         "words": F.log1p(n.cast("double")), "word_length": share(F.length(F.array_join("_words", "")), n),
         "distinct_words": share(F.size(F.array_distinct("_words")), n), "repeated_words": share(repeated, n),
         "symbols": characters(r"[\p{L}\p{N}\s.,;:'\"()?-]+"), "marks": characters(r"[\p{L}\p{N}\s]+"),
         "capitals": characters(r"[^\p{Lu}]+"), "digits": characters(r"[^0-9]+"),
         "repeated_lines": 1.0 - F.size(F.array_distinct("_lines")) / F.size("_lines"),
-    }).drop("_words", "_lines")
+    }).drop("_words", "_lines", "_cut")
 
 
 Rule = tuple[tuple[str, str, float], ...]
