@@ -66,11 +66,9 @@ def join_repo_path(root: Column, owner: Column, project: Column, version: Column
 def slice_function(text: Column, sline: Column, scol: Column, eline: Column, ecol: Column) -> Column:
     """Lines sline to eline (from 1), the first cut from scol and the last to ecol (from 0); one line is cut both ways."""
     lines = F.slice(F.split(text, "\n"), sline, F.greatest(eline - sline + 1, F.lit(0)))
-    n = F.size(lines)
-    cut = F.transform(lines, lambda line, i: F.when((i == 0) & (n == 1), line.substr(scol + 1, ecol - scol))
-                      .when(i == 0, line.substr(scol + 1, F.length(line)))
-                      .when(i == n - 1, line.substr(F.lit(1), ecol)).otherwise(line))
-    return F.array_join(cut, "\n")
+    n, first, last = F.size(lines), F.get(lines, 0), F.element_at(lines, -1)
+    more = F.concat(F.array(first.substr(scol + 1, F.length(first))), F.slice(lines, 2, F.greatest(n - 2, F.lit(0))), F.array(last.substr(F.lit(1), ecol)))
+    return F.when(n == 0, "").when(n == 1, first.substr(scol + 1, ecol - scol)).otherwise(F.array_join(more, "\n"))
 
 
 def label_to_int(label: Column, labels: dict[str, int] | None = None) -> Column:

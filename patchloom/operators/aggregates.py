@@ -88,11 +88,11 @@ def curve_points(df: DataFrame, label: str = "label", score: str = "score") -> D
     Rows are counted per score first, so only distinct scores reach the one window over all.
     """
     per = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    total = per.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
+    total = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     running = Window.orderBy(F.desc("score"))
     rows = per.withColumns({"TP": F.sum("p").over(running), "FP": F.sum("q").over(running)}).join(F.broadcast(total))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return rows.select("score", "TP", "FP", ratio("FP", "Q").alias("fpr"), ratio("TP", "P").alias("tpr"), (F.col("TP") / (F.col("TP") + F.col("FP"))).alias("precision"))
+    return rows.select("score", "TP", "FP", ratio("FP", "all_q").alias("fpr"), ratio("TP", "all_p").alias("tpr"), (F.col("TP") / (F.col("TP") + F.col("FP"))).alias("precision"))
 
 
 def area_under_curve(points: DataFrame) -> DataFrame:

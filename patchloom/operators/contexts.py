@@ -13,7 +13,7 @@ def context_terms(df: DataFrame, first_only: bool = True, key: str = "id") -> Da
     """kind (word, path) and term of contexts "word,path,word": of each row's first context, or of all."""
     contexts = F.slice("contexts", 1, 1) if first_only else F.col("contexts")
     parts = df.select(F.explode(contexts).alias("c")).select(F.split("c", ",").alias("p"))
-    kinds = F.array(F.struct(F.lit("word").alias("kind"), F.get("p", 0).alias("term")), F.struct(F.lit("path"), F.get("p", 1)), F.struct(F.lit("word"), F.get("p", 2)))
+    kinds = F.array(F.struct(F.lit("word").alias("kind"), F.get("p", 0).alias("term")), F.struct(F.lit("path").alias("kind"), F.get("p", 1).alias("term")), F.struct(F.lit("word").alias("kind"), F.get("p", 2).alias("term")))
     return parts.select(F.explode(kinds).alias("k")).select("k.kind", "k.term").filter("term is not null")
 
 
