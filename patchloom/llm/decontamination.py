@@ -104,7 +104,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     hits = window_hits(docs, benchmark, window, limit)
     spans = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("tie").alias("hit_tie")).agg(F.collect_set(F.struct("start", "size")).alias("hit_spans"))
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.xxhash64("text") == F.col("hit_tie")), "left")
-    pattern = F.lit(f"^{_GAPS}|{_GAPS}?[^{_GAPS[1:-2]}]+|{_GAPS}$")
+    pattern = F.lit(f"^{_GAPS}|(?:{_GAPS})?[^{_GAPS[1:-2]}]+|{_GAPS}$")
     lead = F.when(F.col("text").rlike(f"^{_GAPS}"), 1).otherwise(0)
     cut = joined.select("*", once(F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("parts"), lead.alias("lead"))).alias("cut_"))
     place = lambda i: i - F.col("cut_.lead")

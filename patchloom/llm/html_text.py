@@ -198,8 +198,8 @@ def low_branches(counts: DataFrame, least: float = 0.1, fewest: int = 8, decay:
     steps = F.col("depth") - F.size(F.split("node", ">"))
     weight = F.col("pages") * F.pow(F.lit(decay), steps) * F.when(F.col("kind") == 0, 1.0).otherwise(0.25)
     joint = above.groupBy("host", "node").agg((F.sum(weight * F.col("importance")) / F.sum(weight)).alias("importance"), F.max("pages").alias("seen"), F.max("m").alias("m"))
-    # Where even the whole body is alike, the pages are copies of one another and tell nothing about its parts.
-    differs = joint.filter(F.col("node").rlike(r"^html[^>]*>body[^>]*$|^body[^>]*$") & (F.col("importance") >= 0.3)).select("host").distinct()
+    # Where no text differs between the pages, they are copies of one another and tell nothing about their parts.
+    differs = own.filter((F.col("kind") == 0) & (F.col("importance") >= 0.5) & (F.col("pages") >= F.col("m") / 2)).select("host").distinct()
     named = F.element_at(F.split("node", ">"), -1).contains(".")
     inside = F.col("node").rlike(r"(^|>)(article|main)([.>]|$)")
     low = joint.join(differs, "host").filter((F.col("importance") < least) & (F.col("seen") >= fewest) & (~inside | named) & ~F.col("node").rlike(r"(^|>)(html|body)[^>]*$"))
