@@ -82,22 +82,31 @@ def confusion_metrics(df: DataFrame, label: str = "label", predicted: str = "pre
     })
 
 
-def curve_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row for each distinct score, highest first: cumulative TP and FP, fpr, tpr, precision.
+def curve_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 1000) -> DataFrame:
+    """One row for each distinct score: cumulative TP and FP from the highest on, fpr, tpr, precision, and fpr and tpr before it.
 
-    Rows are counted per score first, so only distinct scores reach the one window over all.
+    Rows are counted per score, and scores are dealt to buckets of equal width: running sums within a bucket are added to
+    those of the buckets above, so no window holds more than the buckets or one bucket's scores.
     """
-    per = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    total = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    running = Window.orderBy(F.desc("score"))
-    rows = per.withColumns({"TP": F.sum("p").over(running), "FP": F.sum("q").over(running)}).join(F.broadcast(total))
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return rows.select("score", "TP", "FP", ratio("FP", "all_q").alias("fpr"), ratio("TP", "all_p").alias("tpr"), (F.col("TP") / (F.col("TP") + F.col("FP"))).alias("precision"))
+    value = F.col(score).cast("double")
+    per = df.groupBy(value.alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    total = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    placed = per.join(F.broadcast(total)).withColumn("b", F.coalesce(F.floor((F.col("score") - F.col("lo")) / width * buckets), F.lit(0)))
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("b").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))
+    bases = sums.select("b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"base_{c}") for c in ("p_", "q_")])
+    within = Window.partitionBy("b").orderBy(F.desc("score"))
+    rows = placed.join(F.broadcast(bases), "b").withColumns({"TP": F.col("base_p_") + F.sum("p").over(within), "FP": F.col("base_q_") + F.sum("q").over(within)})
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    tp, fp = F.col("TP"), F.col("FP")
+    return rows.select(
+        "score", "TP", "FP", ratio(fp, "all_q").alias("fpr"), ratio(tp, "all_p").alias("tpr"), (tp / (tp + fp)).alias("precision"),
+        ratio(fp - F.col("q"), "all_q").alias("fpr_before"), ratio(tp - F.col("p"), "all_p").alias("tpr_before"),
+    )
 
 
 def area_under_curve(points: DataFrame) -> DataFrame:
     """roc_auc by trapezoids and average_precision by steps, from curve_points."""
-    order = Window.orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0.0))
-    steps = points.withColumns({"x": before("fpr"), "y": before("tpr")})
-    return steps.agg(F.sum((F.col("fpr") - F.col("x")) * (F.col("tpr") + F.col("y")) / 2).alias("roc_auc"), F.sum((F.col("tpr") - F.col("y")) * F.col("precision")).alias("average_precision"))
+    area = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2
+    return points.agg(F.sum(area).alias("roc_auc"), F.sum((F.col("tpr") - F.col("tpr_before")) * F.col("precision")).alias("average_precision"))

@@ -70,14 +70,20 @@ def sort_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*columns)
 
 
+def random_rows(df: DataFrame, n: int, seed: int, *key: str, last: bool = False) -> DataFrame:
+    """n random rows, those of the least (or the last) seeded order of key: a sort over all tasks and a limit."""
+    order = [seeded(seed, *key), *map(F.col, key)]
+    return df.orderBy(*[c.desc() if last else c for c in order]).limit(max(0, n))
+
+
 def drop_tag(df: DataFrame, tag: str, ratio: float, seed: int, key: str = "id") -> DataFrame:
     """Drop round(ratio * n) random rows of a tag, or all of them when ratio is 1 or more."""
     other = df.filter(~F.col("tag").eqNullSafe(tag))
     if ratio >= 1:
         return other
     own = df.filter(F.col("tag") == tag)
-    ranked = own.withColumns({"n_": F.count("*").over(Window.partitionBy("tag")), "r_": F.row_number().over(Window.partitionBy("tag").orderBy(seeded(seed, key), key))})
-    return other.unionByName(ranked.filter(F.col("r_") > F.round(F.col("n_") * ratio)).drop("n_", "r_"))
+    n, dropped = own.agg(F.count("*"), F.round(F.count("*") * ratio)).first()
+    return other.unionByName(random_rows(own, n - int(dropped), seed, key, last=True))
 
 
 def single_function_files(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patchloom.operators.aggregates import oversample_ratio
-from patchloom.operators.rows import keep_first, repeats, seeded, seeded_fraction
+from patchloom.operators.rows import keep_first, random_rows, repeats, seeded, seeded_fraction
 
 EIGHTY, SIXTY = (0.1, 0.1), (0.2, 0.2)  # shares of test and validation
 
@@ -59,21 +59,20 @@ def split_unique(df: DataFrame, seed: int, text: str = "text", key: str = "id")
     return split_random(keep_first(df, ["label", text], [key]), seed, key)
 
 
-def _cut(df: DataFrame, label: str, most: Column, counts: DataFrame, seed: int, key: str) -> DataFrame:
-    """At most so many random rows of a label; most is an expression over the one row of counts."""
-    own = df.filter(F.col("label") == label).withColumn("r_", F.row_number().over(Window.partitionBy("label").orderBy(seeded(seed, key), key)))
-    kept = own.join(F.broadcast(counts)).filter(F.col("r_") <= most).select(*df.columns)
-    return df.filter(F.col("label") != label).unionByName(kept)
+def _counts(df: DataFrame) -> tuple[int, int]:
+    """Numbers of unsafe and of all rows."""
+    return tuple(df.agg(F.count_if(F.col("label") == "unsafe"), F.count("*")).first())
 
 
-def _unsafe(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if(F.col("label") == "unsafe").alias("u_"), F.count("*").alias("all_"))
+def _cut(df: DataFrame, label: str, most: int, seed: int, key: str) -> DataFrame:
+    """At most so many random rows of a label, and all others."""
+    return df.filter(F.col("label") != label).unionByName(random_rows(df.filter(F.col("label") == label), most, seed, key))
 
 
 def split_one_to_one(df: DataFrame, seed: int, text: str = "text", key: str = "id") -> DataFrame:
     """Distinct rows, safe ones cut to the number of unsafe ones, 80/10/10."""
     first = keep_first(df, ["label", text], [key])
-    return split_random(_cut(first, "safe", F.col("u_"), _unsafe(first), seed, key), seed, key)
+    return split_random(_cut(first, "safe", _counts(first)[0], seed, key), seed, key)
 
 
 def _with_repeats(first: DataFrame, dup: DataFrame, text: str) -> DataFrame:
@@ -106,7 +105,7 @@ def split_undersample(df: DataFrame, seed: int, text: str = "text", key: str = "
     first = split_random(keep_first(df, ["label", text], [key]), seed, key)
     whole = _with_repeats(first, repeats(df, ["label", text], [key]), text)
     train = whole.filter(F.col("split") == "train")
-    return whole.filter(F.col("split") != "train").unionByName(_cut(train, "safe", 3 * F.col("u_"), _unsafe(train), seed, key))
+    return whole.filter(F.col("split") != "train").unionByName(_cut(train, "safe", 3 * _counts(train)[0], seed, key))
 
 
 def bag_counts(bags: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
@@ -140,13 +139,13 @@ def smote_bags(bags: DataFrame, seed: int, k: int = 5, key: str = "id", tokens:
     (null for new bags), label, tokens (sorted).
     """
     rows = bags.withColumn(tokens, F.array_sort(tokens))
-    sizes = rows.agg(F.count("*").alias("all_"), F.count_if(F.col("label") == "unsafe").alias("u_"))
-    safe = rows.filter(F.col("label") == "safe").withColumn("r_", F.row_number().over(Window.partitionBy("label").orderBy(seeded(seed, key), key)))
-    safe = safe.join(F.broadcast(sizes)).filter(F.col("r_") <= F.floor(F.col("all_") / 2)).select(key, "label", tokens)
+    ones, every = _counts(rows)
+    wanted = max(0, every // 2 - ones)
+    safe = random_rows(rows.filter(F.col("label") == "safe"), every // 2, seed, key).select(key, "label", tokens)
     unsafe = rows.filter(F.col("label") == "unsafe").select(key, "label", tokens)
     near = bag_cosine(unsafe, k, key, tokens).filter("similarity > 0").groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
-    wanted = F.greatest(F.floor(F.col("all_") / 2) - F.col("u_"), F.lit(0))
-    tries = near.join(F.broadcast(sizes)).withColumn("t", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(10 * wanted / F.greatest("u_", F.lit(1))).cast("int"), F.lit(1)) - 1)))
+    rounds = max(1, -(-10 * wanted // max(1, ones)))
+    tries = near.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     pick = F.floor(seeded_fraction(seed, "a", "t") * F.size("near")).cast("int")
     chosen = tries.select("a", "t", F.get("near", pick).alias("b"))
     counts = bag_counts(unsafe, key, tokens).select(key, "token", "n")
@@ -156,8 +155,7 @@ def smote_bags(bags: DataFrame, seed: int, k: int = 5, key: str = "id", tokens:
     made = mixed.withColumn("times", times).filter("times > 0").groupBy("a", "t").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("token", F.col("times"))))).alias(tokens))
     new = made.join(unsafe.select(tokens).distinct(), tokens, "left_anti")
     new = keep_first(new, [tokens], ["t", "a"])
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t", "a"))  # new bags alone, at most ten times those wanted
-    new = new.withColumn("r_", order).join(F.broadcast(sizes)).filter(F.col("r_") <= wanted)
+    new = new.orderBy("t", "a").limit(wanted)
     return safe.unionByName(unsafe).unionByName(new.select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit("unsafe").alias("label"), tokens))
 
 
@@ -175,10 +173,9 @@ def smote_vectors(df: DataFrame, seed: int, k: int = 5, key: str = "id", vector:
     Neighbours are the k nearest unsafe vectors by Euclidean distance among those of an equal sign pattern over a few
     fixed coordinates, so that no pair of all is made; a vector alone in its pattern makes no new one.
     """
-    sizes = df.agg(F.count("*").alias("all_"), F.count_if(F.col("label") == "unsafe").alias("u_"))
     rows = df.select(key, "label", vector)
-    safe = rows.filter(F.col("label") == "safe").withColumn("r_", F.row_number().over(Window.partitionBy("label").orderBy(seeded(seed, key), key)))
-    safe = safe.join(F.broadcast(sizes)).filter(F.col("r_") <= F.floor(F.col("all_") / 2)).select(key, "label", vector)
+    ones, every = _counts(rows)
+    safe = random_rows(rows.filter(F.col("label") == "safe"), every // 2, seed, key)
     unsafe = rows.filter(F.col("label") == "unsafe")
     signs = F.concat(*[F.when(F.get(vector, i) >= 0, "1").otherwise("0") for i in range(planes)])
     a = unsafe.select(F.col(key).alias("a"), F.col(vector).alias("x"), signs.alias("s"))
@@ -186,9 +183,7 @@ def smote_vectors(df: DataFrame, seed: int, k: int = 5, key: str = "id", vector:
     distance = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v.cast("double"))
     near = a.join(b, "s").filter("a <> b").withColumn("d", distance)
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k)
-    wanted = F.greatest(F.floor(F.col("all_") / 2) - F.col("u_"), F.lit(0))
     share = seeded_fraction(seed + 1, "a", "b")
     made = near.withColumn("z", F.zip_with("x", "y", lambda p, q: (p + (q - p) * share).cast("float")))
-    ranked = made.withColumn("r_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(seeded(seed, "a", "b"), "a", "b")))  # k times the unsafe rows
-    new = ranked.join(F.broadcast(sizes)).filter(F.col("r_") <= wanted)
+    new = random_rows(made, every // 2 - ones, seed, "a", "b")
     return safe.unionByName(unsafe).unionByName(new.select(F.lit(None).cast(df.schema[key].dataType).alias(key), F.lit("unsafe").alias("label"), F.col("z").alias(vector)))

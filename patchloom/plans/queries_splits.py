@@ -300,14 +300,14 @@ x AS (SELECT score, "TP", "FP", "FP" / "Q"::DOUBLE AS fpr, "TP" / "P"::DOUBLE AS
 @query(f"{_ROC} SELECT * FROM x")
 def roc_points(spark: SparkSession, d: str) -> DataFrame:
     """A15."""
-    return aggregates.curve_points(given(spark, d, _PREDICTED))
+    return aggregates.curve_points(given(spark, d, _PREDICTED)).drop("fpr_before", "tpr_before")
 
 
 @query(f"""{_ROC}, s AS (SELECT *, coalesce(lag(fpr) OVER (ORDER BY score DESC), 0) AS x0, coalesce(lag(tpr) OVER (ORDER BY score DESC), 0) AS y0 FROM x)
 SELECT round(sum((fpr - x0) * (tpr + y0) / 2), 9) AS roc_auc, round(sum((tpr - y0) * precision), 9) AS average_precision FROM s""")
 def roc_area(spark: SparkSession, d: str) -> DataFrame:
     """A15."""
-    return aggregates.area_under_curve(roc_points(spark, d)).select(F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
+    return aggregates.area_under_curve(aggregates.curve_points(given(spark, d, _PREDICTED))).select(F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
 
 
 def _negatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
