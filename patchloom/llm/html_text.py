@@ -18,6 +18,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,24 @@ _NO_TEXT_NAMES = {
 _MAIN = {"article", "main"}
 
 
+_MATTERS = re.compile("class|id|role|hidden|style", re.I)
+
+
+@lru_cache(maxsize=20_000)
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Of a start tag: its style (empty for a plain inline one), whether it is the main part, no text, or a header."""
+    names = {k.lower(): (v or "").strip("\"'") for k, v in _NAME.findall(attributes)} if attributes else {}
+    given = f"{names.get('class', '')} {names.get('id', '')}"
+    label = ".".join(sorted(given.lower().split()))
+    style = re.sub(r"\d+", "0", f"{tag}.{label}" if label else tag) if label or tag not in _INLINE else ""
+    words = set(re.findall("[a-z]+", f"{re.sub('(?<=[a-z])(?=[A-Z])', ' ', given)} {names.get('role', '')}".lower()))
+    against = (
+        tag in _NO_TEXT_TAGS or tag not in ("html", "body", "main", "article") and bool(words & _NO_TEXT_NAMES)
+        or "hidden" in names or names.get("aria-hidden", "") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
+    )
+    return style, tag in _MAIN or names.get("role") == "main", against, tag == "header" or "header" in words
+
+
 class Page:
     """blocks: (style path, text) in page order; styles: the child sequence of each style path; both from one pass."""
 
@@ -61,6 +80,7 @@ class Page:
         self.children: dict[tuple[str, ...], list[str]] = {}
         self._stack: list[tuple[str, str, bool, bool]] = []  # tag, style, main, stated to be no text
         self._path: tuple[str, ...] = ()
+        self._mains = self._againsts = 0  # open elements of either kind
         self._text: list[str] = []
         at, end = 0, len(source)
         while at < end:
@@ -91,8 +111,7 @@ class Page:
             text = " ".join(html.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                main = any(s[2] for s in self._stack)
-                self.blocks.append((self._path, text, main, not any(s[3] for s in self._stack)))
+                self.blocks.append((self._path, text, self._mains > 0, self._againsts == 0))
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE:
@@ -103,25 +122,24 @@ class Page:
             self._close({"p"}, only_if_open=True, within=True)
         if tag in _CLOSES_OWN:
             self._close(_CLOSES_OWN[tag], only_if_open=True, within=True)
-        names = {k.lower(): (v or "").strip("\"'") for k, v in _NAME.findall(attributes)} if attributes else {}
-        label = ".".join(sorted(f"{names.get('class', '')} {names.get('id', '')}".lower().split()))
-        style = re.sub(r"\d+", "0", f"{tag}.{label}" if label else tag)
-        main = tag in _MAIN or names.get("role") == "main"
-        words = set(re.findall("[a-z]+", f"{re.sub('(?<=[a-z])(?=[A-Z])', ' ', names.get('class', '') + ' ' + names.get('id', ''))} {names.get('role', '')}".lower()))
-        within = main or any(s[2] for s in self._stack)
-        against = (
-            tag in _NO_TEXT_TAGS or tag not in ("html", "body", "main", "article") and bool(words & _NO_TEXT_NAMES)
-            or (tag == "header" or "header" in words) and not within
-            or "hidden" in names or names.get("aria-hidden", "") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-        )
-        if tag not in _INLINE or label:
+        style, main, against, header = _kind(tag, attributes if attributes and _MATTERS.search(attributes) else "")
+        against = against or header and not (main or self._mains)
+        self._mains += main
+        self._againsts += against
+        if style:
             self.children.setdefault(self._path, []).append(style)
             self._path = (*self._path, style)
-        self._stack.append((tag, style if tag not in _INLINE or label else "", main, against))
+        self._stack.append((tag, style, main, against))
 
     def _pop(self) -> None:
         self._flush()
-        if self._stack.pop()[1]:
+        self._drop()
+
+    def _drop(self) -> None:
+        _, style, main, against = self._stack.pop()
+        self._mains -= main
+        self._againsts -= against
+        if style:
             self._path = self._path[:-1]
 
     def _close(self, tags: set[str], only_if_open: bool, within: bool = False) -> None:
@@ -132,8 +150,7 @@ class Page:
                 if any(s[0] not in _INLINE for s in self._stack[i:]):
                     self._flush()
                 while len(self._stack) > i:
-                    if self._stack.pop()[1]:
-                        self._path = self._path[:-1]
+                    self._drop()
                 return
             if within and tag in ("ul", "ol", "dl", "table", "tbody", "td", "th", "div", "article", "section", "body", "li", "form", "select"):
                 return
