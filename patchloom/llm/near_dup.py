@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import written
@@ -83,8 +83,13 @@ def node_of(shingles: np.ndarray) -> int:
     return int(_mixed(two[:1] * _P1 + two[1:] + np.uint64(len(shingles))).view(np.int64)[0])
 
 
+def row_of() -> Column:
+    """Hash of a row's doc_id and text: rows that repeat a doc_id with another text are told apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def signatures(docs: DataFrame, size: int, m: int, k: int) -> DataFrame:
-    """row (doc_id, or the text's hash where that is null), doc_id, n, node, a, b (the collections' sub-keys)."""
+    """row (as row_of), doc_id, n, node, a, b (the collections' sub-keys)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors, shifts = _parameters(m, k)
@@ -99,8 +104,7 @@ def signatures(docs: DataFrame, size: int, m: int, k: int) -> DataFrame:
                 b.append(keys[m:])
             yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "n": n, "node": node, "a": a, "b": b})
 
-    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_of().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(sign, "row long, doc_id long, n long, node long, a array<long>, b array<long>")
 
 
@@ -192,8 +196,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: i
             right = [node_of(s) == n for s, n in zip(own, batch["node"], strict=True)]
             yield pd.DataFrame({"node": batch["node"][right], "shingles": [s.astype("<u8").tobytes() for s, ok in zip(own, right, strict=True) if ok]})
 
-    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    texts = docs.select(row.alias("row"), "text").join(bounded(wanted), "row").dropDuplicates(["row", "node"])
+    texts = docs.select(row_of().alias("row"), "text").join(bounded(wanted), "row").dropDuplicates(["row", "node"])
     full = written(texts.select("node", "text").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     stars = pairs.withColumn("block", F.xxhash64("u", F.pmod(F.col("v"), F.lit(97)), F.lit(1)))
@@ -219,6 +222,15 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: i
     return links.union(more)
 
 
+def _labelled(docs: DataFrame, size: int, percent: int, m: int = SUB_KEYS, k: int = HASHES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows of docs, their distinct nodes that have words, and the component's label of each linked node."""
+    signed = written(signatures(docs, size, m, k), "signatures")
+    filled = signed.filter("n > 0")
+    nodes = written(filled.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
+    pairs = written(star_pairs(nodes), "pairs")
+    return signed, nodes, components(confirmed_links(docs, nodes, pairs, size, percent))
+
+
 def duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, m: int = SUB_KEYS, k: int = HASHES) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -228,11 +240,7 @@ def duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80
     a class of such rows alone has a null one, and none of them is kept unless it has no words. Repeated rows get equal
     results. No rows give none.
     """
-    signed = written(signatures(docs, shingle_words, m, k), "signatures")
-    filled = signed.filter("n > 0")
-    nodes = written(filled.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
-    pairs = written(star_pairs(nodes), "pairs")
-    labels = components(confirmed_links(docs, nodes, pairs, shingle_words, percent))
+    signed, nodes, labels = _labelled(docs, shingle_words, percent, m, k)
     grouped = labels.join(nodes.select("node", "doc"), "node")
     least = grouped.groupBy("label").agg(F.min("doc").alias("component"))
     linked = labels.join(least, "label").select("node", "component")
@@ -244,12 +252,19 @@ def duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id, all columns kept. Rows without words stay.
+    """docs with one row of each class, all columns kept: that of the smallest doc_id, a null one last, and then of the smallest hash.
 
-    Of rows that repeat a doc_id one stays; of a class without any doc_id, none does.
+    Rows are told apart by doc_id and text, so rows of other texts that repeat a doc_id, or have none, stay by their own
+    class. Rows without words stay.
     """
-    classes = written(duplicate_classes(docs, shingle_words, percent), "classes")
-    gone = written(classes.filter("not kept").select("doc_id").distinct(), "gone")
-    keep = docs.join(bounded(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeats = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return keep.dropDuplicates(["doc_id"]) if repeats else keep
+    signed, _, labels = _labelled(docs, shingle_words, percent)
+    own = signed.filter("n > 0").join(labels, "node", "left")
+    placed = written(own.select("row", "doc_id", F.coalesce("label", "node").alias("class")), "classes")
+    first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    gone = written(placed.join(first, "class").filter("row <> first.row").select("row").distinct(), "gone")
+    keep = docs.withColumn("row_", row_of()).join(bounded(gone.withColumnRenamed("row", "row_")), "row_", "left_anti")
+    again = written(placed.groupBy("row").count().filter("count > 1").select("row").join(gone, "row", "left_anti"), "repeats")
+    if again.limit(1).count():
+        again = bounded(again.withColumnRenamed("row", "row_"))
+        keep = keep.join(again, "row_", "left_anti").unionByName(keep.join(again, "row_", "left_semi").dropDuplicates(["row_"]))
+    return keep.select(*docs.columns)

@@ -282,6 +282,18 @@ def test_near_duplicates(spark, k):
     assert near_dup.duplicate_classes(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    rng = random.Random(1)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    docs = [(1, b), (2, a), (2, b), (3, a), (2, c), (None, a), (None, d), (None, d + " x"), (None, None), (None, "\n"), (4, None), (4, ""), (5, e), (5, e)]
+    kept = near_dup.drop_near_duplicates(frame(spark, docs))
+    key = lambda r: tuple((v is None, v) for v in r)
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=key)
+    one = next(x for x in found if x[0] is None and x[1] in (d, d + " x"))
+    assert found == sorted([(1, b), (2, a), (2, c), one, (None, None), (None, "\n"), (4, None), (4, ""), (5, e)], key=key)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200)]
     found = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
