@@ -6,10 +6,12 @@ of similarity 0.8 share no table with probability 8e-4, of 0.85 with 6e-5, and s
 probability below 1e-2.
 
 Nodes are distinct shingle sets, so exact copies never multiply. In each table bucket all members are paired with one
-leader, and these pairs are confirmed on the full sets (stars). Confirmed links join nodes to components. Members that
-resemble a leader but are linked to none stay in doubt: within each cluster of resemblance, all members outside its
-largest component are compared with all members, in blocks of bounded size. So the work within a group of copies grows
-with its size and with its strays, and no link between different sets that share a bucket is lost to the leaders.
+leader, and these pairs are confirmed on the full sets (stars). Members too far from their leader for their partners to
+be sure to resemble it choose a new leader among themselves, and those still left after STAR_ROUNDS are compared with one
+another. Confirmed links join nodes to components. Members that resemble a leader but are linked to none stay in doubt:
+within each cluster of resemblance, all members outside its largest component are compared with all members, in blocks of
+bounded size. So the work within a group of copies grows with its size and with its strays, and no link between different
+sets that share a bucket is lost to the leaders.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BROADCAST_ROWS = 1_000_000
 KEYS_A_TASK = 1_000_000
 #: Pairs of at least this similarity share a cluster in which strays are compared with all members.
 RESEMBLANCE = 0.5
+#: Leaders that a bucket's members choose one after another before those left are compared with one another.
+STAR_ROUNDS = 3
 _LOWER = bytes(range(256)).lower()
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,20 +117,25 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (u: leader, v) of nodes that share a table key; the leader is the bucket's smallest node.
+def _keys(nodes: DataFrame) -> DataFrame:
+    """node and each of its table keys."""
+    pair_keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * 1000 + j))))
+    return nodes.select("node", F.explode(pair_keys).alias("key"))
+
 
-    Nodes are dealt so that a task makes about KEYS_A_TASK keys, whose counts it can hold without spilling.
+def star_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (u: leader, v) of nodes that share a table key, and key, u of the buckets of three nodes or more.
+
+    The leader is the bucket's smallest node. Nodes are dealt so that a task makes about KEYS_A_TASK keys, whose counts it can hold without spilling.
     """
     tasks = -(-nodes.count() * SUB_KEYS * SUB_KEYS // KEYS_A_TASK)
     nodes = nodes.repartition(max(1, tasks), "node")
-    pair_keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * 1000 + j))))
-    keys = nodes.select("node", F.explode(pair_keys).alias("key"))
+    keys = _keys(nodes)
     buckets = written(keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("top"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     two = buckets.filter("size = 2").select("u", F.col("top").alias("v"))
-    more = bounded(written(buckets.filter("size > 2").select("key", "u"), "buckets-large"))
-    rest = keys.join(more, "key").select("u", F.col("node").alias("v")).filter("u <> v")
-    return two.union(rest).distinct()
+    more = written(buckets.filter("size > 2").select("key", "u"), "buckets-large")
+    rest = keys.join(bounded(more), "key").select("u", F.col("node").alias("v")).filter("u <> v")
+    return two.union(rest).distinct(), more
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,8 +195,55 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInPandas(compare, "u long, v long, shared long, joint long")
 
 
-def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) between nodes whose sets meet the similarity, found from the star pairs as the module describes."""
+def _stars(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (u: leader, v) that resemble, compared on the full sets."""
+    stars = pairs.withColumn("block", F.xxhash64("u", F.pmod(F.col("v"), F.lit(97)), F.lit(1)))
+    stars = stars.select("block", F.lit(1).alias("role"), F.col("v").alias("node")).union(stars.select("block", F.lit(0), "u").distinct())
+    return written(compared(stars.withColumn("comp", F.col("role").cast("long")).join(full, "node"), RESEMBLANCE), "stars")
+
+
+def _unsettled(members: DataFrame, star_links: DataFrame, percent: int) -> DataFrame:
+    """key, node of members (key, u: leader, node) that may link to one that doesn't resemble the leader, if a key has two or more.
+
+    Distances 1 - J are a metric: a partner at the similarity asked for is nearer than RESEMBLANCE to the leader when
+    the member is nearer than settled. Keys all of whose members resemble the leader are done, as these share a cluster,
+    and keys of an equal group give it once.
+    """
+    settled = RESEMBLANCE + 1 - percent / 100
+    known = star_links.select("u", F.col("v").alias("node"), (F.col("shared") >= F.lit(settled) * F.col("joint")).alias("near"))
+    left = written(members.join(known, ["u", "node"], "left").filter("near IS NULL OR NOT near").select("key", "node", F.col("near").isNull().alias("fallen")), "unsettled")
+    mixed = F.xxhash64("node", F.lit(7))
+    groups = left.groupBy("key").agg(F.count("*").alias("n"), F.max("fallen").alias("fallen"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(8))).alias("y"))
+    once = groups.filter("n > 1 and fallen").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    return written(left.select("key", "node").join(once, "key"), "unsettled-groups")
+
+
+def rest_links(nodes: DataFrame, pairs: DataFrame, large: DataFrame, star_links: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Further star_links of members that chose new leaders, and compared pairs of those left at last that meet the similarity."""
+    settled = RESEMBLANCE + 1 - percent / 100
+    near = star_links.filter(F.col("shared") >= F.lit(settled) * F.col("joint")).select("u", "v")
+    far = pairs.join(near, ["u", "v"], "left_anti")
+    # Keys are made again for the few nodes that are far from a leader, instead of being kept for all.
+    known = written(far.select(F.col("v").alias("node")).distinct().join(nodes.select("node", "a", "b"), "node"), "far")
+    left = _unsettled(_keys(known).join(bounded(large), "key").filter("u <> node"), star_links, percent)
+    found = star_links
+    for _ in range(STAR_ROUNDS - 1):
+        if not left.limit(1).count():
+            break
+        members = left.join(left.groupBy("key").agg(F.min("node").alias("u")), "key").filter("u <> node").select("key", "u", "node")
+        more = _stars(members.select("u", F.col("node").alias("v")).distinct(), full)
+        found = found.union(more)
+        left = _unsettled(members, more, percent)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    own = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks)
+    dealt = lambda role, name: left.select(F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), name)).alias("block"), F.lit(role).alias("role"), "node", F.col("node").alias("comp"))
+    members, queries = dealt(1, lambda q: F.xxhash64("key", own(2), q)), dealt(0, lambda b: F.xxhash64("key", b, own(3)))
+    enough = F.col("shared") * 100 >= F.col("joint") * percent
+    return found, written(compared(members.union(queries).join(full, "node"), percent / 100).filter(enough).select("u", "v"), "links")
+
+
+def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between nodes whose sets meet the similarity, found from star_pairs as the module describes."""
     wanted = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "row"), "node"), "candidates")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,11 +255,9 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: i
     texts = docs.select(row_of().alias("row"), "text").join(bounded(wanted), "row").dropDuplicates(["row", "node"])
     full = written(texts.select("node", "text").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
-    stars = pairs.withColumn("block", F.xxhash64("u", F.pmod(F.col("v"), F.lit(97)), F.lit(1)))
-    stars = stars.select("block", F.lit(1).alias("role"), F.col("v").alias("node")).union(stars.select("block", F.lit(0), "u").distinct())
-    star_links = written(compared(stars.withColumn("comp", F.col("role").cast("long")).join(full, "node"), RESEMBLANCE), "stars")
+    star_links, rest = rest_links(nodes, pairs, large, _stars(pairs, full), full, percent)
     enough = F.col("shared") * 100 >= F.col("joint") * percent
-    links = star_links.filter(enough).select("u", "v")
+    links = star_links.filter(enough).select("u", "v").union(rest)
 
     comps = components(links)
     clusters = components(star_links)
@@ -227,8 +281,8 @@ def _labelled(docs: DataFrame, size: int, percent: int, m: int = SUB_KEYS, k: in
     signed = written(signatures(docs, size, m, k), "signatures")
     filled = signed.filter("n > 0")
     nodes = written(filled.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
-    pairs = written(star_pairs(nodes), "pairs")
-    return signed, nodes, components(confirmed_links(docs, nodes, pairs, size, percent))
+    pairs, large = star_pairs(nodes)
+    return signed, nodes, components(confirmed_links(docs, nodes, written(pairs, "pairs"), large, size, percent))
 
 
 def duplicate_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, m: int = SUB_KEYS, k: int = HASHES) -> DataFrame:

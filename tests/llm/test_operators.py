@@ -294,6 +294,29 @@ def test_near_duplicates_are_dropped_by_row(spark):
     assert found == sorted([(1, b), (2, a), (2, c), one, (None, None), (None, "\n"), (4, None), (4, ""), (5, e)], key=key)
 
 
+def test_members_far_from_the_leader_are_linked(spark):
+    rng = random.Random(4)
+    sets = {}
+    shared = set(rng.sample(range(10**6), 60))
+    fresh = lambda n: set(rng.sample(range(10**6, 10**9), n))
+    sets[1] = shared | fresh(90)  # leads every bucket; far from all others
+    sets[2] = shared | fresh(4)
+    sets[3] = shared | fresh(5)
+    sets[4] = shared | fresh(80)
+    core = set(rng.sample(sorted(sets[1]), 118)) | fresh(25)  # near enough to the leader to stay by it, if a partner did not fall out
+    sets[5], sets[6] = core, (core - set(rng.sample(sorted(core & sets[1]), 12))) | fresh(8)
+    jaccard = lambda u, v: len(sets[u] & sets[v]) / len(sets[u] | sets[v])
+    full = spark.createDataFrame([(n, np.array(sorted(s), "<u8").tobytes()) for n, s in sets.items()], "node long, shingles binary")
+    keys = np.zeros(near_dup.SUB_KEYS, np.int64).tolist()
+    nodes = spark.createDataFrame([(n, keys, keys) for n in sets], "node long, a array<long>, b array<long>")
+    pairs, large = near_dup.star_pairs(nodes)
+    stars = near_dup._stars(pairs, full)
+    assert {(r.u, r.v) for r in pairs.collect()} == {(1, n) for n in range(2, 7)} and jaccard(1, 2) < 0.5 and jaccard(2, 3) >= 0.8
+    star_links, rest = near_dup.rest_links(nodes, pairs, large, stars, full, 80)
+    found = {(r.u, r.v) for r in star_links.filter("shared * 100 >= joint * 80").select("u", "v").union(rest).collect()}
+    assert {(2, 3), (5, 6)} <= {tuple(sorted(p)) for p in found} and all(jaccard(*p) >= 0.8 for p in found)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200)]
     found = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
