@@ -1,7 +1,7 @@
 """Scores of texts by a word bigram model with Katz backoff, learnt from the corpus itself.
 
-Bigram counts are discounted by Good-Turing estimates (counts above 5 are kept as they are; bigrams seen once give all
-their mass to backing off), and a history's backoff weight makes its distribution sum to one exactly over the words
+Bigram counts are discounted by Good-Turing estimates (counts above 5 are kept as they are; bigrams seen less than least
+times give all their mass to backing off, and with least 1 none does), and a history's backoff weight makes its distribution sum to one exactly over the words
 known and one unknown word. Unigrams are discounted in the same way, their left-over mass being the unknown word's.
 
 The corpus is read in chunks, the consecutive rows of a Spark partition. A chunk's distinct bigrams and their counts are
@@ -154,7 +154,7 @@ class Unigrams:
 
 
 def bigram_probability(c: np.ndarray, of_history: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Of bigrams kept, those seen twice or more."""
+    """Of bigrams kept."""
     return np.where(c <= LARGEST_DISCOUNTED, d[np.minimum(c, LARGEST_DISCOUNTED)], 1.0) * c / np.maximum(of_history, 1)
 
 
@@ -179,8 +179,8 @@ def _ask(docs: DataFrame, buckets: int, size: int) -> DataFrame:
 _TABLE = "kind string, bucket int, chunk long, one binary, two binary, three binary, digest string, documents long, tokens long, types array<long>, unigram_types array<long>"
 
 
-def _add_up(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket's tables: words (history, count), bigrams seen twice or more, each chunk's places in them, statistics."""
+def _add_up(group: pd.DataFrame, least: int) -> pd.DataFrame:
+    """One bucket's tables: words (history, count), bigrams seen least times or more, each chunk's places in them, statistics."""
     bucket = int(group["bucket"].iloc[0])
     group = group.sort_values("chunk")
     histories = [np.frombuffer(x, "<u8") for x in group["history"]]
@@ -196,9 +196,9 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     type_of[order] = np.cumsum(new) - 1
     total = np.bincount(type_of, n, new.sum()).astype(np.int64)
     count = np.bincount(of_entry, n, len(words)).astype(np.int64)
-    answer = np.where(total >= 2, total, 0)[type_of]
+    answer = np.where(total >= least, total, 0)[type_of]
     firsts = order[new]
-    keep = total >= 2
+    keep = total >= max(least, 1)
     known = words != START
     k = LARGEST_DISCOUNTED + 2
 
@@ -218,19 +218,20 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _TABLE.split(", ")])
 
 
-def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: int = CHUNK_TOKENS, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: int = CHUNK_TOKENS, buckets: int | None = None, least: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id) modulo folds is fold are held out of training. docs needs doc_id and text, as a scan
     of files, a table or a checkpoint; other columns are ignored. A null or empty text is the end token alone; a null
     doc_id is in training; repeated rows count each time. Without training documents every word is the unknown one, so
     scores are 0 for the model. buckets defaults to the session's shuffle partitions; a bucket must fit in a task.
+    least is the count from which a bigram is in the model: 1 keeps all of Katz's, 2 leaves out those seen once.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder(F.col("doc_id"), folds) != fold).alias("train"))
     path = shared_dir(spark, "katz")
-    _ask(rows, buckets, chunk_tokens).groupBy("bucket").applyInPandas(_add_up, _TABLE).write.partitionBy("kind").parquet(f"{path}/model")
+    _ask(rows, buckets, chunk_tokens).groupBy("bucket").applyInPandas(lambda group: _add_up(group, least), _TABLE).write.partitionBy("kind").parquet(f"{path}/model")
     model = spark.read.schema(_TABLE.removeprefix("kind string, ") + ", kind string").parquet(f"{path}/model")
 
     # Sums over the buckets' statistics: one row for each bucket of a few numbers.

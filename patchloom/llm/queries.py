@@ -51,7 +51,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_texts(table(spark, sf_dir, "documents"))
+    return katz.score_texts(table(spark, sf_dir, "documents"), least=1)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,6 +362,33 @@ def test_katz_matches_brute_force(spark):
     assert katz.score_texts(data.limit(0)).count() == 0
 
 
+def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
+    from patchloom.llm.queries import op9_katz
+
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{min(rng.randint(0, 40), rng.randint(0, 40))}" for _ in range(12))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = [(i, [*t.split(), None]) for i, t in docs]
+    train = [t for i, t in tokens if zlib.crc32(str(i).encode()) % 10 != 0]
+    c = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
+    history = collections.Counter()
+    for (h, _), n in pairs.items():
+        history[h] += n
+    of = lambda x: np.bincount([min(n, 7) for n in x.values()], minlength=8)[:7]
+    d, uni = katz.discounts(of(pairs)), katz.Unigrams(sum(c.values()), of(c))
+    p_of = lambda w: float(uni.probability(np.array([c[w]]))[0])
+    kept = {k: (d[n] if n <= 5 else 1) * n / history[k[0]] for k, n in pairs.items()}
+    seen, lower = collections.Counter(), collections.Counter()
+    for (h, w), p in kept.items():
+        seen[h] += p
+        lower[h] += p_of(w)
+    alpha = {h: max(1 - seen[h], 1e-12) / max(1 - lower[h], 1e-12) for h in history}
+    want = {i: sum(math.log10(kept.get((h, w)) or alpha.get(h, 1) * p_of(w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True)) for i, t in tokens}
+    assert 1 in pairs.values()
+    assert {r.doc_id: round(r.score, 3) for r in op9_katz(spark, str(tmp_path)).collect()} == {i: round(x, 3) for i, x in want.items()}
+
+
 def test_discounts():
     turing = katz.discounts(np.array([0, 1000, 400, 220, 140, 100, 75]))
     assert turing[0] == 1 and (0 < turing[1:]).all() and (turing[1:] < 1).all()
