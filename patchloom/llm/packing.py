@@ -57,17 +57,18 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, keep_space: bool = True,
-    group_windows: int = 256, fill: int = 1020, max_piece: int = 256,
+    group_windows: int = 256, fill: int = 1020, max_piece: int = 256, special_as_text: bool = False,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary).
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty, and an empty text gives the
     end id alone; a null doc_id is kept as null; repeated rows are packed each time. No rows give no rows.
-    max_piece bounds the pieces that differencing deals; fill is the mean load of a full group's windows.
+    A special token's string in a text is that token, or ordinary text with special_as_text. max_piece bounds the pieces
+    that differencing deals; fill is the mean load of a full group's windows.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_all = encoder(tokenizer_path, keep_space, "<u4").encode_all
+        encode_all = encoder(tokenizer_path, keep_space, "<u4", special_as_text).encode_all
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         group, total, rows = [], 0, []

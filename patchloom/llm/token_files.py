@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -27,32 +27,37 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int, keep_space: bool = False, dtype: str = "<u2",
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int, keep_space: bool = False, dtype: str = "<u2", special_as_text: bool = False,
 ) -> None:
     """Encode every text and write shards and `manifest.json` below path, in ascending doc_id order (nulls first).
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty, and an empty text gives the
     end id alone. Rows of one doc_id follow each other by the hash of their text. No rows give an empty manifest.
-    dtype must hold the vocabulary: `<u2` up to 65,536 ids, else `<u4`.
+    dtype must hold the vocabulary: `<u2` up to 65,536 ids, else `<u4`. A special token's string in a text is that token,
+    or ordinary text with special_as_text. A task holds no ids but those of the texts it is encoding.
     """
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_all, width = encoder(tokenizer_path, keep_space, dtype).encode_all, np.dtype(dtype).itemsize
+        encode_all, width = encoder(tokenizer_path, keep_space, dtype, special_as_text).encode_all, np.dtype(dtype).itemsize
         end = end_id.to_bytes(width, "little")
         number = TaskContext.get().partitionId()
-        ids, doc_ids, lengths = [], [], []
-        for batch in batches:
-            doc_ids.extend(NULL_ID if pd.isna(x) else int(x) for x in batch["doc_id"].astype("Int64"))
-            for found in encode_all(batch["text"]):
-                found += end
-                ids.append(found)
-                lengths.append(len(found) // width)
-        if not doc_ids:
+        doc_ids, lengths = [], []
+
+        def encoded() -> Iterator[bytes]:
+            for batch in batches:
+                doc_ids.extend(NULL_ID if pd.isna(x) else int(x) for x in batch["doc_id"].astype("Int64"))
+                for found in encode_all(batch["text"]):
+                    lengths.append(len(found) // width + 1)
+                    yield found + end
+
+        parts = encoded()
+        first = next(parts, None)
+        if first is None:
             return
         name = f"{path}/{number:06d}"
+        write_file(f"{name}.bin", chain([first], parts))
         offsets = np.zeros(len(lengths) + 1, "<i8")
         np.cumsum(lengths, out=offsets[1:])
-        write_file(f"{name}.bin", ids)
         write_file(f"{name}.idx", [offsets.tobytes()])
         write_file(f"{name}.doc", [np.array(doc_ids, "<i8").tobytes()])
         yield pd.DataFrame({"shard": [number], "documents": [len(doc_ids)], "tokens": [int(offsets[-1])]})

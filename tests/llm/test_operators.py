@@ -26,14 +26,13 @@ def frame(spark, rows):
 
 
 LONG = " ".join(f"word{i % 977} and,more" for i in range(30_000))
-EDGES = [(1, "Hello world, it's a test. The end."), (2, None), (3, ""), (4, LONG), (5, "  \n\t "), (6, "naïve Ünïcode  双 <|endoftext|> x\x01y"), (7, "same"), (7, "same"), (None, "no id"), (9, "tab\tand  two　spaces ")]
+EDGES = [(1, "Hello world, it's a test. The end."), (2, None), (3, ""), (4, LONG), (5, "  \n\t "), (6, "naïve Ünïcode  双 <|endoftext|> x\x01y İstanbul ΣΑΣ"), (7, "same"), (7, "same"), (None, "no id"), (9, "tab\tand  two　spaces ")]
 
 
 def test_packing_edges(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTE)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack_documents(frame(spark, EDGES), BYTE).collect()
     pieces = collections.defaultdict(list)
     for r in rows:
@@ -75,7 +74,6 @@ def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD)
-    tokenizer.encode_special_tokens = True
     path = shared_dir(spark, "test-tokens")
     token_files.write_token_files(frame(spark, EDGES), path, WORD, end_id=1)
     rows = sorted(token_files.read_token_files(spark, path, with_ids=True).collect(), key=lambda r: r.start)
