@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame operations alone: no Python runs on the executors.
 
 Words are runs of digits, letters and non-ASCII characters in ASCII lower case. A window is 10 consecutive words of a
-benchmark item, or the whole of a shorter one. Every window has an anchor, its longest word (the last in order among
-equally long ones), so the windows become a hash table by anchor, which is broadcast while its size is below a bound and
-joined by shuffling otherwise. Document words are looked up in it by position, and each hit is verified by comparing
-the whole window. Hits are few, and only they are shuffled.
+benchmark item, or the whole of a shorter one. The distinct windows form a hash table by a 64-bit hash of their words,
+which is broadcast while its size is below a bound. One scan of the documents hashes the words from each place on, looks
+the hash up, and verifies each find by comparing the words; what leaves the scan is one row for each document, and one
+for each hit. Beyond the bound only hashes and places are shuffled, and the few documents with finds are read again.
 """
 
 from __future__ import annotations
@@ -21,49 +21,85 @@ WINDOW = 10
 BROADCAST_BYTES = 32 << 20
 
 
+def _cut(text: Column) -> Column:
+    """Array of text's words in ASCII lower case; the first and the last are empty where text begins or ends with a gap."""
+    lower = lambda w: F.when(F.lower(w) == w, w).otherwise(ascii_lower(w))  # noqa: E731  most words have no capital letter
+    return F.transform(F.split(F.coalesce(text, F.lit("")), _GAPS), lower)
+
+
 def words(text: Column) -> Column:
-    """Array of text's words, empty for a null text."""
-    cut = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _GAPS, " ")), " ")
-    return F.when(F.size(cut) > 1, cut).otherwise(F.filter(cut, lambda w: w != ""))
+    """Array of text's words in ASCII lower case, empty for a null text."""
+    return F.filter(_cut(text), lambda w: w != "")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows with the items they occur in: anchor, at (the anchor's place), window (its words), item_ids."""
-    items = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    """Distinct windows with the items they occur in: window (its words), size, key (hash of the words), item_ids."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     each = items.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s") + 1, window).alias("window"))
-    ranked = F.transform("window", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i")))
-    best = F.array_max(ranked)
     distinct = each.groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))
-    return distinct.select(best["w"].alias("anchor"), best["i"].alias("at"), "window", "item_ids")
+    return distinct.select("window", F.size("window").alias("size"), F.xxhash64("window").alias("key"), "item_ids")
+
 
+def _places(docs: DataFrame, sizes: list[int], *others: str) -> DataFrame:
+    """A row for each word of docs and each size: doc_id, tie (hash of the text), w, others, n_words, i, size, key.
 
-def _bounded(windows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """windows, and whether their bytes are proven to be within limit; the sum of lengths is one small job."""
+    key hashes the size words from place i on, null where so many don't follow. A text without words has one row.
+    """
+    cut = docs.select("doc_id", F.xxhash64("text").alias("tie"), _cut(F.col("text")).alias("w"), *others)
+    blank = lambda w: (w == "").cast("int")
+    n = F.size("w") - blank(F.element_at("w", 1)) - F.when(F.size("w") > 1, blank(F.element_at("w", -1))).otherwise(0)
+    placed = cut.select("doc_id", "tie", "w", *others, n.cast("long").alias("n_words"), F.posexplode("w").alias("i", "word"))
+    # An array's hash is its elements' hash one after another, as that of as many columns.
+    key = lambda s: F.when(F.col("i") + s <= F.size("w"), F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(s)]))
+    columns = [F.col(c) for c in ("doc_id", "tie", "w", *others, "n_words", "i")]
+    if len(sizes) == 1:
+        return placed.select(*columns, F.lit(sizes[0]).alias("size"), key(sizes[0]).alias("key"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), key(s).alias("key")) for s in sizes]))
+    return placed.select(*columns, each.alias("x")).select(*columns, "x.size", "x.key")
+
+
+def found_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Verified occurrences, and a row with a null start for each row of docs: doc_id, tie, n_words, start, size, item_ids."""
+    table = benchmark_windows(benchmark, window)
+    # One small job: the windows' bytes, and the sizes that occur, of which there are at most as many as window.
     n = F.sum(64 + 24 * F.size("window") + F.length(F.array_join("window", "")) * 4 + 8 * F.size("item_ids"))
-    return windows, (windows.agg(n).first()[0] or 0) <= limit
-
-
-def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Verified occurrences: doc_id, tie (hash of the text), start (word's place), size (words), item_ids."""
-    table, small = _bounded(benchmark_windows(benchmark, window), limit)
-    by_anchor = table.groupBy("anchor").agg(F.collect_list(F.struct("at", "window", "item_ids")).alias("windows"))
-    tie = F.xxhash64("text").alias("tie")
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", tie, words(ascii_lower(F.col("text"))).alias("w"))
-    placed = rows.select("doc_id", "tie", "w", F.posexplode("w").alias("i", "anchor"))
-    if small:
-        found = placed.join(F.broadcast(by_anchor), "anchor")
-    else:
-        # Only the words' places are shuffled, not the texts; a common anchor's rows may be split by adaptive skew joins.
-        hashes = F.slice("w", F.greatest(F.col("i") - window + 2, F.lit(1)), 2 * window)
-        near = placed.select("doc_id", "tie", "i", "anchor", hashes.alias("around"), F.greatest(F.col("i") - window + 1, F.lit(0)).alias("low"))
-        found = near.join(by_anchor, "anchor")
-        here = F.filter("windows", lambda x: (F.col("i") >= x["at"]) & (F.slice("around", F.col("i") - x["at"] - F.col("low") + 1, F.size(x["window"])) == x["window"]))
-        hit = found.select("doc_id", "tie", "i", F.explode(here).alias("x"))
-        return hit.select("doc_id", "tie", (F.col("i") - F.col("x.at")).alias("start"), F.size("x.window").alias("size"), "x.item_ids")
-    match = F.filter("windows", lambda x: (F.col("i") >= x["at"]) & (F.slice("w", F.col("i") - x["at"] + 1, F.size(x["window"])) == x["window"]))
-    hit = found.select("doc_id", "tie", "i", F.explode(match).alias("x"))
-    return hit.select("doc_id", "tie", (F.col("i") - F.col("x.at")).alias("start"), F.size("x.window").alias("size"), "x.item_ids")
+    total, sizes = table.agg(n, F.array_sort(F.collect_set("size"))).first()
+    sizes = list(sizes) or [window]
+    by_key = table.groupBy("key").agg(F.collect_list(F.struct("window", "size", "item_ids")).alias("windows"))
+    own = lambda x: (x["size"] == F.col("size")) & (F.slice("w", F.col("i") + 1, x["size"]) == x["window"])
+    once_a_row = (F.col("i") == 0) & (F.col("size") == sizes[0])
+    if (total or 0) <= limit:
+        met = _places(docs, sizes).join(F.broadcast(by_key), "key", "left").filter(F.col("windows").isNotNull() | once_a_row)
+        hits = F.transform(F.filter(F.coalesce("windows", F.array()), own), lambda x: F.struct(F.col("i").alias("start"), x["size"].alias("size"), x["item_ids"].alias("item_ids")))
+        row = F.when(once_a_row, F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast(table.schema["item_ids"].dataType).alias("item_ids"))))
+        both = F.concat(F.coalesce(row, F.array().cast(_hit_type(table))), hits.cast(_hit_type(table)))
+        return met.select("doc_id", "tie", "n_words", F.explode(both).alias("x")).select("doc_id", "tie", "n_words", "x.*")
+    places = _places(docs, sizes)
+    kind = table.schema["item_ids"].dataType
+    rows = places.filter(once_a_row).select("doc_id", "tie", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast(kind).alias("item_ids"))
+    keys = places.filter("key IS NOT NULL").select("doc_id", "tie", "i", "size", "key").join(table.select("key").distinct(), "key", "left_semi")
+    at = keys.join(table.select("key", F.col("size").alias("of"), "window", "item_ids"), "key").filter("size = of").select("doc_id", "tie", "i", "size", "window", "item_ids")
+    few = at.select(F.col("doc_id").alias("its_doc"), F.col("tie").alias("its_tie")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("its_doc")) & (F.col("tie") == F.col("its_tie"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").join(few, same, "left_semi").dropDuplicates(["doc_id", "tie"])
+    cut = texts.select(F.col("doc_id").alias("its_doc"), F.col("tie").alias("its_tie"), _cut(F.col("text")).alias("w"))
+    true = at.join(cut, same).filter(F.slice("w", F.col("i") + 1, F.col("size")) == F.col("window"))
+    return rows.union(true.select("doc_id", "tie", F.lit(None).cast("long"), "i", "size", "item_ids"))
+
+
+def _hit_type(table: DataFrame) -> str:
+    return f"array<struct<start: int, size: int, item_ids: {table.schema['item_ids'].dataType.simpleString()}>>"
+
+
+def _of_documents(found: DataFrame) -> DataFrame:
+    """doc_id, tie, times (rows alike), n_words, hits (distinct start and size), item_ids (distinct)."""
+    hit = F.col("start").isNotNull()
+    grouped = found.groupBy("doc_id", "tie").agg(
+        F.sum((~hit).cast("int")).alias("times"), F.max("n_words").alias("n_words"),
+        F.collect_set(F.when(hit, F.struct("start", "size"))).alias("hits"), F.collect_set(F.when(hit, F.col("item_ids"))).alias("sets"),
+    )
+    return grouped.select("doc_id", "tie", "times", "n_words", "hits", F.array_distinct(F.flatten("sets")).alias("item_ids"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -73,27 +109,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     without words, have no words and hit nothing. Repeated rows get equal results each; a null doc_id is kept, and its
     rows are told apart by their texts. An empty benchmark hits nothing.
     """
-    hits = window_hits(docs, benchmark, window, limit)
-    keys = [F.col("doc_id"), F.col("tie")]
-    places = hits.select(*keys, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).distinct()
-    n_hit = places.groupBy(*keys).agg(F.count("*").alias("n_hit"))
-    items = hits.select(*keys, F.explode("item_ids").alias("item")).distinct().groupBy(*keys).agg(F.collect_list(F.col("item").cast("string")).alias("items"))
-    per_doc = n_hit.join(items, (n_hit.doc_id.eqNullSafe(items.doc_id)) & (n_hit.tie == items.tie)).select(n_hit.doc_id.alias("hit_doc"), n_hit.tie.alias("hit_tie"), "n_hit", "items")
-    n_words = F.size(words(F.col("text"))).cast("long")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), n_words.alias("n_words"))
-    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("tie") == F.col("hit_tie")), "left")
-    names = F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ",")
-    count = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(
-        "doc_id", "n_words", count.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(names.cast("binary"), 256).alias("items_sha256"), (count > 0).alias("contaminated"),
+    rows = _of_documents(found_windows(docs, benchmark, window, limit))
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
+    names = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    each = rows.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"),
     )
+    return each.drop("time")
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> tuple[DataFrame, Column, str]:
+    """Documents with hits under names that docs doesn't have, the condition that a row is one of them, and the name of the hits."""
+    doc, tie, hits = (_free(docs, name) for name in ("hit_doc", "hit_tie", "hit_spans"))
+    found = found_windows(docs, benchmark, window, limit).filter(F.col("start").isNotNull())
+    spans = found.groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.collect_set(F.struct("start", "size")).alias(hits))
+    return spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(tie)), hits
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the rows that hold an occurrence of a window; all columns kept, null texts kept."""
-    hits = window_hits(docs, benchmark, window, limit).select(F.col("doc_id").alias("hit_doc"), F.col("tie").alias("hit_tie")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.xxhash64("text") == F.col("hit_tie")), "left_anti")
+    """docs without the rows that hold an occurrence of a window; all columns kept, whatever their names, and null texts kept."""
+    spans, same, hits = _with_hits(docs, benchmark, window, limit)
+    return docs.join(spans.drop(hits), same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -101,15 +147,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 
     A text with hits becomes its other words, each with the gap before it; the gap before a hit word goes too.
     """
-    hits = window_hits(docs, benchmark, window, limit)
-    spans = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("tie").alias("hit_tie")).agg(F.collect_set(F.struct("start", "size")).alias("hit_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.xxhash64("text") == F.col("hit_tie")), "left")
-    pattern = F.lit(f"^{_GAPS}|(?:{_GAPS})?[^{_GAPS[1:-2]}]+|{_GAPS}$")
-    lead = F.when(F.col("text").rlike(f"^{_GAPS}"), 1).otherwise(0)
-    cut = joined.select("*", once(F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("parts"), lead.alias("lead"))).alias("cut_"))
-    place = lambda i: i - F.col("cut_.lead")
-    kept = F.filter("cut_.parts", lambda p, i: ~F.exists("hit_spans", lambda s: (place(i) >= s["start"]) & (place(i) < s["start"] + s["size"])))
-    text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    spans, same, hits = _with_hits(docs, benchmark, window, limit)
+    joined, parts = docs.join(spans, same, "left"), _free(docs, "cut_parts")
+    # Parts: each word with the gap before it, so that the place of a word is that of its part; a last gap is one more.
+    pattern = F.lit(f"(?:{_GAPS})?[^{_GAPS[1:-2]}]+|{_GAPS}$")
+    lead = F.when(F.col("text").rlike(f"^{_GAPS}"), 1).otherwise(0)  # an empty word stands before a gap that begins the text
+    cut = joined.select("*", once(F.when(F.col(hits).isNotNull(), F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("parts"), lead.alias("lead")))).alias(parts))
+    place = lambda i: i + F.col(f"{parts}.lead")
+    kept = F.filter(f"{parts}.parts", lambda p, i: ~F.exists(F.col(hits), lambda s: (place(i) >= s["start"]) & (place(i) < s["start"] + s["size"])))
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
     return cut.withColumn("text", text).select(*docs.columns)
 
 

@@ -146,7 +146,7 @@ def words10(text):
 def test_decontamination(spark, limit):
     items = [(1, "One two three four five six seven eight nine ten eleven"), (2, "short item HERE"), (3, None), (4, "!!"), (5, "same same same same same same same same same same same")]
     a, b, five = items[0][1], items[1][1], items[4][1]
-    docs = [(1, f"x {a} y"), (2, "a short, item-here b"), (3, None), (4, ""), (5, f"{a} {a}"), (5, f"{a} {a}"), (6, "one two three four five six seven eight nine"), (7, f"{five} same"), (None, f"q {b}"), (8, "Ünïcode short item hereé"), (9, LONG + " " + a)]
+    docs = [(1, f"x {a} y"), (2, "a short, item-here b"), (3, None), (4, ""), (5, f"{a} {a}"), (5, f"{a} {a}"), (6, "one two three four five six seven eight nine"), (7, f"{five} same"), (None, f"q {b}"), (8, "Ünïcode short item hereé"), (9, LONG + " " + a), (10, f"-- {a} --")]
     bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, w string")
     rows = decontamination.contamination(frame(spark, docs), bench, limit=limit).collect()
     windows = [(i, tuple(w[s : s + 10])) for i, t in items if (w := words10(t)) for s in range(max(1, len(w) - 9))]
@@ -164,7 +164,11 @@ def test_decontamination(spark, limit):
     kept = {r.doc_id for r in decontamination.drop_contaminated(frame(spark, docs), bench, limit=limit).collect()}
     assert kept == {3, 4, 6, 8}
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(frame(spark, docs), bench, limit=limit).collect()}
-    assert cut[1].split() == ["x", "y"] and cut[6] == dict(docs)[6] and cut[3] is None
+    assert cut[1].split() == ["x", "y"] and cut[10].split() == ["--"] and cut[6] == dict(docs)[6] and cut[3] is None
+    clash = frame(spark, docs).withColumns({c: F.lit(7) for c in ("hit_doc", "hit_tie", "hit_spans", "cut_parts", "n_words", "w")})
+    for operator in (decontamination.drop_contaminated, decontamination.remove_spans):
+        out = operator(clash, bench, limit=limit)
+        assert out.columns == clash.columns and {r.hit_doc for r in out.collect()} == {7}
     assert decontamination.contamination(frame(spark, []), bench).count() == 0
     assert decontamination.contamination(frame(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
 
