@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import ascii_lower, once
+from patchloom.llm.common import ascii_lower, free_name, once, own_columns
 
 #: What is not a word character, capital letters among the words' characters; text is cut at runs of these.
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -122,20 +122,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> tuple[DataFrame, Column, str]:
     """Documents with hits under names that docs doesn't have, the condition that a row is one of them, and the name of the hits."""
-    doc, tie, hits = (_free(docs, name) for name in ("hit_doc", "hit_tie", "hit_spans"))
+    doc, tie, hits = (free_name(docs, name) for name in ("hit_doc", "hit_tie", "hit_spans"))
     found = found_windows(docs, benchmark, window, limit).filter(F.col("start").isNotNull())
     spans = found.groupBy(F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(F.collect_set(F.struct("start", "size")).alias(hits))
     return spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(tie)), hits
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """name, with as many underscores after it as make it no column of docs."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the rows that hold an occurrence of a window; all columns kept, whatever their names, and null texts kept."""
     spans, same, hits = _with_hits(docs, benchmark, window, limit)
@@ -148,7 +140,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     A text with hits becomes its other words, each with the gap before it; the gap before a hit word goes too.
     """
     spans, same, hits = _with_hits(docs, benchmark, window, limit)
-    joined, parts = docs.join(spans, same, "left"), _free(docs, "cut_parts")
+    joined, parts = docs.join(spans, same, "left"), free_name(docs, "cut_parts")
     # Parts: each word with the gap before it, so that the place of a word is that of its part; a last gap is one more.
     pattern = F.lit(f"(?:{_GAPS})?[^{_GAPS[1:-2]}]+|{_GAPS}$")
     lead = F.when(F.col("text").rlike(f"^{_GAPS}"), 1).otherwise(0)  # an empty word stands before a gap that begins the text
@@ -156,7 +148,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     place = lambda i: i + F.col(f"{parts}.lead")
     kept = F.filter(f"{parts}.parts", lambda p, i: ~F.exists(F.col(hits), lambda s: (place(i) >= s["start"]) & (place(i) < s["start"] + s["size"])))
     text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return cut.withColumn("text", text).select(*docs.columns)
+    return cut.withColumn("text", text).select(*own_columns(docs))
 
 
 #: DuckDB SQL for contamination() on the tables documents and benchmark.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patchloom.llm.common import crc_remainder
+from patchloom.llm.common import crc_remainder, free_name
 
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
@@ -145,11 +145,11 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOW
     return ByteNetwork(classes).fit(np.stack([w for w, _ in pairs]), np.array([k for _, k in pairs]))
 
 
-def predict(docs: DataFrame, network: ByteNetwork | None, text: str = "text") -> DataFrame:
-    """docs' columns with lang_pred and score (its probability, 0 to 1).
+def predict(docs: DataFrame, network: ByteNetwork | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns with lang_pred and score (its probability, 0 to 1), or with other names for these.
 
     Null texts, and texts without a letter, are `und` with score 0; so is every row without a network. All rows are
-    kept, repeated ones included; columns of docs named lang_pred or score are replaced. A tie goes to the first
+    kept, repeated ones included; columns of docs that have one of the two names are replaced. A tie goes to the first
     language in order.
     """
 
@@ -175,11 +175,12 @@ def predict(docs: DataFrame, network: ByteNetwork | None, text: str = "text") ->
                 out.append((network.classes[best], float(p[best] / p.sum())))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    rest = docs.drop("lang_pred", "score")
+    rest, (lang, score) = docs.drop(*names), names
     if network is None:
-        return rest.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    found = rest.withColumn("found", scored(F.col(text), has_letter(F.col(text))))
-    return found.withColumns({"lang_pred": F.col("found.lang_pred"), "score": F.col("found.score")}).drop("found")
+        return rest.withColumns({lang: F.lit(UNDETERMINED), score: F.lit(0.0)})
+    both = free_name(rest, "found")
+    found = rest.withColumn(both, scored(F.col(text), has_letter(F.col(text))))
+    return found.withColumns({lang: F.col(f"{both}.lang_pred"), score: F.col(f"{both}.score")}).drop(both)
 
 
 def identify(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
