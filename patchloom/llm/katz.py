@@ -1,12 +1,12 @@
 """Scores of texts by a word bigram model with Katz backoff, learnt from the corpus itself.
 
-Bigram counts are discounted by Good-Turing estimates (counts above 5 are kept as they are; bigrams seen less than least
-times give all their mass to backing off, and with least 1 none does), and a history's backoff weight makes its distribution sum to one exactly over the words
-known and one unknown word. Unigrams are discounted in the same way, their left-over mass being the unknown word's.
+Bigram counts are discounted by Good-Turing estimates (counts above 5 are kept as they are; with least above 1, bigrams
+seen less than least times give all their mass to backing off), and a history's backoff weight makes its distribution
+sum to one exactly over the words known and one unknown word. Unigrams are discounted in the same way, their left-over mass being the unknown word's.
 
 The corpus is read in chunks, the consecutive rows of a Spark partition. A chunk's distinct bigrams and their counts are
-dealt to buckets by the history's hash, as compact sorted arrays: 64 bits for a history and 48 for the word after it,
-so that two words after one history are told apart but for a chance of 1 in 10^14. Buckets add the chunks' counts up and
+dealt to buckets by the history's hash, as compact sorted arrays: 64 bits for a history and 56 for the word after it,
+so that two of a hundred million words share their bits with a chance of 7 %. The number of buckets follows the bytes of text. Buckets add the chunks' counts up and
 keep the model as tables partitioned by kind: words, bigrams, and for each chunk what it asked for. Backoff weights need
 the unigram counts of the words after a history, which a join fetches. Answers go to a file for each chunk, and the
 second reading of the corpus evaluates its tokens by them. Both readings must see the same rows in the same partitions,
@@ -33,7 +33,9 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 START, END = np.uint64(1), np.uint64(2)  # as history before the first word, and as the token after the last
 CHUNK_TOKENS = 1_000_000
 LARGEST_DISCOUNTED = 5
-_SHIFT = np.uint64(16)
+_SHIFT = np.uint64(8)
+#: Bytes of text for each bucket of histories; with it a bucket has some two million entries whatever the corpus' size.
+BUCKET_BYTES = 16 << 20
 
 
 def _tokens(text: str | None) -> np.ndarray:
@@ -81,22 +83,23 @@ class Chunk:
 
 def _pack(values: np.ndarray, dtype: str) -> bytes:
     """Byte planes of values, compressed: most of their high bytes are 0."""
-    return zlib.compress(np.ascontiguousarray(values.astype(dtype).view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    width = np.dtype(dtype).itemsize
+    return zlib.compress(np.ascontiguousarray(values.astype(dtype).view(np.uint8).reshape(len(values), width).T).tobytes(), 1)
 
 
 def _unpack(packed: bytes, dtype: str) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(dtype).ravel()
 
 
-def _six(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _seven(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _from_seven(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
     return out.view("<u8").ravel()
 
 
@@ -169,7 +172,7 @@ def _ask(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             for b in range(buckets):
                 h, w = slice(*chunk.cuts[b : b + 2]), slice(*chunk.bigram_cuts[b : b + 2])
                 if h.start < h.stop or b == 0:
-                    blobs = chunk.history[h].astype("<u8").tobytes(), _pack(chunk.runs[h], "<u4"), _six(chunk.after[w]), _pack(counts[w], "<u4")
+                    blobs = chunk.history[h].astype("<u8").tobytes(), _pack(chunk.runs[h], "<u4"), _seven(chunk.after[w]), _pack(counts[w], "<u4")
                     out.append((b, number, *blobs, digest, int(train.sum()) if b == 0 else 0))
             yield pd.DataFrame(out, columns=["bucket", "chunk", "history", "runs", "after", "n", "digest", "documents"])
 
@@ -185,7 +188,7 @@ def _add_up(group: pd.DataFrame, least: int) -> pd.DataFrame:
     group = group.sort_values("chunk")
     histories = [np.frombuffer(x, "<u8") for x in group["history"]]
     runs = [_unpack(x, "<u4") if len(h) else np.zeros(0, np.uint32) for x, h in zip(group["runs"], histories, strict=True)]
-    after = np.concatenate([_from_six(x) for x in group["after"]])
+    after = np.concatenate([_from_seven(x) for x in group["after"]])
     n = np.concatenate([_unpack(x, "<u4") if len(h) else np.zeros(0, np.uint32) for x, h in zip(group["n"], histories, strict=True)]).astype(np.int64)
     words, place = np.unique(np.concatenate(histories), return_inverse=True)
     of_entry = np.repeat(place, np.concatenate(runs))
@@ -207,7 +210,7 @@ def _add_up(group: pd.DataFrame, least: int) -> pd.DataFrame:
 
     rows = [
         ("words", bucket, 0, words.astype("<u8").tobytes(), _pack(count, "<u8"), None, "", 0, 0, [], []),
-        ("bigrams", bucket, 0, _pack(of_entry[firsts][keep], "<u4"), _six(after[firsts][keep]), _pack(total[keep], "<u8"), "", 0, 0, [], []),
+        ("bigrams", bucket, 0, _pack(of_entry[firsts][keep], "<u4"), _seven(after[firsts][keep]), _pack(total[keep], "<u8"), "", 0, 0, [], []),
         ("statistics", bucket, 0, None, None, None, "", int(group["documents"].sum()), int(count[known].sum()), types(total), types(count[known])),
     ]
     at = h_at = 0
@@ -218,17 +221,19 @@ def _add_up(group: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _TABLE.split(", ")])
 
 
-def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: int = CHUNK_TOKENS, buckets: int | None = None, least: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: int = CHUNK_TOKENS, buckets: int | None = None, least: int = 1) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id) modulo folds is fold are held out of training. docs needs doc_id and text, as a scan
     of files, a table or a checkpoint; other columns are ignored. A null or empty text is the end token alone; a null
     doc_id is in training; repeated rows count each time. Without training documents every word is the unknown one, so
-    scores are 0 for the model. buckets defaults to the session's shuffle partitions; a bucket must fit in a task.
+    scores are 0 for the model. buckets follows the bytes of text by BUCKET_BYTES where it isn't given; a bucket must fit in a task.
     least is the count from which a bigram is in the model: 1 keeps all of Katz's, 2 leaves out those seen once.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(F.col("text")).cast("long"))).first()[0] or 0
+        buckets = 1 + size // BUCKET_BYTES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder(F.col("doc_id"), folds) != fold).alias("train"))
     path = shared_dir(spark, "katz")
     _ask(rows, buckets, chunk_tokens).groupBy("bucket").applyInPandas(lambda group: _add_up(group, least), _TABLE).write.partitionBy("kind").parquet(f"{path}/model")
@@ -255,7 +260,7 @@ def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: i
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for bucket, after in zip(batch["bucket"], batch["two"], strict=True):
-                yield pd.DataFrame({"bucket": bucket, "word": np.unique(_from_six(after)).astype(np.int64)})
+                yield pd.DataFrame({"bucket": bucket, "word": np.unique(_from_seven(after)).astype(np.int64)})
 
     counts = model.filter("kind = 'words'").select("one", "two").mapInPandas(counts_of, "word long, count long").groupBy("word").agg(F.max("count").alias("count"))
     asked = model.filter("kind = 'bigrams'").select("bucket", "two").mapInPandas(wanted, "bucket int, word long")
@@ -272,7 +277,7 @@ def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: i
         kept = own["bigrams"].iloc[0]
         alpha = np.ones(len(count))
         if len(kept["two"]):
-            h, after, c = _unpack(kept["one"], "<u4").astype(np.int64), _from_six(kept["two"]).astype(np.int64), _unpack(kept["three"], "<u8").astype(np.int64)
+            h, after, c = _unpack(kept["one"], "<u4").astype(np.int64), _from_seven(kept["two"]).astype(np.int64), _unpack(kept["three"], "<u8").astype(np.int64)
             words, found = (np.concatenate([np.asarray(x, np.int64) for x in right[name]] or [np.zeros(0, np.int64)]) for name in ("words", "counts"))
             order = np.argsort(words)
             words, found = np.r_[words[order], np.iinfo(np.int64).max], np.r_[found[order], 0]

@@ -330,7 +330,7 @@ def test_katz_matches_brute_force(spark):
     docs = [(i, " ".join(rng.choice(["the", "Of", "a", "x", "y", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 50)))) for i in range(300)] + [(1000, None), (1001, ""), (None, "the of"), (3, "the of")]
     data = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, train int").repartition(3).cache()
     data.count()
-    found = katz.score_texts(data, chunk_tokens=700, buckets=5).collect()
+    found = katz.score_texts(data, chunk_tokens=700, buckets=5, least=2).collect()
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None] for _, t in docs]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs]
     c = collections.Counter(w for t, k in zip(tokens, train, strict=True) if k for w in t)
@@ -391,6 +391,21 @@ def test_katz_query_keeps_bigrams_seen_once(spark, tmp_path):
     assert {r.doc_id: round(r.score, 3) for r in op9_katz(spark, str(tmp_path)).collect()} == {i: round(x, 3) for i, x in want.items()}
 
 
+@pytest.mark.parametrize("docs", [[(1, "b a")], [(1, "b a"), (2, "a")], [(1, None)], [(7, "x y"), (17, "y")], [(1, "a a a"), (None, "")]])
+def test_katz_on_few_documents(spark, docs):
+    tokens = [(i, [*(t or "").split(), None]) for i, t in docs]
+    train = [t for i, t in tokens if i is None or zlib.crc32(str(i).encode()) % 10 != 0]
+    c = collections.Counter(w for t in train for w in t)
+    for buckets in (None, 4000):
+        rows = {r.doc_id: r for r in katz.score_texts(frame(spark, docs), buckets=buckets).collect()}
+        assert len(rows) == len(docs)
+        for i, t in tokens:
+            r = rows[i]
+            base = sum(math.log10((c[w] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))) for w in t)
+            assert (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) == (len(t), sum(c[w] > 0 for w in t), sum(c.values()), round(base, 6))
+            assert r.score <= 1e-9 and (train or r.score == 0)
+
+
 def test_discounts():
     turing = katz.discounts(np.array([0, 1000, 400, 220, 140, 100, 75]))
     assert turing[0] == 1 and (0 < turing[1:]).all() and (turing[1:] < 1).all()
