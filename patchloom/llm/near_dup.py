@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import written
+from patchloom.llm.common import free_name, own_columns, removed, written
 
 SUB_KEYS, HASHES = 11, 3
 BLOCK = 1000
@@ -142,14 +142,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) for every node of edges (u, v), by label passing and jumping."""
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "edges")
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    old = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
         after = written(step.join(jump, "new").select("node", "label", F.least("new", "further").alias("new")), "labels")
         changed = after.filter("new <> label").limit(1).count()
-        labels = after.select("node", F.col("new").alias("label"))
+        removed(old)
+        labels, old = after.select("node", F.col("new").alias("label")), after
         if not changed:
+            removed(both)
             return labels
 
 
@@ -197,7 +200,9 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _stars(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """Pairs (u: leader, v) that resemble, compared on the full sets."""
-    stars = pairs.withColumn("block", F.xxhash64("u", F.pmod(F.col("v"), F.lit(97)), F.lit(1)))
+    large = written(pairs.groupBy("u").count().filter(F.col("count") > BLOCK).select("u", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts")), "large-stars")
+    parts = F.coalesce("parts", F.lit(1))
+    stars = pairs.join(bounded(large), "u", "left").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), parts), F.lit(1)).alias("block"))
     stars = stars.select("block", F.lit(1).alias("role"), F.col("v").alias("node")).union(stars.select("block", F.lit(0), "u").distinct())
     return written(compared(stars.withColumn("comp", F.col("role").cast("long")).join(full, "node"), RESEMBLANCE), "stars")
 
@@ -247,12 +252,21 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, large:
     wanted = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "row"), "node"), "candidates")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for batch in batches:
-            own = [shingle_set(t, size) for t in batch["text"]]
-            right = [node_of(s) == n for s, n in zip(own, batch["node"], strict=True)]
-            yield pd.DataFrame({"node": batch["node"][right], "shingles": [s.astype("<u8").tobytes() for s, ok in zip(own, right, strict=True) if ok]})
-
-    texts = docs.select(row_of().alias("row"), "text").join(bounded(wanted), "row").dropDuplicates(["row", "node"])
+            for text, node in zip(batch["text"], batch["node"], strict=True):
+                own = shingle_set(text, size)
+                if node_of(own) != node:
+                    continue
+                out.append((node, own.astype("<u8").tobytes()))
+                held += len(own)
+                if held > 500_000:
+                    yield pd.DataFrame(out, columns=["node", "shingles"])
+                    out, held = [], 0
+        yield pd.DataFrame(out, columns=["node", "shingles"])
+
+    # Sets are made where the scan runs; rows that repeat make a set again, of which one is kept.
+    texts = docs.select(row_of().alias("row"), "text").join(bounded(wanted), "row")
     full = written(texts.select("node", "text").mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     star_links, rest = rest_links(nodes, pairs, large, _stars(pairs, full), full, percent)
@@ -316,9 +330,10 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     placed = written(own.select("row", "doc_id", F.coalesce("label", "node").alias("class")), "classes")
     first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     gone = written(placed.join(first, "class").filter("row <> first.row").select("row").distinct(), "gone")
-    keep = docs.withColumn("row_", row_of()).join(bounded(gone.withColumnRenamed("row", "row_")), "row_", "left_anti")
+    name = free_name(docs, "row_")
+    keep = docs.withColumn(name, row_of()).join(bounded(gone.withColumnRenamed("row", name)), name, "left_anti")
     again = written(placed.groupBy("row").count().filter("count > 1").select("row").join(gone, "row", "left_anti"), "repeats")
     if again.limit(1).count():
-        again = bounded(again.withColumnRenamed("row", "row_"))
-        keep = keep.join(again, "row_", "left_anti").unionByName(keep.join(again, "row_", "left_semi").dropDuplicates(["row_"]))
-    return keep.select(*docs.columns)
+        again = bounded(again.withColumnRenamed("row", name))
+        keep = keep.join(again, name, "left_anti").unionByName(keep.join(again, name, "left_semi").dropDuplicates([name]))
+    return keep.select(*own_columns(docs))
