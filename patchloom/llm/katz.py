@@ -34,6 +34,8 @@ START, END = np.uint64(1), np.uint64(2)  # as history before the first word, and
 CHUNK_TOKENS = 1_000_000
 LARGEST_DISCOUNTED = 5
 _SHIFT = np.uint64(8)
+#: Entries of a bucket that are added up at once: those of a range of histories.
+PART_ENTRIES = 400_000
 #: Bytes of text for each bucket of histories; with it a bucket has some two million entries whatever the corpus' size.
 BUCKET_BYTES = 16 << 20
 
@@ -187,37 +189,53 @@ def _add_up(group: pd.DataFrame, least: int) -> pd.DataFrame:
     bucket = int(group["bucket"].iloc[0])
     group = group.sort_values("chunk")
     histories = [np.frombuffer(x, "<u8") for x in group["history"]]
-    runs = [_unpack(x, "<u4") if len(h) else np.zeros(0, np.uint32) for x, h in zip(group["runs"], histories, strict=True)]
-    after = np.concatenate([_from_seven(x) for x in group["after"]])
-    n = np.concatenate([_unpack(x, "<u4") if len(h) else np.zeros(0, np.uint32) for x, h in zip(group["n"], histories, strict=True)]).astype(np.int64)
-    words, place = np.unique(np.concatenate(histories), return_inverse=True)
-    of_entry = np.repeat(place, np.concatenate(runs))
-    order = np.lexsort((after, of_entry))
-    new = np.ones(len(order), bool)
-    new[1:] = (of_entry[order][1:] != of_entry[order][:-1]) | (after[order][1:] != after[order][:-1])
-    type_of = np.empty(len(order), np.int64)
-    type_of[order] = np.cumsum(new) - 1
-    total = np.bincount(type_of, n, new.sum()).astype(np.int64)
-    count = np.bincount(of_entry, n, len(words)).astype(np.int64)
-    answer = np.where(total >= least, total, 0)[type_of]
-    firsts = order[new]
-    keep = total >= max(least, 1)
-    known = words != START
+    runs = [_unpack(x, "<u4") for x in group["runs"]]
+    ends = [np.r_[0, np.cumsum(r, dtype=np.int64)] for r in runs]
+    after, n = group["after"].tolist(), [_unpack(x, "<u4") for x in group["n"]]
+    entries = sum(int(e[-1]) for e in ends)
+    parts = 1 + entries // PART_ENTRIES
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(h, edges), len(h)] for h in histories]  # a chunk's histories are sorted
     k = LARGEST_DISCOUNTED + 2
-
-    def types(c: np.ndarray) -> list[int]:
-        return np.bincount(c[c < k], minlength=k).tolist()
-
+    of_types, of_words = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    places: list[list[np.ndarray]] = [[] for _ in histories]
+    answers: list[list[np.ndarray]] = [[] for _ in histories]
+    kept: list[tuple] = []  # for each part: words, count, and of the bigrams kept: place of the history, word after it, count
+    tokens = before = 0
+    for part in range(parts):
+        lows, highs = [c[part] for c in cuts], [c[part + 1] for c in cuts]
+        from_, to = [e[i] for e, i in zip(ends, lows, strict=True)], [e[i] for e, i in zip(ends, highs, strict=True)]
+        words, place = np.unique(np.concatenate([h[i:j] for h, i, j in zip(histories, lows, highs, strict=True)]), return_inverse=True)
+        of_entry = np.repeat(place.astype(np.uint32), np.concatenate([r[i:j] for r, i, j in zip(runs, lows, highs, strict=True)]))
+        w = np.concatenate([_from_seven(x[7 * i : 7 * j]) for x, i, j in zip(after, from_, to, strict=True)])
+        c = np.concatenate([x[i:j] for x, i, j in zip(n, from_, to, strict=True)])
+        order = np.lexsort((w, of_entry))
+        new = np.ones(len(order), bool)
+        new[1:] = (of_entry[order][1:] != of_entry[order][:-1]) | (w[order][1:] != w[order][:-1])
+        type_of = np.empty(len(order), np.int64)
+        type_of[order] = np.cumsum(new) - 1
+        total = np.bincount(type_of, c, new.sum()).astype(np.int64)
+        count = np.bincount(of_entry, c, len(words)).astype(np.int64)
+        answer = np.where(total >= least, total, 0)[type_of].astype(np.uint32)
+        firsts, keep, known = order[new], total >= max(least, 1), words != START
+        of_types += np.bincount(total[total < k], minlength=k)
+        of_words += np.bincount(count[known & (count < k)], minlength=k)
+        tokens += int(count[known].sum())
+        kept.append((words, count, of_entry[firsts][keep] + np.uint32(before), _seven(w[firsts][keep]), total[keep]))
+        at = h_at = 0
+        for i, (low, high, size) in enumerate(zip(lows, highs, np.subtract(to, from_), strict=True)):
+            places[i].append(place[h_at : h_at + high - low].astype(np.uint32) + np.uint32(before))
+            answers[i].append(answer[at : at + size])
+            at, h_at = at + size, h_at + high - low
+        before += len(words)
+    words, count, of_history, total = (np.concatenate([x[i] for x in kept]) for i in (0, 1, 2, 4))
     rows = [
         ("words", bucket, 0, words.astype("<u8").tobytes(), _pack(count, "<u8"), None, "", 0, 0, [], []),
-        ("bigrams", bucket, 0, _pack(of_entry[firsts][keep], "<u4"), _seven(after[firsts][keep]), _pack(total[keep], "<u8"), "", 0, 0, [], []),
-        ("statistics", bucket, 0, None, None, None, "", int(group["documents"].sum()), int(count[known].sum()), types(total), types(count[known])),
+        ("bigrams", bucket, 0, _pack(of_history, "<u4"), b"".join(x[3] for x in kept), _pack(total, "<u8"), "", 0, 0, [], []),
+        ("statistics", bucket, 0, None, None, None, "", int(group["documents"].sum()), tokens, of_types.tolist(), of_words.tolist()),
     ]
-    at = h_at = 0
-    for chunk, digest, h, r in zip(group["chunk"], group["digest"], histories, runs, strict=True):
-        size = int(r.sum())
-        rows.append(("answers", bucket, chunk, _pack(place[h_at : h_at + len(h)], "<u4"), _pack(answer[at : at + size], "<u4"), None, digest, 0, 0, [], []))
-        at, h_at = at + size, h_at + len(h)
+    for chunk, digest, p, a in zip(group["chunk"], group["digest"], places, answers, strict=True):
+        rows.append(("answers", bucket, chunk, _pack(np.concatenate(p), "<u4"), _pack(np.concatenate(a), "<u4"), None, digest, 0, 0, [], []))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _TABLE.split(", ")])
 
 
@@ -290,7 +308,7 @@ def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: i
             alpha = np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12)
         out = []
         for chunk, digest, places, bigram in zip(own["answers"]["chunk"], own["answers"]["digest"], own["answers"]["one"], own["answers"]["two"], strict=True):
-            p = _unpack(places, "<u4") if places is not None and len(places) > 8 else np.zeros(0, np.uint32)
+            p = _unpack(places, "<u4")
             out.append((chunk, left["bucket"].iloc[0], digest, _pack(count[p], "<u8"), alpha[p].astype("<f8").tobytes(), bigram))
         return pd.DataFrame(out, columns=columns)
 
@@ -345,9 +363,9 @@ def _known_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _store_chunk(path: str, number: int, rows: list) -> None:
     """Arrays of one chunk, its buckets in order: digest, sizes, counts and weights of histories, counts of bigrams."""
-    count = np.concatenate([_unpack(r.count, "<u8") if len(r.weight) else np.zeros(0, np.uint64) for r in rows])
+    count = np.concatenate([_unpack(r.count, "<u8") for r in rows])
     alpha = np.concatenate([np.frombuffer(r.weight, "<f8") for r in rows])
-    kept = np.concatenate([_unpack(r.bigram, "<u4") if len(r.weight) else np.zeros(0, np.uint32) for r in rows])
+    kept = np.concatenate([_unpack(r.bigram, "<u4") for r in rows])
     parts = [_pack(count, "<u8"), zlib.compress(alpha.astype("<f4").tobytes(), 1), _pack(kept, "<u4")]
     head = rows[0].digest.encode() + np.array(list(map(len, parts)), "<i8").tobytes()
     write_file(f"{path}/answers/{number:016x}", [head, *parts])

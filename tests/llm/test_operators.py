@@ -325,11 +325,12 @@ def test_components(spark):
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
-def test_katz_matches_brute_force(spark):
+def test_katz_matches_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     docs = [(i, " ".join(rng.choice(["the", "Of", "a", "x", "y", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 50)))) for i in range(300)] + [(1000, None), (1001, ""), (None, "the of"), (3, "the of")]
     data = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, train int").repartition(3).cache()
     data.count()
+    monkeypatch.setattr(katz, "PART_ENTRIES", 300)
     found = katz.score_texts(data, chunk_tokens=700, buckets=5, least=2).collect()
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None] for _, t in docs]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs]
