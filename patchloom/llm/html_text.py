@@ -1,11 +1,13 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged by style: a style node is a path of tags with their classes and ids. Over the pages of the
-host, a node's presentation importance is the entropy of the child sequences seen below it, and its content importance
-that of the texts seen in it, both normalised by the number of pages: 0 where all pages agree, 1 where all differ. A
-node's importance joins its own with its children's, which count the more the fewer children are shared. Branches of
-low importance are removed from each page. So are those whose tag or name states a role that is no main text, which
-also decides for hosts with too few pages to compare.
+Pages of one host are merged by style: a style node is a path of tags with their classes and ids. A node's content
+features are the phrases of its blocks (up to PHRASE words, digits alike), and its presentation features the sequences
+of its children. Over the pages of the host a phrase has the entropy of its spread, from 0 (on one page) to 1 (on all
+of them). A node's commonness is the mean entropy over its distinct phrases and those below it, and counts up to twice
+where the pages agree in the node's children; what is left to 1 is the node's importance. Branches of low importance
+are removed, unless the host's largest node is nearly as common, as where pages are copies. What a node's tag or name
+states (menu, footer, advert and the like) decides only for nodes whose importance does not, and for hosts with too few
+pages to compare. Scripts, forms, hidden parts and reader comments, which differ between pages like articles, go always.
 
 The tree exists only as counts by host, node and feature: tasks count their own pages first, and Spark adds these up.
 So no task holds the pages of a host.
@@ -13,7 +15,6 @@ So no task holds the pages of a host.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections import Counter
@@ -21,12 +22,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm.common import written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PHRASE = 6
+#: Levels of a style path; elements nested deeper belong to the node at this depth.
+DEPTH = 64
+CONTENT, PRESENTATION, ROLE = 0, 1, 2
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # Element kinds of HTML.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,77 +49,117 @@ _CLOSES_P = {
 }
 _CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Roles that are no main text, as tags and as words of class, id and role.
-_NO_TEXT_TAGS = _RAW | {
-    "head", "nav", "footer", "aside", "form", "button", "select", "input", "dialog", "menu", "object", "audio", "video", "canvas", "label",
-}
-_NO_TEXT_NAMES = {
+_HARD_TAGS = _RAW | {"head", "form", "button", "select", "input", "dialog", "object", "audio", "video", "canvas", "label"}
+_SOFT_TAGS = {"nav", "footer", "aside", "menu"}
+_HARD_NAMES = {"comment", "comments", "disqus", "reply", "respond", "login", "signup", "search", "modal", "popup", "overlay"}
+_SOFT_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "aside", "banner", "breadcrumb", "breadcrumbs",
-    "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
-    "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related",
-    "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
-    "complementary", "contentinfo", "search",
+    "consent", "cookie", "cookies", "footer", "gdpr", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
+    "pager", "pagination", "promo", "promoted", "recommended", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored",
+    "subscribe", "toolbar", "widget", "complementary", "contentinfo",
 }
 _MAIN = {"article", "main"}
-
-
+_CONTAINERS = {"ul", "ol", "dl", "table", "tbody", "td", "th", "div", "article", "section", "body", "li", "form", "select"}
 _MATTERS = re.compile("class|id|role|hidden|style", re.I)
 
 
 @lru_cache(maxsize=20_000)
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Of a start tag: its style (empty for a plain inline one), whether it is the main part, no text, or a header."""
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """Of a start tag: its style (empty for a plain inline one), whether it is the main part, no text in any case, stated to be none, or a header."""
     names = {k.lower(): (v or "").strip("\"'") for k, v in _NAME.findall(attributes)} if attributes else {}
     given = f"{names.get('class', '')} {names.get('id', '')}"
     label = ".".join(sorted(given.lower().split()))
-    style = re.sub(r"\d+", "0", f"{tag}.{label}" if label else tag) if label or tag not in _INLINE else ""
+    style = _DIGITS.sub("0", f"{tag}.{label}" if label else tag) if label or tag not in _INLINE else ""
     words = set(re.findall("[a-z]+", f"{re.sub('(?<=[a-z])(?=[A-Z])', ' ', given)} {names.get('role', '')}".lower()))
-    against = (
-        tag in _NO_TEXT_TAGS or tag not in ("html", "body", "main", "article") and bool(words & _NO_TEXT_NAMES)
-        or "hidden" in names or names.get("aria-hidden", "") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-    )
-    return style, tag in _MAIN or names.get("role") == "main", against, tag == "header" or "header" in words
+    named = tag not in ("html", "body", "main", "article")
+    hidden = "hidden" in names or names.get("aria-hidden", "") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
+    hard = hidden or tag in _HARD_TAGS or named and bool(words & _HARD_NAMES)
+    soft = tag in _SOFT_TAGS or named and bool(words & _SOFT_NAMES)
+    return style, tag in _MAIN or names.get("role") == "main", hard, soft, tag == "header" or "header" in words
 
 
 class Page:
-    """blocks: (style path, text) in page order; styles: the child sequence of each style path; both from one pass."""
+    """blocks: (style path, text, in the main part, no text in any case, stated to be none) in page order; children: the
+    sequence of styles in each path; roles: the paths that state a role. All from one pass, in linear time.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str, bool, bool]] = []  # path, text, in the main part, without a role against it
+        self.blocks: list[tuple[tuple[str, ...], str, bool, bool, bool]] = []
         self.children: dict[tuple[str, ...], list[str]] = {}
-        self._stack: list[tuple[str, str, bool, bool]] = []  # tag, style, main, stated to be no text
+        self.roles: set[tuple[str, ...]] = set()
+        self._stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, style (if it is in the path), main, hard, soft
+        self._counts: Counter = Counter()  # open elements on the stack by tag
+        self._plain: Counter = Counter()  # open inline elements that have no style, which are on no stack
         self._path: tuple[str, ...] = ()
-        self._mains = self._againsts = 0  # open elements of either kind
+        self._mains = self._hards = self._softs = 0
         self._text: list[str] = []
-        at, end = 0, len(source)
+        self._read(source)
+        self._flush()
+
+    def _read(self, source: str) -> None:
+        at, end, quotes = 0, len(source), True
         while at < end:
-            m = _TOKEN.search(source, at)
-            if m is None:
+            start = source.find("<", at)
+            if start < 0:
                 self._text.append(source[at:])
-                break
-            if m.start() > at:
-                self._text.append(source[at : m.start()])
-            at = m.end()
-            if m[0].startswith("<![CDATA["):
-                self._text.append(html.escape(m[0][9:-3], quote=False))
-            if not m[2]:
+                return
+            if start > at:
+                self._text.append(source[at:start])
+            if source.startswith("<!--", start):
+                close = source.find("-->", start + 4)
+                at = close + 3 if close >= 0 else end
+                continue
+            if source.startswith("<![CDATA[", start) and (close := source.find("]]>", start)) >= 0:
+                self._text.append(html.escape(source[start + 9 : close], quote=False))
+                at = close + 3
                 continue
-            tag = m[2].lower()
+            if source.startswith(("<!", "<?"), start):
+                close = source.find(">", start)
+                if close < 0:
+                    self._text.append(source[start:])
+                    return
+                at = close + 1
+                continue
+            m = _TAG.match(source, start)
+            if m is None:
+                self._text.append("<")
+                at = start + 1
+                continue
+            close = self._tag_end(source, m.end()) if quotes else source.find(">", m.end())
+            if close < 0 and quotes:  # a quote is never closed, so quotes end no value from here on
+                quotes, close = False, source.find(">", m.end())
+            if close < 0:
+                self._text.append(source[start:])
+                return
+            at, tag, attributes = close + 1, m[2].lower(), source[m.end() : close]
             if m[1]:
-                self._close({tag}, only_if_open=True)
+                self._end(tag)
             else:
-                self._open(tag, m[3] or "")
-                if tag in _RAW and not (m[3] or "").endswith("/"):
-                    close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = close.end() if close else end
-                    self._pop()
-        self._flush()
+                self._open(tag, attributes)
+                if tag in _RAW and not attributes.endswith("/"):
+                    found = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                    at = found.end() if found else end
+                    self._flush()
+                    self._drop()
+
+    @staticmethod
+    def _tag_end(source: str, at: int) -> int:
+        """Place of the > that ends a tag; quotes hold it only where they begin a value."""
+        while m := _STOP.search(source, at):
+            if m[0] == ">":
+                return m.start()
+            close = source.find(m[0][-1], m.end())
+            if close < 0:
+                return -1
+            at = close + 1
+        return -1
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(html.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                self.blocks.append((self._path, text, self._mains > 0, self._againsts == 0))
+                self.blocks.append((self._path, text, self._mains > 0, self._hards > 0, self._softs > 0))
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE:
@@ -119,31 +167,47 @@ class Page:
         if tag in _VOID:
             return
         if tag in _CLOSES_P:
-            self._close({"p"}, only_if_open=True, within=True)
+            self._close({"p"}, within=True)
         if tag in _CLOSES_OWN:
-            self._close(_CLOSES_OWN[tag], only_if_open=True, within=True)
-        style, main, against, header = _kind(tag, attributes if attributes and _MATTERS.search(attributes) else "")
-        against = against or header and not (main or self._mains)
+            self._close(_CLOSES_OWN[tag], within=True)
+        style, main, hard, soft, header = _kind(tag, attributes if attributes and _MATTERS.search(attributes) else "")
+        if not style and not (main or hard or soft):
+            self._plain[tag] += 1
+            return
+        soft = soft or header and not (main or self._mains)
         self._mains += main
-        self._againsts += against
+        self._hards += hard
+        self._softs += soft
         if style:
             self.children.setdefault(self._path, []).append(style)
-            self._path = (*self._path, style)
-        self._stack.append((tag, style, main, against))
-
-    def _pop(self) -> None:
-        self._flush()
-        self._drop()
+            if len(self._path) < DEPTH:
+                self._path = (*self._path, style)
+            else:
+                style = ""
+        if soft and style:
+            self.roles.add(self._path)
+        self._stack.append((tag, style, main, hard, soft))
+        self._counts[tag] += 1
 
     def _drop(self) -> None:
-        _, style, main, against = self._stack.pop()
+        tag, style, main, hard, soft = self._stack.pop()
+        self._counts[tag] -= 1
         self._mains -= main
-        self._againsts -= against
+        self._hards -= hard
+        self._softs -= soft
         if style:
             self._path = self._path[:-1]
 
-    def _close(self, tags: set[str], only_if_open: bool, within: bool = False) -> None:
+    def _end(self, tag: str) -> None:
+        if self._plain[tag]:
+            self._plain[tag] -= 1
+        elif self._counts[tag]:
+            self._close({tag})
+
+    def _close(self, tags: set[str], within: bool = False) -> None:
         """Close the innermost open element of tags, with what is open in it; within: not out of a container."""
+        if not any(self._counts[tag] for tag in tags):
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             tag = self._stack[i][0]
             if tag in tags:
@@ -152,7 +216,7 @@ class Page:
                 while len(self._stack) > i:
                     self._drop()
                 return
-            if within and tag in ("ul", "ol", "dl", "table", "tbody", "td", "th", "div", "article", "section", "body", "li", "form", "select"):
+            if within and tag in _CONTAINERS:
                 return
 
 
@@ -162,11 +226,17 @@ def host_of(url: Column) -> Column:
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def _phrases(text: str) -> list[str]:
+    """Runs of up to PHRASE words, one after another, digits alike."""
+    words = _DIGITS.sub("0", text).split(" ")
+    return [" ".join(words[i : i + PHRASE]) for i in range(0, len(words), PHRASE)]
 
 
 def style_counts(pages: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Counts of features by host and node: host, path, kind (0 content, 1 presentation), feature (hash), n.
+    """Pages by host, node and feature: host, path, kind (content, presentation or role), feature (hash), n.
 
     A task flushes its own counts when they reach limit, so its memory is bounded.
     """
@@ -182,61 +252,73 @@ def style_counts(pages: DataFrame, limit: int = 200_000) -> DataFrame:
         for batch in batches:
             for host, source in zip(batch["host"], batch["html"], strict=True):
                 page = Page(source or "")
-                texts: dict[tuple[str, ...], list[str]] = {}
-                for path, text, _, _ in page.blocks:
-                    texts.setdefault(path, []).append(text)
-                for path, parts in texts.items():
-                    held[host, ">".join(path), 0, _hash("\n".join(parts))] += 1
+                seen: dict[tuple[str, ...], set[str]] = {}
+                for path, text, _, hard, _ in page.blocks:
+                    if not hard:
+                        seen.setdefault(path, set()).update(_phrases(text))
+                for path, phrases in seen.items():
+                    name = ">".join(path)
+                    held.update((host, name, CONTENT, _hash(p)) for p in phrases)
                 for path, styles in page.children.items():
-                    held[host, ">".join(path), 1, _hash(" ".join(s for i, s in enumerate(styles) if not i or s != styles[i - 1]))] += 1
-            if len(held) > limit:
-                yield frame()
+                    held[host, ">".join(path), PRESENTATION, _hash(" ".join(s for i, s in enumerate(styles) if not i or s != styles[i - 1]))] += 1
+                held.update((host, ">".join(path), ROLE, 0) for path in page.roles)
+                if len(held) > limit:
+                    yield frame()
         yield frame()
 
     made = pages.select("host", "html").mapInPandas(count, "host string, path string, kind int, feature long, n long")
     return made.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def low_branches(counts: DataFrame, least: float = 0.1, fewest: int = 8, decay: float = 0.9) -> DataFrame:
-    """Branches to remove: host, paths (a sorted array of nodes), for hosts of at least fewest pages whose pages differ."""
-    entropy = F.log(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")
-    nodes = counts.groupBy("host", "path", "kind").agg(entropy.alias("h"), F.sum("n").alias("pages"), F.count("*").alias("features"))
-    total = nodes.filter((F.col("path") == "") & (F.col("kind") == 1)).select("host", F.col("pages").alias("m"))
-    own = (
-        nodes.join(total, "host").filter(F.col("m") >= fewest)
-        .withColumn("importance", F.when(F.col("pages") > 1, F.col("h") / F.log(F.col("pages").cast("double"))).otherwise(1.0))
-    )
-    # A node's importance: that of what is in and below it, each weighted by the pages that have it and by its depth.
-    depth = F.size(F.split("path", ">"))
-    above = own.select(
-        "host", "importance", "pages", "m", "kind",
-        F.explode(F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(F.split("path", ">"), 1, k), ">"))).alias("node"), depth.alias("depth"),
-    ).filter(F.col("node") != "")
-    steps = F.col("depth") - F.size(F.split("node", ">"))
-    weight = F.col("pages") * F.pow(F.lit(decay), steps) * F.when(F.col("kind") == 0, 1.0).otherwise(0.25)
-    joint = above.groupBy("host", "node").agg((F.sum(weight * F.col("importance")) / F.sum(weight)).alias("importance"), F.max("pages").alias("seen"), F.max("m").alias("m"))
-    # Where no text differs between the pages, they are copies of one another and tell nothing about their parts.
-    differs = own.filter((F.col("kind") == 0) & (F.col("importance") >= 0.5) & (F.col("pages") >= F.col("m") / 2)).select("host").distinct()
-    named = F.element_at(F.split("node", ">"), -1).contains(".")
-    inside = F.col("node").rlike(r"(^|>)(article|main)([.>]|$)")
-    low = joint.join(differs, "host").filter((F.col("importance") < least) & (F.col("seen") >= fewest) & (~inside | named) & ~F.col("node").rlike(r"(^|>)(html|body)[^>]*$"))
-    return low.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("paths"))
-
-
-def main_text(source: str | None, removed: frozenset[str] = frozenset()) -> str:
-    """Blocks of the main part of one page, without those in removed branches, each on a line of its own."""
-    page = Page(source or "")
-    blocks = [b for b in page.blocks if b[3]]
-    main = [b for b in blocks if b[2]]
+def low_branches(counts: DataFrame, least: float = 0.9, fewest: int = 30) -> DataFrame:
+    """host and paths (a sorted array of nodes to remove, perhaps empty) for the hosts of at least fewest pages.
+
+    A node goes when its importance is below least and its commonness is over twice that of the host's node with most
+    phrases, or when its importance does not settle it and it states a role.
+    """
+    log = F.log(F.col("n").cast("double"))
+    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(log).alias("logs"), F.sum(F.col("n") * log).alias("spread"), F.count("*").alias("features"))
+    nodes = written(nodes, "style-tree")
+    hosts = nodes.filter((F.col("path") == "") & (F.col("kind") == PRESENTATION)).select("host", F.col("n").alias("m")).filter(F.col("m") >= fewest)
+    content = nodes.filter(F.col("kind") == CONTENT).join(hosts, "host").select("host", "path", "logs", "features", "m")
+    # A node has the phrases of all nodes below it, so each content row goes to every prefix of its path.
+    parts = F.split("path", ">")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ">"))
+    below = content.select("host", "m", "logs", "features", F.explode(prefixes).alias("node")).filter(F.col("node") != "")
+    spread = below.groupBy("host", "node").agg((F.sum("logs") / F.sum("features") / F.log(F.max("m").cast("double"))).alias("entropy"))
+    # Of the children's sequences: 0 where all pages agree, 1 where all differ.
+    differ = F.when(F.col("n") > 1, (F.log(F.col("n").cast("double")) - F.col("spread") / F.col("n")) / F.log(F.col("n").cast("double"))).otherwise(0.0)
+    shape = nodes.filter(F.col("kind") == PRESENTATION).select("host", F.col("path").alias("node"), differ.alias("differ"))
+    common = spread.join(shape, ["host", "node"], "left").select("host", "node", (F.col("entropy") * (2 - F.coalesce("differ", F.lit(0.0)))).alias("common"))
+    largest = content.groupBy("host").agg(F.max_by("path", F.struct("features", "path")).alias("node"), F.max("m").alias("m"))
+    main = largest.join(common, ["host", "node"], "left").select("host", F.coalesce("common", F.lit(0.0)).alias("main"))
+    roles = nodes.filter(F.col("kind") == ROLE).select("host", F.col("path").alias("node"), F.lit(True).alias("role"))
+    judged = common.join(roles, ["host", "node"], "full").join(hosts, "host").join(main, "host", "left")
+    low = F.coalesce((F.col("common") > 1 - least) & (F.col("common") > 2 * F.col("main")), F.lit(False)) | F.coalesce("role", F.lit(False))
+    found = judged.groupBy("host").agg(F.collect_set(F.when(low, F.col("node"))).alias("paths"))
+    return hosts.select("host").join(found, "host", "left").select("host", F.array_sort(F.coalesce("paths", F.array().cast("array<string>"))).alias("paths"))
+
+
+def main_text(source: str | None, removed: frozenset[str] | None = None) -> str:
+    """Blocks of one page without those in removed branches, each on a line of its own.
+
+    Without a tree (None), what elements state decides: the main part where there is one, without parts of other roles.
+    """
+    blocks = [b for b in Page(source or "").blocks if not b[3]]
+    if removed is None:
+        plain = [b for b in blocks if not b[4]]
+        return "\n".join(b[1] for b in [b for b in plain if b[2]] or plain)
+    cut: dict[tuple[str, ...], bool] = {}
     kept = []
-    for path, text, _, _ in main or blocks:
-        if removed and any(">".join(path[:k]) in removed for k in range(1, len(path) + 1)):
-            continue
-        kept.append(text)
+    for path, text, *_ in blocks:
+        if path not in cut:
+            cut[path] = any(">".join(path[:k]) in removed for k in range(1, len(path) + 1))
+        if not cut[path]:
+            kept.append(text)
     return "\n".join(kept)
 
 
-def extract_text(pages: DataFrame, limit: int = 32 << 20) -> DataFrame:
+def extract_text(pages: DataFrame, limit: int = 32 << 20, least: float = 0.9, fewest: int = 30) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars (code points).
 
     pages needs page_id, url and html; other columns are ignored. A null html counts as empty, and its text is empty; a
@@ -245,13 +327,13 @@ def extract_text(pages: DataFrame, limit: int = 32 << 20) -> DataFrame:
     otherwise, where adaptive skew joins split a hot host.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = written(low_branches(style_counts(rows)), "branches")
+    low = written(low_branches(style_counts(rows), least, fewest), "branches")
     size = low.agg(F.sum(64 + F.length(F.array_join("paths", "\n")) * 4)).first()[0] or 0
     joined = rows.join(F.broadcast(low) if size <= limit else low, "host", "left")
 
     @F.pandas_udf("string")
     def extracted(sources: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s, frozenset(p) if p is not None else frozenset()) for s, p in zip(sources, paths, strict=True)], dtype=object)
+        return pd.Series([main_text(s, frozenset(p) if p is not None else None) for s, p in zip(sources, paths, strict=True)], dtype=object)
 
     found = joined.select("page_id", "url", extracted("html", "paths").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -426,16 +427,26 @@ def test_html_roles_and_markup():
     assert html_text.main_text("<p>unclosed <i>tag<script>x") == "unclosed tag"
 
 
+def site(rng, n, drift=True):
+    """Pages without role words and article tags: a menu, a foot line and a block of text, and the texts."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    menu, out = [word() for _ in range(5)], []
+    for i in range(n):
+        body = [" ".join(word() for _ in range(12)) for _ in range(3)]
+        links = "".join(f"<li>{w}" for w in [*menu, *([word()] if drift else [])])
+        page = f"<html><body><div class=top><ul>{links}</ul></div><div class=text>" + "".join(f"<p>{b}</p>" for b in body) + f"</div><div class=bottom><p>Page {i} of all our pages here</p></div></body></html>"
+        out.append((page, "\n".join(body)))
+    return out
+
+
 def test_html_style_tree(spark):
     rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     pages, want = [], {}
-    for i in range(30):
-        body = [" ".join(word() for _ in range(12)) for _ in range(3)]
-        pages.append((i, f"http://Site.example/{i}", "<html><body><div class=top>Always the same line</div><div class=text>" + "".join(f"<p>{b}</p>" for b in body) + "</div><div class=bottom><p>Same end</p></div></body></html>", "x"))
-        want[i] = "\n".join(body)
+    for i, (page, text) in enumerate(site(rng, 60)):
+        pages.append((i, f"http://Site.example/{i}", page, "x"))
+        want[i] = text
     pages += [(100, None, None, "x"), (101, "nohost", "", "x"), (102, "http://few.example/", "<div class=top>Kept</div>", "x"), (102, "http://few.example/", "<div class=top>Kept</div>", "x")]
-    pages += [(200 + i, "http://copies.example/", "<html><body><div class=a>all alike</div></body></html>", "x") for i in range(12)]
+    pages += [(200 + i, "http://copies.example/", "<html><body><div class=a>all alike</div></body></html>", "x") for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
     for limit in (1 << 20, 0):
         rows = html_text.extract_text(df, limit=limit).collect()
@@ -443,4 +454,39 @@ def test_html_style_tree(spark):
         assert len(rows) == len(pages) and all(r.n_chars == len(r.text) for r in rows)
         assert {i: found[i] for i in want} == want
         assert found[100] == found[101] == "" and found[102] == "Kept" and found[200] == "all alike"
+    assert all(html_text.main_text(h, frozenset()) != want[i] for i, _, h, _ in pages[:60])  # the tree makes the difference
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_importance_by_brute_force(spark):
+    rng = random.Random(8)
+    sources = [p for p, _ in site(rng, 40)]
+    rows = spark.createDataFrame([("h", s) for s in sources], "host string, html string")
+    found = html_text.low_branches(html_text.style_counts(rows)).first()
+    pages = [html_text.Page(s) for s in sources]
+    paths = {p[:k] for page in pages for p, *_ in page.blocks for k in range(1, len(p) + 1)}
+    phrases = lambda text: {" ".join(re.sub("[0-9]+", "0", text).split(" ")[i : i + 6]) for i in range(0, len(text.split(" ")), 6)}
+    common, size = {}, collections.Counter()
+    for node in paths:
+        logs = []
+        for below in {p for page in pages for p, *_ in page.blocks if p[: len(node)] == node}:
+            df = collections.Counter(f for page in pages for f in set().union(*[phrases(t) for p, t, *_ in page.blocks if p == below]))
+            logs += [math.log(n) / math.log(40) for n in df.values()]
+            size[below] = len(df)
+        children = [tuple(k for k, _ in itertools.groupby(page.children[node])) for page in pages if node in page.children]
+        entropy = -sum(n / len(children) * math.log(n / len(children)) for n in collections.Counter(children).values()) if children else 0
+        common[node] = np.mean(logs) * (2 - (entropy / math.log(len(children)) if len(children) > 1 else 0))
+    main = common[max(size, key=size.get)]
+    assert set(found.paths) == {">".join(n) for n, c in common.items() if c > 0.1 and c > 2 * main}
+    assert {"html>body>div.top", "html>body>div.bottom"} <= set(found.paths)
+
+
+def test_html_malformed_and_long():
+    assert html_text.main_text("<article><p title=it's>Hello world. Don't stop</p><p>Next one</p></article>") == "Hello world. Don't stop\nNext one"
+    assert html_text.main_text('<p>a < b & c</p><p class="x>never closed</p><p>more</p>').splitlines()[0] == "a < b & c"
+    assert html_text.main_text("one<p title='a>b'>two</p>three <") == "one\ntwo\nthree <"
+    for junk in ('<a href="x ', "<div>", "<b>", "<p><b>", "<![CDATA[", "<!", "</div>", "<span class=x>", "<li>"):
+        began = time.process_time()
+        html_text.main_text(junk * (1_000_000 // len(junk)))
+        assert time.process_time() - began < 12, junk
+    assert html_text.main_text("<p>" + "word " * 300_000 + "</p>") == ("word " * 300_000).strip()
