@@ -32,6 +32,7 @@ _LOWER = bytes(range(256)).lower()
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 START, END = np.uint64(1), np.uint64(2)  # as history before the first word, and as the token after the last
 CHUNK_TOKENS = 1_000_000
+SCORED_TOKENS = 100_000
 LARGEST_DISCOUNTED = 5
 _SHIFT = np.uint64(8)
 #: Entries of a bucket that are added up at once: those of a range of histories.
@@ -115,8 +116,11 @@ def _chunks(batches: Iterator[pd.DataFrame], buckets: int, size: int) -> Iterato
             rows.append((doc_id, bool(train)))
             held += len(documents[-1])
             if held >= size:
-                yield number, Chunk(documents, buckets), rows
-                number, documents, rows, held = number + 1, [], [], 0
+                full, documents, held = documents, [], 0
+                chunk = Chunk(full, buckets)
+                del full
+                yield number, chunk, rows
+                number, rows, chunk = number + 1, [], None
     if documents:
         yield number, Chunk(documents, buckets), rows
 
@@ -337,19 +341,28 @@ def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: i
         for number, chunk, owners in _chunks(batches, buckets, chunk_tokens):
             count, alpha, kept = _load_chunk(path, number, chunk.digest())
             order = np.argsort(chunk.history)
-            at = np.searchsorted(chunk.history[order], chunk.words)
-            c = count[order[np.minimum(at, len(order) - 1)]]
-            c[chunk.words == END] = end_count
-            seen = kept[chunk.of_bigram].astype(np.int64)
-            of_history = np.where(chunk.history == START, documents, count)[chunk.of_history]
-            lower = alpha[chunk.of_history] * unigrams.probability(c)
-            with np.errstate(divide="ignore"):
-                model_logs = np.log10(np.where(seen > 0, bigram_probability(seen, of_history, d), lower))
-            base_logs = np.log10((c + floor) / scale)
-            sums = lambda x: np.add.reduceat(x, chunk.starts)
+            histories = chunk.history[order]
+            known, base, model = [], [], []
+            ends = chunk.starts + chunk.sizes
+            first = 0
+            while first < len(owners):  # some documents at a time, so that a task holds few arrays of a chunk's length
+                last = max(first + 1, int(np.searchsorted(ends, chunk.starts[first] + SCORED_TOKENS)))
+                own = slice(chunk.starts[first], ends[last - 1])
+                words, h = chunk.words[own], chunk.of_history[own]
+                c = count[order[np.minimum(np.searchsorted(histories, words), len(order) - 1)]]
+                c[words == END] = end_count
+                seen = kept[chunk.of_bigram[own]].astype(np.int64)
+                of_history = np.where(chunk.history == START, documents, count)[h]
+                lower = alpha[h] * unigrams.probability(c)
+                with np.errstate(divide="ignore"):
+                    model_logs = np.log10(np.where(seen > 0, bigram_probability(seen, of_history, d), lower))
+                base_logs = np.log10((c + floor) / scale)
+                for out, x in ((known, (c > 0).astype(np.int64)), (base, base_logs), (model, model_logs)):
+                    out.append(np.add.reduceat(x, chunk.starts[first:last] - chunk.starts[first]))
+                first = last
             yield pd.DataFrame({
                 "doc_id": pd.array([o[0] for o in owners], "Int64"), "held_out": [not o[1] for o in owners], "n_tokens": chunk.sizes,
-                "n_known": sums((c > 0).astype(np.int64)), "train_tokens": tokens, "base_score": sums(base_logs), "score": sums(model_logs),
+                "n_known": np.concatenate(known), "train_tokens": tokens, "base_score": np.concatenate(base), "score": np.concatenate(model),
             })
 
     return rows.mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -332,6 +332,7 @@ def test_katz_matches_brute_force(spark, monkeypatch):
     data = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, train int").repartition(3).cache()
     data.count()
     monkeypatch.setattr(katz, "PART_ENTRIES", 300)
+    monkeypatch.setattr(katz, "SCORED_TOKENS", 200)
     found = katz.score_texts(data, chunk_tokens=700, buckets=5, least=2).collect()
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None] for _, t in docs]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in docs]
