@@ -28,6 +28,9 @@ _ENCODINGS = (
     ("random_hex", re.compile(r"[0-9a-fA-F]+\Z"), 16), ("random_base32", re.compile(r"[A-Z2-7]+\Z"), 32),
     ("random_base36", re.compile(r"(?:[0-9a-z]+|[0-9A-Z]+)\Z"), 36), ("random_base64", re.compile(r"[A-Za-z0-9+/_-]+\Z"), 64),
 )
+_SEPARATED, _CLASSES = re.compile("[-_/+]"), [re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]")]
+#: Characters of the shortest token that is tested.
+LEAST = 16
 _NO_SEPARATORS = {ord(c): None for c in "-_/+"}
 #: Of prose: the chance that two letters are equal, that neighbours differ in class, and the neighbours' correlation.
 PROSE_COINCIDENCE, PROSE_CHANGE, PROSE_CORRELATION = 0.066, 0.08, 0.45
@@ -78,20 +81,39 @@ def battery(token: str, alphabet: int) -> float:
     return math.exp(-statistic) * (1 + statistic + statistic * statistic / 2)
 
 
+def _beside(start: int, end: int, taken: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+    """What is left of start to end beside the spans taken, in order."""
+    out = []
+    for low, _, _, high in taken:
+        if low < end and start < high:
+            out.append((start, low))
+            start = max(start, high)
+    return [(i, j) for i, j in [*out, (start, end)] if j - i >= LEAST]
+
+
+def _judged(token: str) -> tuple[float, int, str]:
+    """p-value, length of what was tested, and kind of a token.
+
+    A token with separators is base64 if it has letters of either case and digits. Otherwise separators join parts: the
+    longest is tested if it is long enough, and else all parts as one, as in a UUID.
+    """
+    if _SEPARATED.search(token) and not all(p.search(token) for p in _CLASSES):
+        parts = re.split("[-_/+]", token)
+        longest = max(parts, key=len)
+        token = longest if len(longest) >= LEAST else "".join(parts)
+    kind, alphabet = next((k, a) for k, pattern, a in _ENCODINGS if pattern.match(token))
+    return battery(token, alphabet), len(token), kind
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str, int]], rate: float = 1e-5) -> list[tuple[int, int, str, int]]:
     """Spans that the battery adds beside those taken, at a false-discovery rate within the text."""
     tested = []
     for m in _CANDIDATE.finditer(text):
-        token = m[0].rstrip("=")
-        if len(token) < 16 or any(m.start() < end and start < m.end() for start, _, _, end in taken):
-            continue
-        # Plain words and numbers: no class change at all, so the runs test alone settles them.
-        if token.isdigit() or token.isalpha() and (token.islower() or token.isupper() or token[1:].islower()):
-            continue
-        kind, alphabet = next((k, a) for k, p, a in _ENCODINGS if p.match(token))
-        if alphabet == 64 and not (re.search("[a-z]", token) and re.search("[A-Z]", token) and re.search("[0-9]", token)):
-            continue  # words joined by separators
-        tested.append((battery(token, alphabet), len(token), m.start(), kind, m.end()))
+        for start, end in _beside(m.start(), m.end(), taken):
+            token = text[start:end].rstrip("=")
+            if len(token) >= LEAST:
+                p, n, kind = _judged(token)
+                tested.append((p, n, start, kind, end))
     if not tested:
         return []
     mean = sum(n for _, n, *_ in tested) / len(tested)
