@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +62,21 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def lean_worker() -> None:
+    """Let this Python worker give large arrays back to the system as soon as they are freed.
+
+    Workers live on between tasks beside the executor's heap, and what glibc and Arrow keep for later use would count
+    against the executor. Other C libraries have no such setting, and nothing changes there.
+    """
+    import pyarrow as pa
+
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a folder or file URI; a plain path is local."""
     from pyarrow import fs

@@ -73,7 +73,12 @@ class PieceEncoder:
 
     def _shrink(self) -> None:
         if len(self.index) > self.max_pieces or self.characters > 16 * self.max_pieces:
-            old = islice(zip(self.index, self.starts, self.sizes, strict=True), self.max_pieces // 2)
+            self.rest(self.max_pieces // 2)
+
+    def rest(self, pieces: int = 100_000) -> None:
+        """Keep so many of the pieces learnt first; a task does this at its end, as its worker lives on."""
+        if len(self.index) > pieces:
+            old = islice(zip(self.index, self.starts, self.sizes, strict=True), pieces)
             self._forget({p: self.flat[at : at + n] for p, at, n in old if len(p) <= _LONG})
 
     def _ids(self, text: str) -> list[int]:

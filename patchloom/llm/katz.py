@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import crc_remainder, file_system, shared_dir, write_file, written
+from patchloom.llm.common import crc_remainder, file_system, lean_worker, shared_dir, write_file, written
 
 _LOWER = bytes(range(256)).lower()
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -108,6 +108,7 @@ def _from_seven(raw: bytes) -> np.ndarray:
 
 def _chunks(batches: Iterator[pd.DataFrame], buckets: int, size: int) -> Iterator[tuple[int, Chunk, list]]:
     """Chunks of this task's rows with their numbers and their (doc_id, train) rows."""
+    lean_worker()
     number = TaskContext.get().partitionId() << 24
     documents, rows, held = [], [], 0
     for batch in batches:
@@ -190,6 +191,7 @@ _TABLE = "kind string, bucket int, chunk long, one binary, two binary, three bin
 
 def _add_up(group: pd.DataFrame, least: int) -> pd.DataFrame:
     """One bucket's tables: words (history, count), bigrams seen least times or more, each chunk's places in them, statistics."""
+    lean_worker()
     bucket = int(group["bucket"].iloc[0])
     group = group.sort_values("chunk")
     histories = [np.frombuffer(x, "<u8") for x in group["history"]]
@@ -291,6 +293,7 @@ def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: i
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Counts and backoff weights of the chunks' histories, and counts of their bigrams, for one bucket."""
+        lean_worker()
         columns = ["chunk", "bucket", "digest", "count", "weight", "bigram"]
         own = dict(iter(left.groupby("kind")))
         if "answers" not in own:

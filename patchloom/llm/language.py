@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patchloom.llm.common import crc_remainder, free_name
+from patchloom.llm.common import crc_remainder, free_name, lean_worker
 
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
@@ -155,11 +155,12 @@ def predict(docs: DataFrame, network: ByteNetwork | None, text: str = "text", na
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def scored(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        lean_worker()
         tables = network.tables()
         out = []
-        raws = [t.encode() if ok else b"" for t, ok in zip(texts, letters, strict=True)]
-        for low in range(0, len(raws), 64):
-            cut = [windows_of(r) if r else np.zeros((0, LENGTH), np.uint8) for r in raws[low : low + 64]]
+        for low in range(0, len(texts), 64):
+            some = zip(texts.iloc[low : low + 64], letters.iloc[low : low + 64], strict=True)
+            cut = [windows_of(t.encode()) if ok else np.zeros((0, LENGTH), np.uint8) for t, ok in some]
             rows = np.concatenate(cut)
             logs = [network.log_probabilities(rows[i : i + 64], tables) for i in range(0, len(rows), 64)]
             logs = np.concatenate(logs) if logs else np.zeros((0, len(network.classes)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import free_name, own_columns, removed, written
+from patchloom.llm.common import free_name, lean_worker, own_columns, removed, written
 
 SUB_KEYS, HASHES = 11, 3
 BLOCK = 1000
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame, size: int, m: int, k: int) -> DataFrame:
     """row (as row_of), doc_id, n, node, a, b (the collections' sub-keys)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker()
         factors, shifts = _parameters(m, k)
         for batch in batches:
             n, node, a, b = [], [], [], []
@@ -164,6 +165,7 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker()
         block, queries, members = None, [], []
 
         def found() -> pd.DataFrame:
@@ -252,6 +254,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, large:
     wanted = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "row"), "node"), "candidates")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker()
         out, held = [], 0
         for batch in batches:
             for text, node in zip(batch["text"], batch["node"], strict=True):

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from patchloom.llm.common import lean_worker
 from patchloom.llm.encoding import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -68,7 +69,8 @@ def pack_documents(
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_all = encoder(tokenizer_path, keep_space, "<u4", special_as_text).encode_all
+        lean_worker()
+        pieces = encoder(tokenizer_path, keep_space, "<u4", special_as_text)
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         group, total, rows = [], 0, []
@@ -90,7 +92,7 @@ def pack_documents(
             return out
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), encode_all(batch["text"]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), pieces.encode_all(batch["text"]), strict=True):
                 ids += end
                 of, at = len(ids) // 4, 0
                 while of - at >= window:
@@ -108,6 +110,7 @@ def pack_documents(
                     yield frame()
         if group:
             flush()
+        pieces.rest()
         yield frame()
 
     return docs.select("doc_id", "text").mapInPandas(pack, SCHEMA + ", ids binary")

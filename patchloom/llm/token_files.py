@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import file_system, write_file
+from patchloom.llm.common import file_system, lean_worker, write_file
 from patchloom.llm.encoding import encoder
 
 NULL_ID = -(2**63)
@@ -38,7 +38,8 @@ def write_token_files(
     """
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_all, width = encoder(tokenizer_path, keep_space, dtype, special_as_text).encode_all, np.dtype(dtype).itemsize
+        lean_worker()
+        pieces, width = encoder(tokenizer_path, keep_space, dtype, special_as_text), np.dtype(dtype).itemsize
         end = end_id.to_bytes(width, "little")
         number = TaskContext.get().partitionId()
         doc_ids, lengths = [], []
@@ -46,7 +47,7 @@ def write_token_files(
         def encoded() -> Iterator[bytes]:
             for batch in batches:
                 doc_ids.extend(NULL_ID if pd.isna(x) else int(x) for x in batch["doc_id"].astype("Int64"))
-                for found in encode_all(batch["text"]):
+                for found in pieces.encode_all(batch["text"]):
                     lengths.append(len(found) // width + 1)
                     yield found + end
 
@@ -56,6 +57,7 @@ def write_token_files(
             return
         name = f"{path}/{number:06d}"
         write_file(f"{name}.bin", chain([first], parts))
+        pieces.rest()
         offsets = np.zeros(len(lengths) + 1, "<i8")
         np.cumsum(lengths, out=offsets[1:])
         write_file(f"{name}.idx", [offsets.tobytes()])
