@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions.refs import code_refs, file_extension, refs_of_source
+from patchloom.operators.ranks import quantiles
 
 UNKNOWN_CWES = ("NVD-CWE-Other", "NVD-CWE-noinfo", "Unknown")
 SOFTWARE_TYPES = ("utility", "middleware", "framework", "operating system", "web application", "server", "browser", "unk")
@@ -110,9 +111,9 @@ def attribute_filters(
 
 
 def between_quantiles(df: DataFrame, column: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Rows within the exact quantiles of a column, which are one row."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("edges_"))
-    return df.join(F.broadcast(edges)).filter(F.col(column).between(F.col("edges_")[0], F.col("edges_")[1])).drop("edges_")
+    """Rows within the exact quantiles of a column."""
+    least, most = quantiles(df, column, [low, high])
+    return df.filter(F.col(column).between(F.lit(least), F.lit(most)))
 
 
 def negative_candidates(files: DataFrame, excluded: DataFrame, extensions: list[str]) -> DataFrame:

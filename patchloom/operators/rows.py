@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patchloom.operators.filters import quoted
+from patchloom.operators.ranks import least_rows, ranked
 
 
 def seeded(seed: int, *key: Column | str) -> Column:
@@ -71,9 +72,8 @@ def sort_by(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def random_rows(df: DataFrame, n: int, seed: int, *key: str, last: bool = False) -> DataFrame:
-    """n random rows, those of the least (or the last) seeded order of key: a sort over all tasks and a limit."""
-    order = [seeded(seed, *key), *map(F.col, key)]
-    return df.orderBy(*[c.desc() if last else c for c in order]).limit(max(0, n))
+    """n random rows, those of the least (or the last) seeded order of key."""
+    return least_rows(df, n, seeded(seed, *key), list(key), last)
 
 
 def drop_tag(df: DataFrame, tag: str, ratio: float, seed: int, key: str = "id") -> DataFrame:
@@ -92,36 +92,47 @@ def single_function_files(df: DataFrame) -> DataFrame:
     return df.withColumn("n_", n).filter((F.col("label") == "safe") | (F.col("n_") < 2)).drop("n_")
 
 
-def pair_negatives(vulnerable: DataFrame, negatives: DataFrame, seed: int, keywords: list[str] | None = None, rounds: int = 3) -> DataFrame:
+def pair_negatives(vulnerable: DataFrame, negatives: DataFrame, seed: int, keywords: list[str] | None = None) -> DataFrame:
     """Each vulnerable file (id, project, file_path) with a random negative of its project (sha, file_path, message), each used once.
 
     A negative of the same path doesn't fit; with keywords, nor does one whose message starts with one of them. Both
-    sides are ranked at random within the project and meet by rank; those that don't fit are ranked again among what is
-    left, up to rounds times. Files without a partner have nulls.
+    sides are ranked at random within the project and meet by rank. Those that don't fit meet again, files of the
+    project's commonest path left against negatives of other paths, until a round makes no pair: then none is left that
+    fits. Files without a partner have nulls.
     """
     pool = negatives.distinct()
     if keywords is not None:
         pool = pool.filter(F.col("message").isNotNull() & ~F.col("message").rlike(quoted(keywords)))
     left = vulnerable
     right = pool.select("project", F.col("sha").alias("non_vuln_commit_hash"), F.col("file_path").alias("non_vuln_file_path"))
-    made = None
-    for k in range(rounds):
-        a = left.withColumn("r_", F.row_number().over(Window.partitionBy("project").orderBy(seeded(seed + k, "id"), "id")))
-        b = right.withColumn("r_", F.row_number().over(Window.partitionBy("project").orderBy(seeded(seed + k, "non_vuln_commit_hash", "non_vuln_file_path"), "non_vuln_file_path")))
-        got = a.join(b, ["project", "r_"]).filter(F.col("file_path") != F.col("non_vuln_file_path")).drop("r_")
-        made = got if made is None else made.unionByName(got)
-        left = vulnerable.join(made.select("id"), "id", "left_anti")
-        right = right.join(made.select("project", "non_vuln_commit_hash", "non_vuln_file_path"), ["project", "non_vuln_commit_hash", "non_vuln_file_path"], "left_anti")
-    return made.unionByName(left, allowMissingColumns=True)
+    ids = ["non_vuln_commit_hash", "non_vuln_file_path"]
+    made, k = None, 0
+    while True:
+        a, b, first = left, right, F.lit("")
+        if k:  # the commonest path left; where only it is left on the other side, files of other paths come first
+            paths = left.groupBy("project", "file_path").agg(F.count("*").alias("n_")).groupBy("project").agg(F.max_by("file_path", F.struct("n_", "file_path")).alias("path_"))
+            others = right.join(paths, "project").groupBy("project", "path_").agg(F.bool_or(F.col("non_vuln_file_path") != F.col("path_")).alias("others_"))
+            a, b = left.join(others, "project"), right.join(others, "project")
+        # A digest before which stands 0 for what shall meet first, or 8.
+        place_a = F.when((F.col("file_path") == F.col("path_")) == F.col("others_"), "0").otherwise("8") if k else first
+        place_b = F.when(F.col("non_vuln_file_path") != F.col("path_"), "0").otherwise("8") if k else first
+        a = ranked(a, ["project"], F.concat(place_a, seeded(seed + k, "id")), ["id"]).select(*left.columns, "r_")
+        b = ranked(b, ["project"], F.concat(place_b, seeded(seed + k, *ids)), ["non_vuln_file_path"]).select(*right.columns, "r_")
+        got = a.join(b, ["project", "r_"]).filter(F.col("file_path") != F.col("non_vuln_file_path")).drop("r_").persist()
+        if got.isEmpty() and k:
+            return made.unionByName(left, allowMissingColumns=True)
+        made, k = got if made is None else made.unionByName(got), k + 1
+        left = left.join(got.select("id"), "id", "left_anti")
+        right = right.join(got.select("project", *ids), ["project", *ids], "left_anti")
 
 
 def augment(vulnerable: DataFrame, negatives: DataFrame, n: int, seed: int) -> DataFrame:
     """n further negatives for each vulnerable file of a project, as rows of dataset non-vuln; n < 1 is an error."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    a = vulnerable.withColumn("r_", F.row_number().over(Window.partitionBy("project").orderBy(seeded(seed, "id"), "id")))
+    a = ranked(vulnerable, ["project"], seeded(seed, "id"), ["id"])
     wanted = a.select("project", "project_url", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.col("r_") - 1) * n + i + 1)).alias("r_"))
-    b = negatives.distinct().withColumn("r_", F.row_number().over(Window.partitionBy("project").orderBy(seeded(seed, "sha", "file_path"), "file_path")))
+    b = ranked(negatives.distinct(), ["project"], seeded(seed, "sha", "file_path"), ["file_path"])
     b = b.select("project", "r_", F.col("sha").alias("non_vuln_commit_hash"), F.col("file_path").alias("non_vuln_file_path"))
     return wanted.join(b, ["project", "r_"]).drop("r_").withColumn("dataset", F.lit("non-vuln"))
 
@@ -132,9 +143,8 @@ def random_files(files: DataFrame, targets: DataFrame, seed: int, max_commits: i
     Commits come in random order; one is taken while fewer files than the target came before it, and at most max_commits.
     """
     per = files.groupBy("project", "sha").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("project").orderBy(seeded(seed, "sha"), "sha")
-    ranked = per.withColumns({"before_": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "r_": F.row_number().over(order)})
-    taken = ranked.join(targets, "project").filter(F.col("before_") < F.col("target"))
+    order = ranked(per, ["project"], seeded(seed, "sha"), ["sha"], F.col("n"))
+    taken = order.join(targets, "project").filter(F.col("before_") < F.col("target"))
     taken = taken.filter(F.col("r_") <= max_commits) if max_commits else taken
     return files.join(taken.select("project", "sha"), ["project", "sha"], "left_semi")
 

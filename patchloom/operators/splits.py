@@ -6,11 +6,14 @@ hash thresholds, so that no window takes all rows into one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patchloom.operators.aggregates import oversample_ratio
+from patchloom.operators.ranks import ranked
 from patchloom.operators.rows import keep_first, random_rows, repeats, seeded, seeded_fraction
 
 EIGHTY, SIXTY = (0.1, 0.1), (0.2, 0.2)  # shares of test and validation
@@ -28,12 +31,11 @@ def split_random(df: DataFrame, seed: int, key: str = "id", shares: tuple[float,
 
 def split_stratified(df: DataFrame, column: str, seed: int, key: str = "id") -> DataFrame:
     """80/10/10 within each value of column, sizes rounded up for test and then validation."""
-    own = Window.partitionBy(column)
-    ranked = df.withColumns({"n_": F.count("*").over(own), "r_": F.row_number().over(own.orderBy(seeded(seed, key), key))})
+    placed = ranked(df, [column], seeded(seed, key), [key])
     test = F.ceil(F.col("n_") * 0.1)
     val = F.ceil((F.col("n_") - test) / 9.0)
     split = F.when(F.col("r_") <= test, "test").when(F.col("r_") <= test + val, "val").otherwise("train")
-    return ranked.withColumn("split", split).drop("n_", "r_")
+    return placed.withColumn("split", split).select(*df.columns, "split")
 
 
 def split_by_pair(df: DataFrame, seed: int, undersample_safe: float | None = None, key: str = "id") -> DataFrame:
@@ -50,8 +52,8 @@ def split_by_pair(df: DataFrame, seed: int, undersample_safe: float | None = Non
 def k_fold_stratified(df: DataFrame, k: int, columns: list[str], seed: int, key: str = "id") -> DataFrame:
     """df with fold (0 to k - 1), even within each stratum of the columns, null as unk."""
     stratum = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("unk")) for c in columns])
-    rank = F.row_number().over(Window.partitionBy("stratum_").orderBy(seeded(seed, key), key)) - 1
-    return df.withColumn("stratum_", stratum).withColumn("fold", (rank % k).cast("int")).drop("stratum_")
+    placed = ranked(df.withColumn("stratum_", stratum), ["stratum_"], seeded(seed, key), [key])
+    return placed.withColumn("fold", ((F.col("r_") - 1) % k).cast("int")).select(*df.columns, "fold")
 
 
 def split_unique(df: DataFrame, seed: int, text: str = "text", key: str = "id") -> DataFrame:
@@ -155,7 +157,7 @@ def smote_bags(bags: DataFrame, seed: int, k: int = 5, key: str = "id", tokens:
     made = mixed.withColumn("times", times).filter("times > 0").groupBy("a", "t").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("token", F.col("times"))))).alias(tokens))
     new = made.join(unsafe.select(tokens).distinct(), tokens, "left_anti")
     new = keep_first(new, [tokens], ["t", "a"])
-    new = new.orderBy("t", "a").limit(wanted)
+    new = random_rows(new, wanted, seed + 2, "t", "a")
     return safe.unionByName(unsafe).unionByName(new.select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit("unsafe").alias("label"), tokens))
 
 
@@ -167,23 +169,50 @@ def split_disjoint_smote(df: DataFrame, seed: int, key: str = "id", tokens: str
     return first.filter(F.col("split") != "train").select(key, "label", tokens, "split").unionByName(train.select(key, "label", tokens, "split"))
 
 
-def smote_vectors(df: DataFrame, seed: int, k: int = 5, key: str = "id", vector: str = "vector", planes: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", block: int = 2000) -> DataFrame:
+    """a, b, d, place: the k nearest other vectors of each by squared Euclidean distance, equal ones in order of b.
+
+    Vectors are dealt to blocks of about block rows, and every pair of blocks meets in a group of its own, of which only
+    each vector's k nearest leave it. So the result is exact, and a task holds two blocks.
+    """
+    parts = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("x"), F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("long").alias("own"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    asked = rows.select("id", "x", F.lit(0).alias("role"), "own", every.alias("other")).select("id", "x", "role", (F.col("own") * parts + F.col("other")).alias("pair"))
+    given = rows.select("id", "x", F.lit(1).alias("role"), "own", every.alias("other")).select("id", "x", "role", (F.col("other") * parts + F.col("own")).alias("pair"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["role"] == 0], group[group["role"] == 1].sort_values("id")
+        out = []
+        if len(a) and len(b):
+            members, names = np.stack(b["x"].to_numpy()).astype(np.float64), b["id"].to_numpy()
+            for name, x in zip(a["id"], a["x"], strict=True):
+                d = ((members - np.asarray(x, np.float64)) ** 2).sum(1)
+                d[names == name] = np.inf
+                best = np.argsort(d, kind="stable")[:k]
+                out += [(name, names[i], float(d[i])) for i in best if np.isfinite(d[i])]
+        return pd.DataFrame(out, columns=["a", "b", "d"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    found = asked.union(given).groupBy("pair").applyInPandas(meet, f"a {kind}, b {kind}, d double")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k)
+
+
+def smote_vectors(df: DataFrame, seed: int, k: int = 5, key: str = "id", vector: str = "vector") -> DataFrame:
     """Balanced numeric vectors: safe ones cut to half of all, unsafe ones grown to half between neighbours.
 
-    Neighbours are the k nearest unsafe vectors by Euclidean distance among those of an equal sign pattern over a few
-    fixed coordinates, so that no pair of all is made; a vector alone in its pattern makes no new one.
+    Neighbours are the k nearest unsafe vectors by Euclidean distance; a pair gives as many interpolations as are wanted.
     """
     rows = df.select(key, "label", vector)
     ones, every = _counts(rows)
     safe = random_rows(rows.filter(F.col("label") == "safe"), every // 2, seed, key)
     unsafe = rows.filter(F.col("label") == "unsafe")
-    signs = F.concat(*[F.when(F.get(vector, i) >= 0, "1").otherwise("0") for i in range(planes)])
-    a = unsafe.select(F.col(key).alias("a"), F.col(vector).alias("x"), signs.alias("s"))
-    b = unsafe.select(F.col(key).alias("b"), F.col(vector).alias("y"), signs.alias("s"))
-    distance = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v.cast("double"))
-    near = a.join(b, "s").filter("a <> b").withColumn("d", distance)
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k)
-    share = seeded_fraction(seed + 1, "a", "b")
-    made = near.withColumn("z", F.zip_with("x", "y", lambda p, q: (p + (q - p) * share).cast("float")))
-    new = random_rows(made, every // 2 - ones, seed, "a", "b")
+    wanted = max(0, every // 2 - ones)
+    near = nearest(unsafe, k, key, vector).select("a", "b")
+    times = -(-wanted // max(1, ones * min(k, max(1, ones - 1))))
+    tries = near.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(max(1, times)))))
+    share = seeded_fraction(seed + 1, "a", "b", "t")
+    x, y = unsafe.select(F.col(key).alias("a"), F.col(vector).alias("x")), unsafe.select(F.col(key).alias("b"), F.col(vector).alias("y"))
+    chosen = random_rows(tries, wanted, seed, "a", "b", "t").withColumn("share", share).join(x, "a").join(y, "b")
+    new = chosen.withColumn("z", F.zip_with("x", "y", lambda p, q: (p + (q - p) * F.col("share")).cast("float")))
     return safe.unionByName(unsafe).unionByName(new.select(F.lit(None).cast(df.schema[key].dataType).alias(key), F.lit("unsafe").alias("label"), F.col("z").alias(vector)))

@@ -177,7 +177,7 @@ def words_and_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = """SELECT d.doc_id AS id, 'o' AS owner, 'p' AS project, 'v1' AS a_version, 'v2' AS b_version, 'a.js' AS a_path, 'a.js' AS b_path, d.text AS a_text,
- replace(d.text, 'the ', 'THE ') || chr(10) || '// note' || chr(10) || 'end' AS b_text FROM {documents} d WHERE length(d.text) < 20000"""
+ replace(d.text, 'the ', 'THE ') || chr(10) || '// note' || chr(10) || 'end' AS b_text FROM {documents} d WHERE d.text IS NOT NULL"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -228,14 +228,14 @@ def metric_log(spark: SparkSession, d: str) -> DataFrame:
     return files.metric_rows(e).select("precision", "f1", "tnr")
 
 
-@query("""WITH b AS (SELECT arg_min(lang, doc_id) AS label, string_split(text, ' ')[1:20] AS tokens FROM documents GROUP BY 2), c AS (SELECT tokens, t, count(*) AS n FROM (SELECT tokens, unnest(tokens) AS t FROM b) GROUP BY 1, 2)
+@query("""WITH b AS (SELECT arg_min(lang, doc_id) AS label, string_split(text, ' ') AS tokens FROM documents WHERE text IS NOT NULL GROUP BY 2), c AS (SELECT tokens, t, count(*) AS n FROM (SELECT tokens, unnest(tokens) AS t FROM b) GROUP BY 1, 2)
 SELECT md5(array_to_string(tokens, ' ')) AS bag_id, round(sqrt(sum(n * n)), 6) AS norm, count(*)::INT AS kinds FROM c GROUP BY tokens""")
 def labelled_bags(spark: SparkSession, d: str) -> DataFrame:
     """S11, K09."""
-    t = given(spark, d, "SELECT doc_id, lang, text FROM {documents}").select("lang", F.slice(F.split("text", " "), 1, 20).alias("tokens"))
+    t = given(spark, d, "SELECT doc_id, lang, text FROM {documents} WHERE text IS NOT NULL").select("lang", F.split("text", " ").alias("tokens"))
     lines = bag_lines(t.withColumnRenamed("lang", "label"))
     cut = F.split(F.col("value"), " ")
-    bags = files.bag_rows(lines.select(F.get(cut, 0).alias("label"), F.expr("slice(split(value, ' '), 2, 20)").alias("tokens")))
+    bags = files.bag_rows(lines.select(F.get(cut, 0).alias("label"), F.expr("slice(split(value, ' '), 2, size(split(value, ' ')))").alias("tokens")))
     return bags.select("bag_id", F.round("norm", 6).alias("norm"), F.size("counts").alias("kinds"))
 
 

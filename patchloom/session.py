@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         context._patchloom_shipped = True
     return spark
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path below the one that all executors share (spark.checkpoint.dir), or a temporary one on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
