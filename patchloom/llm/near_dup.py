@@ -140,21 +140,24 @@ def star_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the smallest node reachable) for every node of edges (u, v), by label passing and jumping."""
+    """node and label (the smallest node reachable) for every node of edges (u, v), by label passing and jumping.
+
+    A round passes on the labels that the round before has changed, so settled parts make no rows.
+    """
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
-    old = labels
+    first = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label"))
+    labels = written(first.withColumn("changed", F.lit(True)), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
+        near = both.join(labels.filter("changed").select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        after = written(step.join(jump, "new").select("node", "label", F.least("new", "further").alias("new")), "labels")
-        changed = after.filter("new <> label").limit(1).count()
+        after = step.join(jump, "new").select("node", F.least("new", "further").alias("label"), (F.least("new", "further") != F.col("label")).alias("changed"))
+        after, old = written(after, "labels"), labels
         removed(old)
-        labels, old = after.select("node", F.col("new").alias("label")), after
-        if not changed:
+        labels = after
+        if not labels.filter("changed").limit(1).count():
             removed(both)
-            return labels
+            return labels.select("node", "label")
 
 
 def compared(rows: DataFrame, threshold: float) -> DataFrame:

@@ -339,6 +339,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200)]
     found = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    parent = list(range(60))
+    for _ in range(60):
+        for u, v in edges:
+            parent[u] = parent[v] = min(parent[u], parent[v])
+    found = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {n: parent[n] for u, v in edges if u != v for n in (u, v)}
 
 
 def test_katz_matches_brute_force(spark, monkeypatch):
