@@ -25,7 +25,8 @@ def _stored(spark: SparkSession, values: DataFrame, name: str, *folders: str) ->
     return path
 
 
-_URLS = F.array(F.struct(F.lit("WEB").alias("type"), F.concat(F.lit("https://b/"), "k").alias("url")), F.struct(F.lit("FIX").alias("type"), F.concat(F.lit("https://a/"), "k").alias("url")))
+def _urls() -> Column:
+    return F.array(F.struct(F.lit("WEB").alias("type"), F.concat(F.lit("https://b/"), "k").alias("url")), F.struct(F.lit("FIX").alias("type"), F.concat(F.lit("https://a/"), "k").alias("url")))
 
 
 @query("""SELECT 'OSV-' || s_suppkey AS vuln_id, 'e=n' || s_nationkey AS ecosystem, CASE WHEN s_suppkey % 3 > 0 THEN 'CVE-' || s_suppkey END AS alias, s_name AS summary,
@@ -35,7 +36,7 @@ def scan_osv(spark: SparkSession, d: str) -> DataFrame:
     rows = given(spark, d, "SELECT CAST(s_suppkey AS STRING) AS k, s_suppkey, s_nationkey, s_name FROM {supplier}")
     made = rows.select(
         F.concat(F.lit("OSV-"), "k").alias("id"), F.when(F.col("s_suppkey") % 3 > 0, F.array(F.concat(F.lit("CVE-"), "k"))).alias("aliases"), F.col("s_name").alias("summary"),
-        F.when(F.col("s_suppkey") % 4 > 0, F.col("s_name")).alias("details"), F.lit("2020-01-01T00:00:00Z").alias("published"), _URLS.alias("references"),
+        F.when(F.col("s_suppkey") % 4 > 0, F.col("s_name")).alias("details"), F.lit("2020-01-01T00:00:00Z").alias("published"), _urls().alias("references"),
         F.col("k").alias("f"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("e"),
     )
     found = files.scan_osv_reports(spark, _stored(spark, _objects(made, "f", "e"), "osv", "f", "e"))
@@ -50,7 +51,7 @@ def scan_ghsa(spark: SparkSession, d: str) -> DataFrame:
     own = F.struct(F.concat(F.lit("GHSA-"), "k").alias("value"))
     other = F.struct(F.concat(F.lit("CVE-"), "k").alias("value"))
     made = rows.select(
-        F.concat(F.lit("GHSA-"), "k").alias("ghsaId"), F.when(F.col("s_suppkey") % 3 > 0, F.array(own, other)).otherwise(F.array(own)).alias("identifiers"), _URLS.alias("references"),
+        F.concat(F.lit("GHSA-"), "k").alias("ghsaId"), F.when(F.col("s_suppkey") % 3 > 0, F.array(own, other)).otherwise(F.array(own)).alias("identifiers"), _urls().alias("references"),
         F.concat(F.lit(" "), "s_name", F.lit("\n")).alias("summary"), F.col("s_name").alias("description"), F.lit("HIGH").alias("severity"),
         F.struct((F.col("s_suppkey") % 10).cast("double").alias("score")).alias("cvss"), F.expr("struct(array(struct('CWE-79' AS cweId), struct('CWE-20' AS cweId), struct('CWE-79' AS cweId)) AS nodes)").alias("cwes"), F.col("k").alias("f"),
     )
@@ -65,7 +66,7 @@ def scan_nvd(spark: SparkSession, d: str) -> DataFrame:
     cwe = F.array(F.struct(F.array(F.struct(F.concat(F.lit("CWE-"), F.col("s_nationkey").cast("string")).alias("value"))).alias("description")))
     cve = F.struct(
         F.struct(F.concat(F.lit("CVE-"), "k").alias("ID")).alias("CVE_data_meta"), F.struct(cwe.alias("problemtype_data")).alias("problemtype"),
-        F.struct(F.array(F.struct(F.col("s_name").alias("value"))).alias("description_data")).alias("description"), F.struct(_URLS.alias("reference_data")).alias("references"),
+        F.struct(F.array(F.struct(F.col("s_name").alias("value"))).alias("description_data")).alias("description"), F.struct(_urls().alias("reference_data")).alias("references"),
     )
     metric = F.struct(F.lit("LOW").alias("severity"), (F.col("s_suppkey") % 10).cast("double").alias("impactScore"))
     item = F.struct(cve.alias("cve"), F.struct(metric.alias("baseMetricV2")).alias("impact"), F.col("s_name").alias("publishedDate"))
