@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,8 +42,9 @@ PART_ENTRIES = 400_000
 BUCKET_BYTES = 16 << 20
 
 
-def _tokens(text: str | None) -> np.ndarray:
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+def _tokens(text: bytes | None) -> np.ndarray:
+    """Hashes of the words of a text in UTF-8, and the end."""
+    words = _WORD.findall((text or b"").translate(_LOWER))
     out = np.empty(len(words) + 1, np.uint64)
     out[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     out[-1] = END
@@ -106,15 +108,19 @@ def _from_seven(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _chunks(batches: Iterator[pd.DataFrame], buckets: int, size: int) -> Iterator[tuple[int, Chunk, list]]:
-    """Chunks of this task's rows with their numbers and their (doc_id, train) rows."""
+def _chunks(batches: Iterator[pa.RecordBatch], buckets: int, size: int) -> Iterator[tuple[int, Chunk, list]]:
+    """Chunks of this task's rows with their numbers and their (doc_id, train) rows.
+
+    Texts leave the Arrow batch one at a time. A caller that deletes a chunk before it asks for the next holds one at most.
+    """
     lean_worker()
     number = TaskContext.get().partitionId() << 24
     documents, rows, held = [], [], 0
     for batch in batches:
-        for doc_id, text, train in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["train"], strict=True):
-            documents.append(_tokens(text))
-            rows.append((doc_id, bool(train)))
+        texts = batch.column("text").cast(pa.binary())
+        for text, *row in zip(texts, batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), strict=True):
+            documents.append(_tokens(text.as_py()))
+            rows.append(row)
             held += len(documents[-1])
             if held >= size:
                 full, documents, held = documents, [], 0
@@ -171,19 +177,27 @@ def bigram_probability(c: np.ndarray, of_history: np.ndarray, d: np.ndarray) ->
 def _ask(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     """For each chunk and bucket: history, runs, after, n (training counts), digest of the chunk; and the chunk's training documents, in bucket 0."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    binary = pa.binary()
+    schema = [("bucket", pa.int32()), ("chunk", pa.int64()), ("history", binary), ("runs", binary), ("after", binary), ("n", binary), ("digest", pa.string()), ("documents", pa.int64())]
+
+    def dealt(number: int, chunk: Chunk, rows: list) -> pa.RecordBatch:
+        train = np.array([t for _, t in rows])
+        counts, digest = chunk.counts(train), chunk.digest()
+        out = []
+        for b in range(buckets):
+            h, w = slice(*chunk.cuts[b : b + 2]), slice(*chunk.bigram_cuts[b : b + 2])
+            if h.start < h.stop or b == 0:
+                blobs = chunk.history[h].astype("<u8").tobytes(), _pack(chunk.runs[h], "<u4"), _seven(chunk.after[w]), _pack(counts[w], "<u4")
+                out.append((b, number, *blobs, digest, int(train.sum()) if b == 0 else 0))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*out), schema, strict=True)], schema=pa.schema(schema))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk, rows in _chunks(batches, buckets, size):
-            train = np.array([t for _, t in rows])
-            counts, digest = chunk.counts(train), chunk.digest()
-            out = []
-            for b in range(buckets):
-                h, w = slice(*chunk.cuts[b : b + 2]), slice(*chunk.bigram_cuts[b : b + 2])
-                if h.start < h.stop or b == 0:
-                    blobs = chunk.history[h].astype("<u8").tobytes(), _pack(chunk.runs[h], "<u4"), _seven(chunk.after[w]), _pack(counts[w], "<u4")
-                    out.append((b, number, *blobs, digest, int(train.sum()) if b == 0 else 0))
-            yield pd.DataFrame(out, columns=["bucket", "chunk", "history", "runs", "after", "n", "digest", "documents"])
+            out = dealt(number, chunk, rows)
+            del chunk
+            yield out
 
-    return docs.mapInPandas(ask, "bucket int, chunk long, history binary, runs binary, after binary, n binary, digest string, documents long")
+    return docs.mapInArrow(ask, "bucket int, chunk long, history binary, runs binary, after binary, n binary, digest string, documents long")
 
 
 _TABLE = "kind string, bucket int, chunk long, one binary, two binary, three binary, digest string, documents long, tokens long, types array<long>, unigram_types array<long>"
@@ -340,35 +354,41 @@ def score_texts(docs: DataFrame, fold: int = 0, folds: int = 10, chunk_tokens: i
 
     floor, scale = 0.1, tokens + 0.1 * (distinct + 1)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(number: int, chunk: Chunk, owners: list) -> pa.RecordBatch:
+        count, alpha, kept = _load_chunk(path, number, chunk.digest())
+        order = np.argsort(chunk.history)
+        histories = chunk.history[order]
+        known, base, model = [], [], []
+        ends = chunk.starts + chunk.sizes
+        first = 0
+        while first < len(owners):  # some documents at a time, so that a task holds few arrays of a chunk's length
+            last = max(first + 1, int(np.searchsorted(ends, chunk.starts[first] + SCORED_TOKENS)))
+            own = slice(chunk.starts[first], ends[last - 1])
+            words, h = chunk.words[own], chunk.of_history[own]
+            c = count[order[np.minimum(np.searchsorted(histories, words), len(order) - 1)]]
+            c[words == END] = end_count
+            seen = kept[chunk.of_bigram[own]].astype(np.int64)
+            of_history = np.where(chunk.history == START, documents, count)[h]
+            lower = alpha[h] * unigrams.probability(c)
+            with np.errstate(divide="ignore"):
+                model_logs = np.log10(np.where(seen > 0, bigram_probability(seen, of_history, d), lower))
+            base_logs = np.log10((c + floor) / scale)
+            for out, x in ((known, (c > 0).astype(np.int64)), (base, base_logs), (model, model_logs)):
+                out.append(np.add.reduceat(x, chunk.starts[first:last] - chunk.starts[first]))
+            first = last
+        columns = {
+            "doc_id": pa.array([o[0] for o in owners], pa.int64()), "held_out": pa.array([not o[1] for o in owners]), "n_tokens": chunk.sizes.astype(np.int64),
+            "n_known": np.concatenate(known), "train_tokens": np.full(len(owners), tokens, np.int64), "base_score": np.concatenate(base), "score": np.concatenate(model),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk, owners in _chunks(batches, buckets, chunk_tokens):
-            count, alpha, kept = _load_chunk(path, number, chunk.digest())
-            order = np.argsort(chunk.history)
-            histories = chunk.history[order]
-            known, base, model = [], [], []
-            ends = chunk.starts + chunk.sizes
-            first = 0
-            while first < len(owners):  # some documents at a time, so that a task holds few arrays of a chunk's length
-                last = max(first + 1, int(np.searchsorted(ends, chunk.starts[first] + SCORED_TOKENS)))
-                own = slice(chunk.starts[first], ends[last - 1])
-                words, h = chunk.words[own], chunk.of_history[own]
-                c = count[order[np.minimum(np.searchsorted(histories, words), len(order) - 1)]]
-                c[words == END] = end_count
-                seen = kept[chunk.of_bigram[own]].astype(np.int64)
-                of_history = np.where(chunk.history == START, documents, count)[h]
-                lower = alpha[h] * unigrams.probability(c)
-                with np.errstate(divide="ignore"):
-                    model_logs = np.log10(np.where(seen > 0, bigram_probability(seen, of_history, d), lower))
-                base_logs = np.log10((c + floor) / scale)
-                for out, x in ((known, (c > 0).astype(np.int64)), (base, base_logs), (model, model_logs)):
-                    out.append(np.add.reduceat(x, chunk.starts[first:last] - chunk.starts[first]))
-                first = last
-            yield pd.DataFrame({
-                "doc_id": pd.array([o[0] for o in owners], "Int64"), "held_out": [not o[1] for o in owners], "n_tokens": chunk.sizes,
-                "n_known": np.concatenate(known), "train_tokens": tokens, "base_score": np.concatenate(base), "score": np.concatenate(model),
-            })
-
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            out = scored(number, chunk, owners)
+            del chunk
+            yield out
+
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _known_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
