@@ -146,7 +146,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "edges")
     first = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label"))
-    labels = written(first.withColumn("changed", F.lit(True)), "labels")
+    # A node that is the smallest of its neighbourhood has passed on its label, itself, in this first step.
+    labels = written(first.withColumn("changed", F.col("label") != F.col("node")), "labels")
     while True:
         near = both.join(labels.filter("changed").select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("new"))
