@@ -102,15 +102,11 @@ def hunk_lines(patch: Column) -> Column:
         def one(hunk: Column) -> Column:
             lines = F.split(hunk["b"], "\n")
             lines = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-            first = F.struct(hunk["h"][start].alias("at"), F.array().cast("array<int>").alias("found"))
-            return F.aggregate(
-                lines, first,
-                lambda s, line: F.struct(
-                    F.when(line.startswith(other), s["at"]).otherwise(s["at"] + 1).alias("at"),
-                    F.when(line.startswith(own), F.concat(s["found"], F.array(s["at"]))).otherwise(s["found"]).alias("found"),
-                ),
-                lambda s: s["found"],
-            )
+            # Lines of the other side take no number, so a line's number is its place among the rest.
+            rest = F.filter(lines, lambda line: ~line.startswith(other))
+            placed = F.transform(rest, lambda line, i: F.struct(line.startswith(own).alias("own"), (hunk["h"][start] + i).alias("at")))
+            return F.transform(F.filter(placed, lambda x: x["own"]), lambda x: x["at"])
+
         return F.flatten(F.transform(hunks, one))
 
     return F.when(patch.isNotNull(), F.struct(side("-", "+", "old_start").alias("deleted"), side("+", "-", "new_start").alias("added")))
