@@ -66,6 +66,9 @@ def test_hunk_lines(spark):
     (row,) = values(spark, code.hunk_lines, [patch])
     assert (row.deleted, row.added) == (deleted, added)
     assert values(spark, code.hunk_lines, [None, "no header"])[0] is None
+    long = "@@ -1,1 +5,1 @@ f\n" + "+a\n b\n-c\n" * 20000
+    (row,) = values(spark, code.hunk_lines, [long])
+    assert row["deleted"] == list(range(2, 40001, 2)) and row["added"] == list(range(5, 40005, 2))
 
 
 def test_hybrid_labels(spark):
