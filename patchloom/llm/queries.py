@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import decontamination, html_text, katz, language, media, near_dup, packing, quality, secrets, token_files
+from patchloom.llm import decontamination, html_text, katz, language, media, near_dup, packing, phrases, quality, secrets, token_files, vector_dup, whitening
 from patchloom.llm.common import shared_dir, table, tokenizer_path
 
 
@@ -58,8 +58,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_quality, op3_token_files, op4_media, op5_near_duplicates, op6_language, op7_secrets, op8_decontamination, op9_katz, op10_html_text)
+    own = (
+        op1_packing, op2_quality, op3_token_files, op4_media, op5_near_duplicates, op6_language, op7_secrets, op8_decontamination, op9_katz, op10_html_text,
+        op11_phrases, op12_vector_duplicates, op13_whitening,
+    )
     return {query.__name__: query for query in own}
 
 
