@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from patchloom.functions.refs import ref_source
 from patchloom.operators.filters import between_quantiles
+from patchloom.operators.ranks import running
 
 
 def value_counts(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
@@ -82,27 +83,20 @@ def confusion_metrics(df: DataFrame, label: str = "label", predicted: str = "pre
     })
 
 
-def curve_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 1000) -> DataFrame:
+def curve_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row for each distinct score: cumulative TP and FP from the highest on, fpr, tpr, precision, and fpr and tpr before it.
 
-    Rows are counted per score, and scores are dealt to buckets of equal width: running sums within a bucket are added to
-    those of the buckets above, so no window holds more than the buckets or one bucket's scores.
+    Rows are counted per score, and running sums go over ranges of scores, however these are spread.
     """
-    value = F.col(score).cast("double")
-    per = df.groupBy(value.alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    total = per.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    placed = per.join(F.broadcast(total)).withColumn("b", F.coalesce(F.floor((F.col("score") - F.col("lo")) / width * buckets), F.lit(0)))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("b").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))
-    bases = sums.select("b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"base_{c}") for c in ("p_", "q_")])
-    within = Window.partitionBy("b").orderBy(F.desc("score"))
-    rows = placed.join(F.broadcast(bases), "b").withColumns({"TP": F.col("base_p_") + F.sum("p").over(within), "FP": F.col("base_q_") + F.sum("q").over(within)})
+    per = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    rows = running(per, [], [F.desc("score")], {"p_": F.col("p"), "q_": F.col("q")})
+    total = rows.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    rows = rows.join(F.broadcast(total)).withColumns({"TP": F.col("p") + F.col("p_"), "FP": F.col("q") + F.col("q_")})
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), F.col(b).cast("double")), F.lit(0.0))
     tp, fp = F.col("TP"), F.col("FP")
     return rows.select(
         "score", "TP", "FP", ratio(fp, "all_q").alias("fpr"), ratio(tp, "all_p").alias("tpr"), (tp / (tp + fp)).alias("precision"),
-        ratio(fp - F.col("q"), "all_q").alias("fpr_before"), ratio(tp - F.col("p"), "all_p").alias("tpr_before"),
+        ratio(F.col("q_"), "all_q").alias("fpr_before"), ratio(F.col("p_"), "all_p").alias("tpr_before"),
     )
 
 

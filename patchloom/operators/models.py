@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import time
+from typing import NamedTuple
 
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
@@ -12,10 +14,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from patchloom.functions.code import code_tokens
 from patchloom.operators.aggregates import confusion_metrics
+from patchloom.operators.splits import nearest
 
 #: The grids that are searched.
 FOREST_GRID = {"maxDepth": [5, 10], "minInstancesPerNode": [1, 3], "numTrees": [20, 50]}
@@ -58,65 +60,80 @@ def train_linear_svc(train: DataFrame, seed: int = 0, grid: dict[str, list] | No
     return grid_search(train, LinearSVC(), SVC_GRID if grid is None else grid, folds, seed)
 
 
+class Stump(NamedTuple):
+    """low for features up to threshold, high above it."""
+
+    feature: int
+    threshold: float
+    low: float
+    high: float
+
+    def predict(self, values: Column) -> Column:
+        return F.when(values[self.feature] <= self.threshold, self.low).otherwise(self.high)
+
+
 class BoostedStumps:
-    """Trees of depth 1 with their votes."""
+    """Trees of depth 1 with their votes, applied as one expression over the features."""
 
-    def __init__(self, stumps: list[tuple[Model, float]]):
+    def __init__(self, stumps: list[tuple[Stump, float]]):
         self.stumps = stumps
 
     def transform(self, df: DataFrame) -> DataFrame:
-        margin, rows = F.lit(0.0), df
-        for i, (stump, vote) in enumerate(self.stumps):
-            rows = stump.copy({stump.predictionCol: f"h{i}_", stump.probabilityCol: "", stump.rawPredictionCol: ""}).transform(rows)
-            margin = margin + vote * (2 * F.col(f"h{i}_") - 1)
-        rows = rows.withColumn("margin", margin)
-        return rows.withColumn("prediction", (F.col("margin") > 0).cast("double")).drop(*[f"h{i}_" for i in range(len(self.stumps))])
+        rows = df.withColumn("values_", vector_to_array(F.col("features")))
+        margin = F.lit(0.0)
+        for stump, vote in self.stumps:
+            margin = margin + vote * (2 * stump.predict(F.col("values_")) - 1)
+        return rows.withColumn("margin", margin).withColumn("prediction", (F.col("margin") > 0).cast("double")).drop("values_")
+
+
+def _stump_of(model: Model) -> Stump:
+    root = model._call_java("rootNode")
+    if model.depth == 0:
+        return Stump(0, math.inf, root.prediction(), root.prediction())
+    return Stump(root.split().featureIndex(), root.split().threshold(), root.leftChild().prediction(), root.rightChild().prediction())
 
 
 def train_adaboost(train: DataFrame, rounds: int = 10, rate: float = 1.0, seed: int = 0) -> BoostedStumps:
-    """AdaBoost of stumps: each round is a weighted fit and one aggregation; weights are a column."""
-    import math
-
-    rows, stumps = train.select("features", F.col("label").cast("double").alias("label")).withColumn("w", F.lit(1.0)), []
-    for i in range(rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + i, probabilityCol="", rawPredictionCol="", predictionCol="p_").fit(rows)
-        scored = stump.transform(rows)
-        wrong, total = scored.agg(F.sum(F.when(F.col("p_") != F.col("label"), F.col("w")).otherwise(0.0)), F.sum("w")).first()
-        error = min(max(wrong / total, 1e-10), 1 - 1e-10)
-        if error >= 0.5:
-            break
-        vote = rate * math.log((1 - error) / error)
-        stumps.append((stump, vote))
-        rows = scored.withColumn("w", F.col("w") * F.when(F.col("p_") != F.col("label"), math.exp(vote)).otherwise(1.0) / total).drop("p_")
+    """AdaBoost of stumps: each round is a weighted fit and one aggregation.
+
+    A row's weight is an expression of its features and label, the votes of the stumps that are wrong about it, so a round
+    reads the training rows themselves and not the round before it, and its plan is no deeper than the first one's.
+    """
+    rows = train.select("features", F.col("label").cast("double").alias("label"), vector_to_array(F.col("features")).alias("values_")).persist()
+    stumps: list[tuple[Stump, float]] = []
+    try:
+        votes, shift = F.lit(0.0), 0.0
+        for i in range(rounds):
+            weighted = rows.withColumn("w", F.exp(votes - shift))
+            fitted = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + i).fit(weighted.select("features", "label", "w"))
+            stump = _stump_of(fitted)
+            missed = stump.predict(F.col("values_")) != F.col("label")
+            wrong, total = weighted.agg(F.sum(F.when(missed, F.col("w")).otherwise(0.0)), F.sum("w")).first()
+            error = min(max(wrong / total, 1e-10), 1 - 1e-10)
+            if error >= 0.5:
+                break
+            vote = rate * math.log((1 - error) / error)
+            stumps.append((stump, vote))
+            # Weights stay near 1, however many rounds there are.
+            votes, shift = votes + F.when(missed, vote).otherwise(0.0), shift + math.log(1 - error + error * math.exp(vote))
+    finally:
+        rows.unpersist()
     return BoostedStumps(stumps)
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "uniform", p: int = 2, key: str = "id") -> DataFrame:
-    """test's key with prediction: the vote of the k nearest train rows that share a feature with it.
+    """test's key with prediction: the vote of the k nearest rows of train, equal distances in order of key; a tie goes to label 0.
 
-    Vectors are joined on their nonzero features, so only rows with a feature in common meet; a test row without any
-    gets the commonest label. A tie goes to label 0.
+    weights is uniform or distance (votes by the inverse distance; a row at distance 0 outvotes all others). Neighbours
+    are exact, from nearest().
     """
-
-    def entries(df: DataFrame) -> DataFrame:
-        array = vector_to_array(F.col("features"))
-        size = F.aggregate(array, F.lit(0.0), lambda s, v: s + (v * v if p == 2 else F.abs(v)))
-        rows = df.select(key, size.alias("size"), F.posexplode(array).alias("i", "v"))
-        return rows.filter("v <> 0")
-
-    a = entries(test).select(F.col(key).alias("t"), "i", F.col("v").alias("x"), F.col("size").alias("sx"))
-    b = entries(train).select(F.col(key).alias("n"), "i", F.col("v").alias("y"), F.col("size").alias("sy"))
-    # |x - y| over shared features plus what lies outside them, from the two sizes.
-    part = -2 * F.col("x") * F.col("y") if p == 2 else F.abs(F.col("x") - F.col("y")) - F.abs("x") - F.abs("y")
-    pairs = a.join(b, "i").groupBy("t", "n").agg(F.sum(part).alias("d"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
-    total = F.greatest(F.col("sx") + F.col("sy") + F.col("d"), F.lit(0.0))
-    near = pairs.withColumn("distance", F.sqrt(total) if p == 2 else total)
-    near = near.withColumn("r_", F.row_number().over(Window.partitionBy("t").orderBy("distance", "n"))).filter(F.col("r_") <= k)
-    weight: Column = F.lit(1.0) if weights == "uniform" else 1.0 / (F.col("distance") + 1e-9)
-    votes = near.join(train.select(F.col(key).alias("n"), "label"), "n").groupBy("t").agg(F.sum(F.when(F.col("label") == 1, weight).otherwise(-weight)).alias("vote"))
-    common = train.agg((F.avg(F.col("label").cast("double")) > 0.5).cast("double").alias("common_"))
-    rows = test.select(key).join(votes, F.col(key) == F.col("t"), "left").join(F.broadcast(common))
-    return rows.select(key, F.when(F.col("vote").isNull(), F.col("common_")).otherwise((F.col("vote") > 0).cast("double")).alias("prediction"))
+    arrays = lambda df: df.select(key, vector_to_array(F.col("features")).alias("vector"))
+    near = nearest(arrays(train), k, key, queries=arrays(test), p=p)
+    distance = F.sqrt("d") if p == 2 else F.col("d")
+    weight: Column = F.lit(1.0) if weights == "uniform" else 1.0 / (distance + 1e-9)
+    votes = near.join(train.select(F.col(key).alias("b"), "label"), "b").groupBy("a").agg(F.sum(F.when(F.col("label") == 1, weight).otherwise(-weight)).alias("vote"))
+    rows = test.select(key).join(votes, F.col(key) == F.col("a"), "left")
+    return rows.select(key, (F.coalesce("vote", F.lit(0.0)) > 0).cast("double").alias("prediction"))
 
 
 def evaluate(model, test: DataFrame, name: str, run: int = 0) -> DataFrame:

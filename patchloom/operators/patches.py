@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from patchloom.functions.code import change_status, hunk_lines, line_count, pair_hash
@@ -48,29 +49,113 @@ def diff_blocks(diffs: DataFrame, extensions: list[str], key: str = "id", text:
     return rows.filter(~F.col("a_path").contains("/dev/null") & ~F.col("b_path").contains("/dev/null") & ~F.col("a_path").contains("test") & ~F.col("b_path").contains("test"))
 
 
+def _longest_rising(values: np.ndarray) -> np.ndarray:
+    """Places of a longest strictly rising subsequence."""
+    ends, at, before = [], [], np.full(len(values), -1)
+    for i, v in enumerate(values.tolist()):
+        j = bisect_left(ends, v)
+        before[i] = at[j - 1] if j else -1
+        if j == len(ends):
+            ends.append(v)
+            at.append(i)
+        else:
+            ends[j], at[j] = v, i
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], np.int64)
+
+
+def _anchors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal lines that a diff of a and b keeps: of the lines rarest on their more frequent side, nth with nth, those that rise together."""
+    kinds = np.intersect1d(a, b)
+    if not len(kinds):
+        return kinds[:0], kinds[:0]
+    count = lambda x: np.bincount(np.searchsorted(kinds, x[np.isin(x, kinds)]), minlength=len(kinds))
+    n, m = count(a), count(b)
+    rare = kinds[np.maximum(n, m) == np.maximum(n, m).min()]
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of rare lines, sorted by line and place, and (line, nth) of each as a number."""
+        at = np.flatnonzero(np.isin(x, rare))
+        kind = np.searchsorted(rare, x[at])
+        order = np.argsort(kind, kind="stable")
+        at, kind = at[order], kind[order]
+        first = np.searchsorted(kind, kind)
+        return at, kind * np.int64(len(a) + len(b) + 1) + np.arange(len(at)) - first
+
+    at_a, of_a = places(a)
+    at_b, of_b = places(b)
+    _, i, j = np.intersect1d(of_a, of_b, assume_unique=True, return_indices=True)
+    i, j = at_a[i], at_b[j]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    kept = _longest_rising(j)
+    return i[kept], j[kept]
+
+
+def changed_blocks(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """[i1, i2, j1, j2] of each run of lines that differ: lines i1 to i2 of a stand for j1 to j2 of b, and all others are equal in order.
+
+    Equal heads and tails are taken off; the rarest common lines of what is left are anchors, most of them lines that stand
+    once on each side; and the same goes on between anchors, until nothing is common.
+    """
+    kept, todo = [np.zeros((0, 2), np.int64)], [(0, len(a), 0, len(b))]
+    while todo:
+        i1, i2, j1, j2 = todo.pop()
+        n = min(i2 - i1, j2 - j1)
+        apart = np.flatnonzero(a[i1 : i1 + n] != b[j1 : j1 + n])
+        head = int(apart[0]) if len(apart) else n
+        kept.append(np.stack([np.arange(i1, i1 + head), np.arange(j1, j1 + head)], 1))
+        i1, j1, n = i1 + head, j1 + head, n - head
+        apart = np.flatnonzero(a[i2 - n : i2][::-1] != b[j2 - n : j2][::-1])
+        tail = int(apart[0]) if len(apart) else n
+        kept.append(np.stack([np.arange(i2 - tail, i2), np.arange(j2 - tail, j2)], 1))
+        i2, j2 = i2 - tail, j2 - tail
+        if i1 < i2 and j1 < j2:
+            x, y = _anchors(a[i1:i2], b[j1:j2])
+            if len(x):
+                x, y = x + i1, y + j1
+                kept.append(np.stack([x, y], 1))
+                todo += zip([i1, *(x + 1).tolist()], [*x.tolist(), i2], [j1, *(y + 1).tolist()], [*y.tolist(), j2], strict=True)
+    same = np.concatenate(kept)
+    same = same[np.argsort(same[:, 0])]
+    starts = np.concatenate([[[0, 0]], same + 1])
+    ends = np.concatenate([same, [[len(a), len(b)]]])
+    open_ = (starts < ends).any(1)
+    return np.stack([starts[open_, 0], ends[open_, 0], starts[open_, 1], ends[open_, 1]], 1).tolist()
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+    """changed_blocks of arrays of line digests, so that no text leaves the JVM."""
+    return pd.Series([changed_blocks(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)])
+
+
+def _compared(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with a_lines_, b_lines_ and blocks_; a null text has one empty line."""
+    lines = lambda text: F.split(F.coalesce(text, F.lit("")), "\n")
+    rows = pairs.withColumns({"a_lines_": lines(a), "b_lines_": lines(b)})
+    digests = lambda c: F.transform(c, lambda line: F.xxhash64(line))
+    return rows.withColumn("blocks_", _blocks(digests("a_lines_"), digests("b_lines_")))
+
+
 def line_edits(pairs: DataFrame, key: str = "id", a: str = "a_text", b: str = "b_text") -> DataFrame:
     """Changed lines of file pairs: key, hunk, side (a, b), line_no, line, and per pair size_a, size_b.
 
-    Lines of a pair without change give one row with hunk -1 and nulls, so that its sizes are known. Batches are whole
-    pairs; callers bound the files' sizes first.
+    Lines of a pair without change give one row with hunk -1 and nulls, so that its sizes are known.
     """
+    rows = _compared(pairs.select(key, a, b), a, b).select(key, "a_lines_", "b_lines_", F.posexplode_outer("blocks_").alias("hunk", "at"))
 
-    def edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, x, y in zip(batch[key], batch[a], batch[b], strict=True):
-                left, right = (x or "").split("\n"), (y or "").split("\n")
-                changes = [g for g in difflib.SequenceMatcher(None, left, right, autojunk=False).get_grouped_opcodes(0)]
-                rows = [(k, h, side, i + 1, lines[i], len(left), len(right))
-                        for h, group in enumerate(changes) for kind, i1, i2, j1, j2 in group if kind != "equal"
-                        for side, lines, low, high in (("a", left, i1, i2), ("b", right, j1, j2)) for i in range(low, high)]
-                out += rows or [(k, -1, None, None, None, len(left), len(right))]
-            frame = pd.DataFrame(out, columns=[key, "hunk", "side", "line_no", "line", "size_a", "size_b"])
-            frame["line_no"] = frame["line_no"].astype("Int64")
-            yield frame
+    def side(name: str, first: int) -> Column:
+        low, n = F.col("at")[first], F.col("at")[first + 1] - F.col("at")[first]
+        return F.transform(F.slice(f"{name}_lines_", low + 1, n), lambda line, i: F.struct(F.lit(name).alias("side"), (low + i + 1).cast("long").alias("line_no"), line.alias("line")))
 
-    kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, a, b).mapInPandas(edits, f"{key} {kind}, hunk int, side string, line_no long, line string, size_a long, size_b long")
+    lines = F.when(F.col("at").isNotNull(), F.concat(side("a", 0), side("b", 2)))
+    sizes = [F.size("a_lines_").cast("long").alias("size_a"), F.size("b_lines_").cast("long").alias("size_b")]
+    each = rows.select(key, F.coalesce("hunk", F.lit(-1)).alias("hunk"), *sizes, F.explode_outer(lines).alias("e"))
+    return each.select(key, "hunk", "e.side", "e.line_no", "e.line", "size_a", "size_b")
 
 
 def line_diff(pairs: DataFrame, unsafe_label: str = "unsafe", key: str = "id") -> DataFrame:
@@ -98,24 +183,26 @@ def line_diff(pairs: DataFrame, unsafe_label: str = "unsafe", key: str = "id") -
 
 
 def paired_snippets(pairs: DataFrame, key: str = "id", vuln: str = "a_text", fix: str = "b_text", context: int = 3) -> DataFrame:
-    """key, vuln_snippet, fix_snippet: the lines of the first hunk of each side with context, null on a side that it leaves unchanged."""
-
-    def snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, x, y in zip(batch[key], batch[vuln], batch[fix], strict=True):
-                left, right = (x or "").split("\n"), (y or "").split("\n")
-                first = next(difflib.SequenceMatcher(None, left, right, autojunk=False).get_grouped_opcodes(context), None)
-                a = b = None
-                if first:
-                    kinds = {g[0] for g in first}
-                    a = "\n".join(left[first[0][1] : first[-1][2]]) if kinds & {"replace", "delete"} else None
-                    b = "\n".join(right[first[0][3] : first[-1][4]]) if kinds & {"replace", "insert"} else None
-                out.append((k, a, b))
-            yield pd.DataFrame(out, columns=[key, "vuln_snippet", "fix_snippet"])
-
-    kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, vuln, fix).mapInPandas(snippets, f"{key} {kind}, vuln_snippet string, fix_snippet string")
+    """key, vuln_snippet, fix_snippet: the lines of the first hunk of each side with context, null on a side that it leaves unchanged.
+
+    A hunk goes on as long as no more than twice the context's lines are equal between two changes.
+    """
+    rows = _compared(pairs.select(key, vuln, fix), vuln, fix)
+    start = F.struct(F.get("blocks_", 0).alias("last"), F.lit(True).alias("open"), F.lit(False).alias("a"), F.lit(False).alias("b"))
+
+    def step(s: Column, at: Column) -> Column:
+        near = s["open"] & (at[0] - s["last"][1] <= 2 * context)
+        grown = F.struct(at.alias("last"), F.lit(True).alias("open"), (s["a"] | (at[1] > at[0])).alias("a"), (s["b"] | (at[3] > at[2])).alias("b"))
+        return F.when(near, grown).otherwise(F.struct(s["last"].alias("last"), F.lit(False).alias("open"), s["a"].alias("a"), s["b"].alias("b")))
+
+    found = rows.withColumn("h_", F.aggregate("blocks_", start, step))
+
+    def snippet(name: str, first: int) -> Column:
+        low = F.greatest(F.get("blocks_", 0)[first] - context, F.lit(0))
+        high = F.least(F.col("h_.last")[first + 1] + context, F.size(f"{name}_lines_"))
+        return F.when(F.col(f"h_.{name}"), F.array_join(F.slice(f"{name}_lines_", low + 1, high - low), "\n"))
+
+    return found.select(key, snippet("a", 0).alias("vuln_snippet"), snippet("b", 2).alias("fix_snippet"))
 
 
 def random_snippets(df: DataFrame, seed: int, key: str = "id", text: str = "text") -> DataFrame:

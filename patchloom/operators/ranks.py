@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from patchloom.session import scratch_dir
+
 #: Leading digits of a digest that name a bucket: 65,536 of them.
 DIGITS = 4
-BINS = 1024
-#: Values of a bin that are few enough to be sorted by themselves.
+#: Of the sketch that brackets quantiles.
+ACCURACY = 10_000
+#: Values of a bracket that are few enough to be sorted by themselves.
 FEW = 10_000
 
 
@@ -53,34 +56,73 @@ def least_rows(df: DataFrame, n: int, digest: Column, ties: list[str], last: boo
     return df
 
 
+def running(df: DataFrame, by: list[str], order: list[str | Column], values: dict[str, Column]) -> DataFrame:
+    """df with a column for each of values: its sum over the rows before, in order within by, and 0 for the first row.
+
+    For any order, ranked() being for random digests alone. Rows are dealt out by ranges of by and order and written, so that
+    both passes see the same ranges: sums within a range, and below them the sums of the group's earlier ranges. A range
+    has at most one group that began before it, so these bases are no more than the ranges, and no window takes a whole
+    group. Rows equal in by and order share a range. Nulls in by are a group of their own.
+    """
+    names = [f"value{i}_" for i in range(len(values))]
+    dealt = df.withColumns(dict(zip(names, values.values(), strict=True))).repartitionByRange(*by, *order)
+    path = scratch_dir(df.sparkSession, "ranges")
+    dealt.withColumn("range_", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+
+    group = Window.partitionBy(*by)
+    above = group.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "range_").agg(*[F.sum(c).alias(c) for c in names])
+    bases = sums.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("range_").alias("its_"), *[F.sum(c).over(above).alias(f"base_{c}") for c in names], F.row_number().over(group.orderBy("range_")).alias("nth_"))
+    own = Window.partitionBy(*by, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("range_") == F.col("its_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    summed = rows.withColumns({c: F.coalesce(F.sum(c).over(own), F.lit(0)) for c in names}).join(F.broadcast(bases.filter("nth_ > 1")), same, "left")
+    return summed.select(*df.columns, *[(F.col(c) + F.coalesce(f"base_{c}", F.lit(0))).alias(name) for name, c in zip(values, names, strict=True)])
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Exact interpolated quantiles of a column's values that aren't null, by counts in ever narrower bins."""
+    """Exact interpolated quantiles of a column's values that are neither null nor NaN; infinities count as values.
+
+    A sketch brackets all wanted ranks at once, and one more pass counts what lies below and within each bracket, until a
+    bracket has one value or few enough to be sorted: two passes for some thousandth part of the rows each.
+    """
     value = F.col(column).cast("double")
-    rows = df.filter(value.isNotNull()).select(value.alias("v"))
-    n, least, most = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
-
-    def at(rank: int) -> float:
-        low, high, before = least, most, 0
-        while low < high:
-            width = (high - low) / BINS
-            place = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
-            bins = rows.filter(F.col("v").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            for b in sorted(bins.collect(), key=lambda r: r.b):
-                if before + b.n > rank:
-                    break
-                before += b.n
-            low, high = b.low, b.high
-            if b.n <= FEW:
-                return sorted(r.v for r in rows.filter(F.col("v").between(low, high)).collect())[rank - before]
-        return low
+    rows = df.filter(value.isNotNull() & ~F.isnan(value)).select(value.alias("v"))
+    n = rows.count()
+    if not n:
+        return [None for _ in shares]
+    position = {share: share * (n - 1) for share in shares}
+    wanted = sorted({f(p) for p in position.values() for f in (math.floor, math.ceil)})
+    inside = lambda low, high: F.col("v").between(F.lit(low), F.lit(high))
+    brackets = {rank: (-math.inf, math.inf, 0, n) for rank in wanted}  # ends, rows below, rows within
+    margin, accuracy = 4.0, ACCURACY
+    while open_ := [r for r, (low, high, _, m) in brackets.items() if low < high and m > FEW]:
+        asked = []
+        for rank in open_:
+            low, high, below, m = brackets[rank]
+            place, room = (rank - below + 0.5) / m, margin / accuracy
+            asked.append(F.percentile_approx(F.when(inside(low, high), F.col("v")), [max(0.0, place - room), min(1.0, place + room)], accuracy))
+        ends = rows.agg(*[a.alias(f"q{i}") for i, a in enumerate(asked)]).first()
+        counted = rows.agg(*[F.count_if(F.col("v") < e[0]) for e in ends], *[F.count_if(inside(e[0], e[1])) for e in ends]).first()
+        for i, rank in enumerate(open_):
+            below, m = counted[i], counted[len(open_) + i]
+            if not below <= rank < below + m:
+                margin *= 2  # the sketch was further off than it should be
+            elif m < brackets[rank][3]:
+                brackets[rank] = (*ends[i], below, m)
+            elif ends[i][0] < ends[i][1]:
+                accuracy *= 4
+            else:
+                brackets[rank] = (*ends[i], below, m)
+    left = [r for r, (low, high, _, _) in brackets.items() if low < high]
+    held = rows.agg(*[F.sort_array(F.collect_list(F.when(inside(*brackets[r][:2]), F.col("v")))).alias(f"q{i}") for i, r in enumerate(left)]).first() if left else []
+    at = {r: held[left.index(r)][r - below] if r in left else low for r, (low, _, below, _) in brackets.items()}
 
     out: list[float | None] = []
     for share in shares:
-        if not n:
-            out.append(None)
-            continue
-        position = share * (n - 1)
-        lower, upper = math.floor(position), math.ceil(position)
-        a = at(lower)
-        out.append(a if lower == upper else (upper - position) * a + (position - lower) * at(upper))
+        p = position[share]
+        lower, upper = math.floor(p), math.ceil(p)
+        out.append(at[lower] if at[lower] == at[upper] else (upper - p) * at[lower] + (p - lower) * at[upper])
     return out

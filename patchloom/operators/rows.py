@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patchloom.operators.filters import quoted
-from patchloom.operators.ranks import least_rows, ranked
+from patchloom.operators.ranks import least_rows, ranked, running
 
 
 def seeded(seed: int, *key: Column | str) -> Column:
@@ -43,8 +43,8 @@ def dedup_fix_rows(df: DataFrame, sequence: str) -> DataFrame:
 
 
 def func_id(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Ids from 0 within each file, in order of all columns."""
-    return df.withColumn("func_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in df.columns if c not in keys])) - 1)
+    """Ids from 0 within each file, in order of all columns; a file's rows may be in many tasks."""
+    return running(df, keys, [c for c in df.columns if c not in keys], {"func_id": F.lit(1)}).withColumn("func_id", F.col("func_id").cast("int"))
 
 
 def order_chain(chains: DataFrame, commits: DataFrame) -> DataFrame:
@@ -88,42 +88,47 @@ def drop_tag(df: DataFrame, tag: str, ratio: float, seed: int, key: str = "id")
 
 def single_function_files(df: DataFrame) -> DataFrame:
     """Safe rows, and unsafe rows that are alone in their project, file and label."""
+    safe = F.coalesce(F.col("label") == "safe", F.lit(False))
     n = F.count("*").over(Window.partitionBy("project", "fpath", "label"))
-    return df.withColumn("n_", n).filter((F.col("label") == "safe") | (F.col("n_") < 2)).drop("n_")
+    return df.filter(safe).unionByName(df.filter(~safe).withColumn("n_", n).filter("n_ < 2").drop("n_"))
 
 
 def pair_negatives(vulnerable: DataFrame, negatives: DataFrame, seed: int, keywords: list[str] | None = None) -> DataFrame:
     """Each vulnerable file (id, project, file_path) with a random negative of its project (sha, file_path, message), each used once.
 
-    A negative of the same path doesn't fit; with keywords, nor does one whose message starts with one of them. Both
-    sides are ranked at random within the project and meet by rank. Those that don't fit meet again, files of the
-    project's commonest path left against negatives of other paths, until a round makes no pair: then none is left that
-    fits. Files without a partner have nulls.
+    A negative of the same path doesn't fit (a null path is one of its own); with keywords, nor does one whose message is
+    null or starts with one of them. As many files as possible get a partner; the others have nulls.
+
+    Both sides of a project stand in random order of their paths, and at random within a path, and the one side is shifted
+    against the other round a circle of M places. With a_p files and b_p negatives of path p, and prefix sums A_p and B_p of
+    the paths before it, files of p meet negatives of p only for shifts strictly between B_p - A_p - a_p and
+    B_p - A_p + b_p. Where no a_p + b_p is above M, these intervals together are no longer than M, so the largest
+    B_p - A_p + b_p is a shift at which no such pair meets. M is the largest of both sides' rows and of all a_p + b_p, and
+    the places that are left over are one more path. This is a maximum: either the smaller side is used up, or the path
+    with the largest a_p + b_p meets all rows of other paths.
     """
-    pool = negatives.distinct()
+    pool = negatives
     if keywords is not None:
         pool = pool.filter(F.col("message").isNotNull() & ~F.col("message").rlike(quoted(keywords)))
-    left = vulnerable
-    right = pool.select("project", F.col("sha").alias("non_vuln_commit_hash"), F.col("file_path").alias("non_vuln_file_path"))
-    ids = ["non_vuln_commit_hash", "non_vuln_file_path"]
-    made, k = None, 0
-    while True:
-        a, b, first = left, right, F.lit("")
-        if k:  # the commonest path left; where only it is left on the other side, files of other paths come first
-            paths = left.groupBy("project", "file_path").agg(F.count("*").alias("n_")).groupBy("project").agg(F.max_by("file_path", F.struct("n_", "file_path")).alias("path_"))
-            others = right.join(paths, "project").groupBy("project", "path_").agg(F.bool_or(F.col("non_vuln_file_path") != F.col("path_")).alias("others_"))
-            a, b = left.join(others, "project"), right.join(others, "project")
-        # A digest before which stands 0 for what shall meet first, or 8.
-        place_a = F.when((F.col("file_path") == F.col("path_")) == F.col("others_"), "0").otherwise("8") if k else first
-        place_b = F.when(F.col("non_vuln_file_path") != F.col("path_"), "0").otherwise("8") if k else first
-        a = ranked(a, ["project"], F.concat(place_a, seeded(seed + k, "id")), ["id"]).select(*left.columns, "r_")
-        b = ranked(b, ["project"], F.concat(place_b, seeded(seed + k, *ids)), ["non_vuln_file_path"]).select(*right.columns, "r_")
-        got = a.join(b, ["project", "r_"]).filter(F.col("file_path") != F.col("non_vuln_file_path")).drop("r_").persist()
-        if got.isEmpty() and k:
-            return made.unionByName(left, allowMissingColumns=True)
-        made, k = got if made is None else made.unionByName(got), k + 1
-        left = left.join(got.select("id"), "id", "left_anti")
-        right = right.join(got.select("project", *ids), ["project", *ids], "left_anti")
+    names = ["non_vuln_commit_hash", "non_vuln_file_path"]
+    pool = pool.select("project", F.col("sha").alias(names[0]), F.col("file_path").alias(names[1])).distinct()
+    counts = vulnerable.select("project", F.col("file_path").alias("path_"), F.lit(1).alias("a_"), F.lit(0).alias("b_"))
+    counts = counts.union(pool.select("project", names[1], F.lit(0), F.lit(1))).groupBy("project", "path_").agg(F.sum("a_").alias("a_"), F.sum("b_").alias("b_"))
+    sizes = counts.groupBy("project").agg(F.sum("a_").alias("a"), F.sum("b_").alias("b"), F.max(F.col("a_") + F.col("b_")).alias("c")).withColumn("m_", F.greatest("a", "b", "c"))
+    left_over = sizes.select("project", F.lit(None).cast("string").alias("path_"), (F.col("m_") - F.col("a")).alias("a_"), (F.col("m_") - F.col("b")).alias("b_"), F.lit(True).alias("over_"))
+    paths = counts.withColumn("over_", F.lit(False)).unionByName(left_over)
+    paths = running(paths, ["project"], ["over_", seeded(seed + 1, F.coalesce("path_", F.lit(""))), "path_"], {"at_a_": F.col("a_"), "at_b_": F.col("b_")})
+    shift = paths.groupBy("project").agg(F.max(F.col("at_b_") + F.col("b_") - F.col("at_a_")).alias("shift_"), F.sum("a_").alias("m_"))
+    starts = paths.filter(~F.col("over_")).join(shift, "project").select(F.col("project").alias("of_"), "path_", "at_a_", "at_b_", "shift_", "m_")
+
+    def placed(df: DataFrame, path: str, keys: list[str], start: str) -> DataFrame:
+        rows = ranked(df, ["project", path], seeded(seed, *keys), keys)
+        met = rows.join(starts, (F.col("project") == F.col("of_")) & F.col(path).eqNullSafe(F.col("path_")))
+        return met.withColumn("place_", F.col(start) + F.col("r_") - 1)
+
+    files = placed(vulnerable, "file_path", ["id"], "at_a_").withColumn("place_", (F.col("place_") + F.col("shift_")) % F.col("m_")).select(*vulnerable.columns, "place_")
+    others = placed(pool, names[1], names, "at_b_").select("project", "place_", *names)
+    return files.join(others, ["project", "place_"], "left").select(*vulnerable.columns, *names).unionByName(vulnerable.filter("project IS NULL"), allowMissingColumns=True)
 
 
 def augment(vulnerable: DataFrame, negatives: DataFrame, n: int, seed: int) -> DataFrame:

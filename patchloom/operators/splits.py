@@ -6,6 +6,9 @@ hash thresholds, so that no window takes all rows into one task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,8 +18,11 @@ from pyspark.sql.window import Window
 from patchloom.operators.aggregates import oversample_ratio
 from patchloom.operators.ranks import ranked
 from patchloom.operators.rows import keep_first, random_rows, repeats, seeded, seeded_fraction
+from patchloom.session import scratch_dir
 
 EIGHTY, SIXTY = (0.1, 0.1), (0.2, 0.2)  # shares of test and validation
+#: Tokens that are compared as vectors instead of by an index, and the most pivots of a search.
+COMMON, PIVOTS = 512, 2048
 
 
 def _by_fraction(fraction: Column, shares: tuple[float, float]) -> Column:
@@ -119,18 +125,119 @@ def bag_counts(bags: DataFrame, key: str = "id", tokens: str = "tokens") -> Data
 def bag_cosine(bags: DataFrame, k: int | None = None, key: str = "id", tokens: str = "tokens", queries: DataFrame | None = None) -> DataFrame:
     """Cosine of token counts between bags that share a token: a (of queries, by default all), b, similarity, place from 1.
 
-    With k, the k most similar of each a, equal ones in order of b. A token in very many bags makes many pairs; the
-    caller drops such tokens first, and adaptive skew joins split the rest.
+    With k, the k most similar of each a, equal ones in order of b, found by nearest_bags. Without, all pairs that share a
+    token, which are many where a token is in very many bags.
     """
     counts = bag_counts(bags, key, tokens)
+    if k is not None:
+        return nearest_bags(counts, k, key, queries)
     left = counts if queries is None else counts.join(queries.select(key), key, "left_semi")
     a = left.select(F.col(key).alias("a"), "token", F.col("n").alias("n1"), F.col("norm").alias("m1"))
     b = counts.select(F.col(key).alias("b"), "token", F.col("n").alias("n2"), F.col("norm").alias("m2"))
     pairs = a.join(b, "token").filter("a <> b").groupBy("a", "b").agg((F.sum(F.col("n1") * F.col("n2")) / F.first("m1") / F.first("m2")).alias("similarity"))
-    if k is None:
-        return pairs
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 12)), "b"))
-    return pairs.withColumn("place", place).filter(F.col("place") <= k)
+    return pairs
+
+
+def common_tokens(counts: DataFrame, most: int) -> list[str]:
+    """The most common tokens by bags, at most so many."""
+    return [r.token for r in counts.groupBy("token").count().orderBy(F.desc("count"), "token").limit(most).collect()]
+
+
+def _in_blocks(rows: DataFrame, asked: DataFrame, k: int, size: int, block: int) -> DataFrame:
+    """a, b, dot, similarity: for each bag of asked the k bags of rows with the largest cosine of common tokens, of each block pair.
+
+    rows and asked: key, at, n (places and counts of common tokens), norm. Blocks of about block bags meet in products of
+    whole matrices, from which only k rows a bag come back.
+    """
+    parts, others = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    place = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    given = rows.withColumn("i", place(parts, 1)).withColumn("j", every(others)).withColumn("asks", F.lit(False))
+    put = asked.withColumn("j", place(others, 2)).withColumn("i", every(parts)).withColumn("asks", F.lit(True))
+    met = given.unionByName(put).withColumn("pair", F.col("i") * others + F.col("j"))
+
+    def dense(own: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(own), size))
+        for row, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
+            out[row, np.asarray(at, np.int64)] = n
+        return out
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key", ignore_index=True)
+        b, out = group[~group["asks"]], []
+        y, names, norms = dense(b), b["key"].to_numpy(), b["norm"].to_numpy()
+        asks = group[group["asks"]]
+        for low in range(0, len(asks), 256):
+            a = asks.iloc[low : low + 256]
+            dots = dense(a) @ y.T
+            similar = dots / a["norm"].to_numpy()[:, None] / norms[None, :]
+            similar[a["key"].to_numpy()[:, None] == names[None, :]] = 0
+            rounded = np.round(similar, 12)
+            for row, name in enumerate(a["key"]):
+                best = np.argsort(-rounded[row], kind="stable")[:k]
+                out += [(name, names[i], int(dots[row, i]), float(similar[row, i])) for i in best if similar[row, i] > 0]
+        return pd.DataFrame(out, columns=["a", "b", "dot", "similarity"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return met.select("pair", "asks", "key", "at", "n", "norm").groupBy("pair").applyInPandas(meet, f"a {kind}, b {kind}, dot long, similarity double")
+
+
+def _common_dots(pairs: DataFrame) -> DataFrame:
+    """a, b, dot: of pairs' common tokens at1, n1 and at2, n2, with the dot of the others added."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def dots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for at1, n1, at2, n2 in zip(batch["at1"], batch["n1"], batch["at2"], batch["n2"], strict=True):
+                _, i, j = np.intersect1d(at1, at2, assume_unique=True, return_indices=True)
+                out.append(int((np.asarray(n1)[i].astype(np.int64) * np.asarray(n2)[j].astype(np.int64)).sum()))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "dot": batch["dot"] + np.array(out, np.int64), "m1": batch["m1"], "m2": batch["m2"]})
+
+    return pairs.select("a", "b", "dot", "at1", "n1", "at2", "n2", "m1", "m2").mapInPandas(dots, f"a {kind}, b {kind}, dot long, m1 double, m2 double")
+
+
+def nearest_bags(counts: DataFrame, k: int, key: str = "id", queries: DataFrame | None = None, common: int = COMMON, block: int = 2048) -> DataFrame:
+    """a, b, similarity, place: the k bags most similar to each bag of queries (by default all) that share a token with it, exactly.
+
+    counts: key, token, n, norm. The tokens in most bags make vectors of common places, which meet in blocks by matrix products;
+    the k best of a bag by these alone bound its k-th similarity from below. All other tokens are an inverted index, whose
+    posting lists are short. A pair found there is dropped if its dot plus the product of both bags' norms over common
+    tokens stays below that bound, and settled by the exact dot otherwise. A pair without a token in the index has no
+    other similarity than that of common tokens, so none of the k best is missed, and pairs are made of rarer tokens alone.
+    """
+    spark = counts.sparkSession
+    known = common_tokens(counts, common)
+    places = spark.createDataFrame(list(enumerate(known)), "at int, token string")
+    path = scratch_dir(spark, "bags")
+    counts.select(F.col(key).alias("key"), "token", "n", "norm").join(F.broadcast(places), "token", "left").write.parquet(path)
+    marked = spark.read.parquet(path)
+    often = F.when(F.col("at").isNotNull(), F.struct("at", "n"))
+    sparse = marked.groupBy("key").agg(F.sort_array(F.collect_list(often)).alias("c"), F.first("norm").alias("norm"))
+    sparse = sparse.select("key", F.col("c.at").alias("at"), F.col("c.n").alias("n"), "norm", F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, c: s + (c["n"] * c["n"]).cast("double"))).alias("part"))
+    wanted = None if queries is None else queries.select(F.col(key).alias("key")).distinct()
+    ask = lambda df: df if wanted is None else df.join(wanted, "key", "left_semi")
+
+    own = ["key", "at", "n", "norm"]
+    order = [F.desc(F.round("similarity", 12)), "b"]
+    blocks = _in_blocks(sparse.select(*own), ask(sparse).select(*own), k, len(known), block)
+    alone = blocks.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(*order))).filter(F.col("place") <= k)
+    first = scratch_dir(spark, "bags-common")
+    alone.write.parquet(first)
+    alone = spark.read.parquet(first)
+    bound = alone.filter(F.col("place") == k).select("a", F.col("similarity").alias("least"))
+
+    rare = marked.filter("at IS NULL")
+    x = ask(rare).select(F.col("key").alias("a"), "token", F.col("n").alias("n1"))
+    y = rare.select(F.col("key").alias("b"), "token", F.col("n").alias("n2"))
+    pairs = x.join(y, "token").filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("n1") * F.col("n2")).alias("dot"))
+    side = lambda name, i: sparse.select(F.col("key").alias(name), F.col("at").alias(f"at{i}"), F.col("n").alias(f"n{i}"), F.col("norm").alias(f"m{i}"), F.col("part").alias(f"p{i}"))
+    both = pairs.join(bound, "a", "left").join(side("a", 1), "a").join(side("b", 2), "b")
+    most = (F.col("dot") + F.col("p1") * F.col("p2")) / F.col("m1") / F.col("m2")
+    found = _common_dots(both.filter(F.col("least").isNull() | (most >= F.col("least") - 1e-9)))
+    similar = found.select("a", "b", (F.col("dot") / F.col("m1") / F.col("m2")).alias("similarity"))
+    best = similar.unionByName(alone.select("a", "b", "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(*order))).filter(F.col("place") <= k)
 
 
 def smote_bags(bags: DataFrame, seed: int, k: int = 5, key: str = "id", tokens: str = "tokens") -> DataFrame:
@@ -169,32 +276,108 @@ def split_disjoint_smote(df: DataFrame, seed: int, key: str = "id", tokens: str
     return first.filter(F.col("split") != "train").select(key, "label", tokens, "split").unionByName(train.select(key, "label", tokens, "split"))
 
 
-def nearest(vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", block: int = 2000) -> DataFrame:
-    """a, b, d, place: the k nearest other vectors of each by squared Euclidean distance, equal ones in order of b.
+def _distances(x: np.ndarray, y: np.ndarray, p: int) -> np.ndarray:
+    """Distances (for p = 2 by a matrix product, so not exact to the last digits) of the rows of x and y."""
+    if p == 1:
+        return np.stack([np.abs(y - v).sum(1) for v in x]) if len(x) else np.zeros((0, len(y)))
+    squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
+    return np.sqrt(np.maximum(squares, 0))
 
-    Vectors are dealt to blocks of about block rows, and every pair of blocks meets in a group of its own, of which only
-    each vector's k nearest leave it. So the result is exact, and a task holds two blocks.
+
+def _cells(rows: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
+    """id, x, cell, d: the nearest pivot and how far it is."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 1024):
+                own = batch.iloc[low : low + 1024]
+                d = _distances(np.stack(own["x"].to_numpy()).astype(np.float64), pivots, p)
+                cell = d.argmin(1)
+                yield pd.DataFrame({"id": own["id"], "x": own["x"], "cell": cell, "d": d[np.arange(len(d)), cell]})
+
+    return rows.mapInPandas(deal, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>, cell long, d double")
+
+
+def nearest(vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", queries: DataFrame | None = None, p: int = 2, block: int = 2000) -> DataFrame:
+    """a, b, d, place: the k nearest other vectors of each of queries (by default all), equal ones in order of b; d is squared for p = 2.
+
+    Vectors are dealt to the nearest of about sqrt(n) pivots. From the distances to all pivots, the cells' radii and the k
+    smallest distances in each of them, the triangle inequality gives a vector a bound on its k-th distance, and with it the cells that may
+    hold something nearer; it is sent to these alone. Cells are cut into blocks of about block vectors, so a cell that
+    holds most of them is many tasks. Products of whole matrices find what is near, and exact sums order it. So the result is
+    exact; a vector is sent to no more than the pivots' number of cells, and where there is structure to far fewer.
     """
-    parts = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("x"), F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("long").alias("own"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    asked = rows.select("id", "x", F.lit(0).alias("role"), "own", every.alias("other")).select("id", "x", "role", (F.col("own") * parts + F.col("other")).alias("pair"))
-    given = rows.select("id", "x", F.lit(1).alias("role"), "own", every.alias("other")).select("id", "x", "role", (F.col("other") * parts + F.col("own")).alias("pair"))
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+    n = rows.count()
+    if not n:
+        kind = vectors.schema[key].dataType.simpleString()
+        return spark.createDataFrame([], f"a {kind}, b {kind}, d double, place int")
+    chosen = random_rows(rows, min(PIVOTS, math.ceil(math.sqrt(n))), 0, "id").collect()
+    pivots = np.array(sorted({tuple(r.x) for r in chosen}), np.float64)
+    path = scratch_dir(spark, "cells")
+    _cells(rows, pivots, p).write.parquet(path)
+    dealt = spark.read.parquet(path)
+
+    # Of each cell its size, its radius and its members nearest to the pivot: one row for each pivot.
+    sizes = {r.cell: (r.n, r.radius) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}
+    self_join = queries is None
+    inner = Window.partitionBy("cell").orderBy("d")
+    nth = dealt.withColumn("r_", F.row_number().over(inner)).filter(F.col("r_") <= k + self_join).groupBy("cell").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+    nth = {r.cell: r.d for r in nth.collect() if r.n == k + self_join}
+    radius = np.array([sizes.get(c, (0, -np.inf))[1] for c in range(len(pivots))])
+    within = np.array([nth.get(c, np.inf) for c in range(len(pivots))])
+    parts = np.array([-(-sizes.get(c, (0, 0))[0] // block) for c in range(len(pivots))])
+    asked = dealt.select("id", "x") if self_join else queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                own = batch.iloc[low : low + 256]
+                d = _distances(np.stack(own["x"].to_numpy()).astype(np.float64), pivots, p)
+                bound = (d + within).min(1)
+                room = 1e-6 * (1 + np.where(np.isfinite(bound), bound, 0) + d.max(1))
+                row, cell = np.nonzero((d - radius <= (bound + room)[:, None]) & (parts > 0))
+                times = parts[cell]
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                piece = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, np.int64)
+                yield pd.DataFrame({"id": own["id"].to_numpy()[row], "x": own["x"].to_numpy()[row], "cell": cell, "piece": piece})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    routed = asked.mapInPandas(route, f"id {kind}, x array<double>, cell long, piece long")
+    way = scratch_dir(spark, "routed")
+    routed.write.parquet(way)
+    routed = spark.read.parquet(way)
+    # A cell asked by very many is copied, so that a task has one block of each side.
+    asks = np.ones(len(pivots), np.int64)
+    for r in routed.filter("piece = 0").groupBy("cell").count().collect():
+        asks[r.cell] = -(-r["count"] // (4 * block))
+    copies = F.element_at(F.array(*[F.lit(int(c)) for c in asks]), F.col("cell").cast("int") + 1).cast("long")
+    shares = F.element_at(F.array(*[F.lit(int(max(1, c))) for c in parts]), F.col("cell").cast("int") + 1).cast("long")
+    own = F.pmod(F.xxhash64("id"), shares)
+    members = dealt.select("id", "x", "cell", own.alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("turn"), F.lit(False).alias("asks"))
+    askers = routed.select("id", "x", "cell", "piece", F.pmod(F.xxhash64("id", F.lit(1)), copies).alias("turn"), F.lit(True).alias("asks"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["role"] == 0], group[group["role"] == 1].sort_values("id")
-        out = []
-        if len(a) and len(b):
-            members, names = np.stack(b["x"].to_numpy()).astype(np.float64), b["id"].to_numpy()
-            for name, x in zip(a["id"], a["x"], strict=True):
-                d = ((members - np.asarray(x, np.float64)) ** 2).sum(1)
-                d[names == name] = np.inf
-                best = np.argsort(d, kind="stable")[:k]
-                out += [(name, names[i], float(d[i])) for i in best if np.isfinite(d[i])]
+        group = group.sort_values("id", ignore_index=True)
+        b, asking, out = group[~group["asks"]], group[group["asks"]], []
+        if len(b) and len(asking):
+            y, names = np.stack(b["x"].to_numpy()), b["id"].to_numpy()
+            for low in range(0, len(asking), 256):
+                part = asking.iloc[low : low + 256]
+                x = np.stack(part["x"].to_numpy())
+                d = _distances(x, y, p)
+                if self_join:
+                    d[part["id"].to_numpy()[:, None] == names[None, :]] = np.inf
+                edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                for row, name in enumerate(part["id"]):
+                    near = np.flatnonzero((d[row] <= edge[row] + 1e-6 * (1 + (edge[row] if np.isfinite(edge[row]) else 0))) & np.isfinite(d[row]))
+                    apart = y[near] - x[row]
+                    exact = (apart * apart).sum(1) if p == 2 else np.abs(apart).sum(1)
+                    out += [(name, names[near[i]], float(exact[i])) for i in np.argsort(exact, kind="stable")[:k]]
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
-    kind = vectors.schema[key].dataType.simpleString()
-    found = asked.union(given).groupBy("pair").applyInPandas(meet, f"a {kind}, b {kind}, d double")
+    found = members.unionByName(askers).groupBy("cell", "piece", "turn").applyInPandas(meet, f"a {kind}, b {kind}, d double")
     return found.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k)
 
 

@@ -105,8 +105,9 @@ h AS (SELECT r.owner, r.project, r.version, r.fpath, r.label, r.pair_hash, arg_m
 SELECT DISTINCT owner, project, version, fpath, b[1] AS sline, b[2] AS scol, b[3] AS eline, b[4] AS ecol, b[5] AS ftype, label, pair_hash FROM h""", ("regions", "functions"))
 def enclosing_function(spark: SparkSession, d: str) -> DataFrame:
     """J06, F17."""
-    f = rows.keep_first(given(spark, d, "functions"), joins.FILE + ["ftype", "ord"], ["sline", "eline"])
-    return joins.enclosing_function(given(spark, d, "regions"), f, lines=100)
+    keys = joins.FILE + ["ftype", "ord"]
+    f = given(spark, d, "functions").groupBy(*keys).agg(F.min(F.struct("sline", "eline", "scol", "ecol")).alias("r")).select(*keys, "r.*")
+    return joins.enclosing_function(given(spark, d, "regions"), f)
 
 
 @query("""SELECT DISTINCT f.owner, f.fpath, f.sline, f.eline, f.ftype, r.cwe, r.sfp FROM functions_in f LEFT JOIN (SELECT owner, project, version, fpath, sline - 1 AS sline, 0 AS scol, eline + 3 AS eline, 1 AS ecol, label AS cwe, 's1' AS sfp FROM regions_in WHERE label <> 'safe') r USING (owner, project, version, fpath, sline, scol, eline, ecol)""", ("functions", "regions"))
@@ -184,13 +185,25 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return given(spark, d, _PAIRS)
 
 
-@query()
+#: Lines of _PAIRS by number: those with "the " differ, and two are added; lines changed one after another are a hunk.
+_CHANGED = """t AS (SELECT doc_id AS id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), l AS (SELECT id, len(a) AS n, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS i FROM t),
+c AS (SELECT id, n, i, line, replace(line, 'the ', 'THE ') AS other FROM l WHERE contains(line, 'the ') UNION ALL SELECT id, len(a), len(a) + 1, NULL, '// note' FROM t UNION ALL SELECT id, len(a), len(a) + 2, NULL, 'end' FROM t),
+h AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS hunk FROM c)"""
+
+
+@query(f"""WITH {_CHANGED}, e AS (SELECT id, n, hunk, 'a' AS side, i, line FROM h WHERE line IS NOT NULL UNION ALL SELECT id, n, hunk, 'b', i, other FROM h),
+k AS (SELECT * FROM e WHERE trim(line, ' ') <> '' AND NOT starts_with(ltrim(line, ' '), '//') AND NOT starts_with(ltrim(line, ' '), '/*')),
+p AS (SELECT id, hunk, sha1('o_p_a.js_v1_' || coalesce(string_agg(i::VARCHAR, '_' ORDER BY i) FILTER (side = 'a'), '') || '_v2_' || coalesce(string_agg(i::VARCHAR, '_' ORDER BY i) FILTER (side = 'b'), '')) AS pair_hash FROM k GROUP BY 1, 2),
+r AS (SELECT id, 1.0::DOUBLE - count(*)::DOUBLE / (2 * first(n) + 2) AS sim_ratio FROM k GROUP BY 1)
+SELECT 'o' AS owner, 'p' AS project, CASE side WHEN 'a' THEN 'v1' ELSE 'v2' END AS version, 'a.js' AS fpath, i AS sline, 0 AS scol, i AS eline, length(line)::INT AS ecol, CASE side WHEN 'a' THEN 'unsafe' ELSE 'safe' END AS label, pair_hash, round(sim_ratio, 9) AS sim_ratio FROM k JOIN p USING (id, hunk) JOIN r USING (id)""")
 def line_diff(spark: SparkSession, d: str) -> DataFrame:
-    """D01, A11; rows are checked against a plain diff in the tests."""
-    return patches.line_diff(_pairs(spark, d))
+    """D01, A11."""
+    return patches.line_diff(_pairs(spark, d)).withColumn("sim_ratio", F.round("sim_ratio", 9))
 
 
-@query()
+@query(f"""WITH {_CHANGED}, g AS (SELECT *, i - lag(i) OVER (PARTITION BY id ORDER BY i) - 1 > 6 AS cut FROM h), s AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY id ORDER BY i) AS part FROM g),
+f AS (SELECT id, min(i) AS low, max(i) AS high, count(line) AS olds FROM s WHERE part = 0 GROUP BY 1), b AS (SELECT doc_id AS id, string_split(text, chr(10)) AS a, string_split(replace(text, 'the ', 'THE ') || chr(10) || '// note' || chr(10) || 'end', chr(10)) AS b FROM documents)
+SELECT id, CASE WHEN olds > 0 THEN array_to_string(a[greatest(low - 3, 1) : high + 3], chr(10)) END AS vuln_snippet, array_to_string(b[greatest(low - 3, 1) : high + 3], chr(10)) AS fix_snippet FROM f JOIN b USING (id)""")
 def paired_snippets(spark: SparkSession, d: str) -> DataFrame:
     """D03."""
     return patches.paired_snippets(_pairs(spark, d))
@@ -204,7 +217,13 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return filters.nonempty_code(patches.to_samples(t, fix=True), "input").select("id", "tag", "label", "cwe_id", F.md5("input").alias("h"))
 
 
-@query()
+def _share(seed: int, name: str) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || id || ':{name}'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, text, string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) AS n, CASE WHEN doc_id % 2 = 0 THEN 4 END AS v FROM documents),
+s AS (SELECT *, round_even((coalesce(v, floor({_share(3, 'v')} * (round(n * 0.05) + 1))) + floor({_share(3, 'f')} * (round(n * 0.25) + 1))) / 2.0, 0)::INT AS size FROM t), r AS (SELECT *, floor({_share(3, 's')} * (CASE WHEN n > size THEN n - size ELSE round(n / 2) END + 1))::INT AS start FROM s)
+SELECT id, CASE WHEN coalesce(text, '') <> '' THEN coalesce(array_to_string(lines[start + 1 : start + size], chr(10)), '') END AS snippet FROM r""")
 def random_snippets(spark: SparkSession, d: str) -> DataFrame:
     """D04."""
     t = given(spark, d, "SELECT doc_id AS id, text, CASE WHEN doc_id % 2 = 0 THEN 4 END AS size_vuln, CAST(NULL AS INT) AS size_fix FROM {documents}")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom import sinks
-from patchloom.operators import joins, splits
+from patchloom.operators import joins, patches, splits
+from patchloom.plans import dataset
 from patchloom.plans.inputs import SELECTS, given
 from patchloom.plans.registry import query
 from patchloom.session import scratch_dir
-from patchloom.sources import files
+from patchloom.sources import files, lookups
 
 
 def _objects(rows: DataFrame, *folders: str) -> DataFrame:
@@ -166,3 +171,78 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """B11's neighbours, exact over all pairs of blocks."""
     e = given(spark, d, "SELECT vec_id AS id, embedding AS vector FROM {embeddings} WHERE label % 5 = 0")
     return splits.nearest(e, 5).select("a", "b", F.round("d", 6).alias("d"))
+
+
+class _Threshold:
+    """A model that predicts 1 from a score of 0.5 on."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
+
+
+@query("""SELECT doc_id AS id, quality AS label, (doc_id % 100)::DOUBLE / 100 AS score, ((doc_id % 100)::DOUBLE / 100 >= 0.5)::INT AS predicted FROM labels""")
+def predictions_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """K08."""
+    path = scratch_dir(spark, "predictions")
+    sinks.write_predictions(_Threshold(), given(spark, d, "SELECT doc_id AS id, quality AS label, CAST(doc_id % 100 AS DOUBLE) / 100 AS score FROM {labels}"), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT doc_id AS id, (quality = 0)::INT AS label, n FROM (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n FROM labels)""")
+def code_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches, one of them sent twice."""
+    path = scratch_dir(spark, "code-batches")
+    rows = given(spark, d, "SELECT doc_id, quality, CASE WHEN quality = 1 THEN 'safe' ELSE 'unsafe' END AS label, CAST(doc_id AS STRING) AS input FROM {labels}")
+    for batch in (0, 1, 0):
+        sinks.write_code_jsonl(rows.filter(F.col("quality") == batch), path, batch=str(batch))
+    found = sinks.read_code_jsonl(spark, path)
+    counts = found.groupBy("label").agg(F.count("*").alias("n"))
+    return found.join(counts, "label").select(F.col("code").cast("long").alias("id"), "label", "n")
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'unk' ELSE CASE s_suppkey % 2 WHEN 0 THEN 'server' ELSE 'utility' END END AS sw_type, CASE s_nationkey % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'D' END AS bf_class FROM supplier""")
+def lookup_files(spark: SparkSession, d: str) -> DataFrame:
+    """Lookups from a folder of YAML files, as a user keeps them, joined with rows by what they name."""
+    rows = given(spark, d, "SELECT s_suppkey AS id, 'o' || CAST(s_nationkey AS STRING) AS owner, 'p' || CAST(s_suppkey AS STRING) AS project, 'CWE-' || CAST(s_nationkey % 4 AS STRING) AS cwe_id FROM {supplier}")
+    types: dict[str, dict[str, str]] = {}
+    for r in rows.filter("id % 3 > 0").toLocalIterator():
+        types.setdefault(r.owner, {})[r.project] = "server" if r.id % 2 == 0 else "utility"
+    with tempfile.TemporaryDirectory() as folder:
+        (Path(folder) / "sw_type.yml").write_text(yaml.safe_dump({"sw_type": types}))
+        (Path(folder) / "mappings.yml").write_text(yaml.safe_dump({"mappings": {"bugs_framework": {"data": {"C": {"Op": {0: "zero"}}, "D": {"Op": {1: "one"}}}}}}))
+        tables = lookups.load_lookups(spark, folder)
+    classed = joins.bug_class(joins.software_type(rows, tables["software_type"]), tables["bug_class"])
+    return classed.select("id", "sw_type", "bf_class")
+
+
+_SHA = "sha1(CAST(o_orderkey AS STRING))"
+_END = "'https://github.com/o' || CAST(o_custkey % 50 AS STRING) || '/p' || CAST(o_orderkey % 7 AS STRING)"
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 50 AS o, o_orderkey % 7 AS p, sha1(o_orderkey::VARCHAR) AS sha FROM orders WHERE o_orderkey % 10 < 9 AND o_orderkey % 6 > 0),
+f AS (SELECT *, u.i FROM o, (VALUES (1), (2)) u(i) WHERE u.i = 1 OR k % 4 > 0),
+s AS (SELECT 'V' || k AS vuln_id, 'o' || o AS owner, 'p' || p AS project, CASE k % 5 WHEN 0 THEN 'B0' WHEN 1 THEN 'B1' WHEN 2 THEN 'B2' END AS bf_class, CASE WHEN p = 3 THEN 'server' ELSE 'unk' END AS sw_type, sha AS fixed_commit_hash, 'v' || k AS vuln_commit_hash,
+ CASE i WHEN 1 THEN 'src/a.js' ELSE 'src/b.js' END AS file_path, u.tag, CASE u.tag WHEN 'vuln' THEN 'unsafe' ELSE 'safe' END AS label, CASE u.tag WHEN 'vuln' THEN 'CWE-' || (k % 5) END AS cwe FROM f, (VALUES ('vuln'), ('fix')) u(tag))
+SELECT *, CASE WHEN ('0x' || substr(md5('21:' || fixed_commit_hash), 1, 8))::BIGINT / 4294967296.0 < 0.1 THEN 'test' WHEN ('0x' || substr(md5('21:' || fixed_commit_hash), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 'val' ELSE 'train' END AS split FROM s""")
+def dataset_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Advisories to fix commits, their metadata, cleaning, classes, changed files, samples and a split, one stage after another."""
+    o = f"SELECT o_orderkey, o_custkey, {_SHA} AS sha, {_END} AS repo FROM {{orders}}"
+    key = F.col("o_orderkey").cast("string")
+    orders = given(spark, d, o)
+    advisories = orders.select(
+        F.concat(F.lit("V"), key).alias("vuln_id"), F.array(F.concat(F.lit("CWE-"), (F.col("o_orderkey") % 5).cast("string"))).alias("cwe_id"), F.lit(1.0).alias("score"), F.lit("OSV").alias("dataset"),
+        F.array(F.when(F.col("o_orderkey") % 10 < 9, F.concat("repo", F.lit("/commit/"), "sha")).otherwise(F.concat(F.lit("https://example.com/"), key))).alias("refs"),
+    )
+    change = lambda status: F.struct(F.lit(1).alias("additions"), F.lit(1).alias("deletions"), F.lit(2).alias("changes"), status.alias("status"), F.lit("u").alias("raw_url"), F.lit("@@ -1,1 +1,1 @@\n-a\n+b").alias("patch"))
+    status = F.when(F.col("o_orderkey") % 4 == 0, "removed").otherwise("modified")
+    metadata = orders.select(
+        F.col("sha").alias("commit_sha"), F.lit(1).alias("chain_ord_pos"), F.col("sha").alias("last_fix_commit"), F.array(F.concat(F.lit("v"), key)).alias("before_first_fix_commit"),
+        F.when(F.col("o_orderkey") % 6 == 0, "Merge message of x").otherwise("fix").alias("message"),
+        F.create_map(F.lit("src/a.js"), change(F.lit("modified")), F.lit("src/b.js"), change(status), F.lit("src/test/c.js"), change(F.lit("modified"))).alias("files"),
+    )
+    classes = given(spark, d, "SELECT n_nationkey AS ord, 'data' AS category, 'B' || CAST(n_nationkey AS STRING) AS bf_class, 'op' AS operation, n_nationkey AS cwe, 't' AS title FROM {nation} WHERE n_nationkey < 3")
+    types = given(spark, d, "SELECT DISTINCT 'o' || CAST(o_custkey % 50 AS STRING) AS owner, 'P3 ' AS project, 'server' AS sw_type FROM {orders}")
+    files_ = dataset.build_dataset(dataset.fix_commits(advisories, classes).drop("bf_class", "operation", "cwe"), metadata, classes, types, ["js"])
+    coded = files_.withColumns({"vuln_code": F.lit("old"), "fix_code": F.lit("new"), "non_vuln_code": F.lit("")})
+    made = splits.split_random(patches.to_samples(coded, fix=True), 21, "fixed_commit_hash")
+    return made.select("vuln_id", "owner", "project", "bf_class", "sw_type", "fixed_commit_hash", "vuln_commit_hash", "file_path", "tag", "label", F.get("cwe_id", 0).alias("cwe"), "split")

@@ -159,30 +159,61 @@ def bag_cosine(spark: SparkSession, d: str) -> DataFrame:
     return splits.bag_cosine(b, queries=b.filter("id % 100 = 0")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+def _tokens(rows: str, where: str = "") -> str:
+    return f"""c AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(string_split(text, ' ')) AS token FROM {rows} WHERE text IS NOT NULL {where}) GROUP BY 1, 2), m AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)"""
+
+
+def _nearest_sql(k: int, asked: str = "true") -> str:
+    return f"""s AS (SELECT a.id AS a, b.id AS b, sum(a.n * b.n) / first(x.norm) / first(y.norm) AS similarity FROM c a JOIN c b ON a.token = b.token AND a.id <> b.id JOIN m x ON x.id = a.id JOIN m y ON y.id = b.id WHERE {asked} GROUP BY 1, 2),
+near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 12) DESC, b) <= {k})"""
+
+
+def _grown(seed: int, bags: str) -> str:
+    """Bags of smote_bags as id, label, tokens (joined); bags has id, label, text."""
+    return f"""{_tokens(bags, "AND label = 'unsafe'")}, {_nearest_sql(5)}, u AS (SELECT count(*) FILTER (label = 'unsafe') AS ones, count(*) AS every, greatest(0, count(*) // 2 - count(*) FILTER (label = 'unsafe')) AS wanted FROM {bags}),
+ns AS (SELECT a, list_sort(list(b)) AS near FROM near GROUP BY 1), r AS (SELECT greatest(1, (10 * wanted + greatest(1, ones) - 1) // greatest(1, ones)) AS rounds FROM u),
+tries AS (SELECT a, near, unnest(range(0, rounds))::INT AS t FROM ns, r), chosen AS (SELECT a, t, near[floor({_fraction(seed, "a || ':' || t")} * len(near))::INT + 1] AS b FROM tries),
+mixed AS (SELECT ch.a, ch.t, c.token, sum(c.n) / 2.0 AS mean FROM chosen ch JOIN c ON c.id = ch.a OR c.id = ch.b GROUP BY 1, 2, 3),
+times AS (SELECT a, t, token, round(mean + ({_fraction(seed + 1, "a || ':' || t || ':' || token")} - 0.5) * 0.4)::INT AS k FROM mixed),
+made AS (SELECT a, t, array_to_string(list_sort(flatten(list(list_resize([token], k, token)))), ' ') AS tokens FROM times WHERE k > 0 GROUP BY 1, 2),
+sorted AS (SELECT id, label, array_to_string(list_sort(string_split(text, ' ')), ' ') AS tokens FROM {bags}),
+fresh AS (SELECT * FROM made WHERE tokens NOT IN (SELECT tokens FROM sorted WHERE label = 'unsafe') QUALIFY row_number() OVER (PARTITION BY tokens ORDER BY t, a) = 1),
+grown AS (SELECT id, label, tokens FROM sorted, u WHERE label = 'safe' QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_random(seed, 'id')}, id) <= every // 2
+ UNION ALL SELECT id, label, tokens FROM sorted WHERE label = 'unsafe'
+ UNION ALL SELECT NULL, 'unsafe', tokens FROM fresh, u QUALIFY row_number() OVER (ORDER BY {_random(seed + 2, "t || ':' || a")}, t, a) <= wanted)"""
+
+
+@query(f"WITH bags AS (SELECT id, label, text FROM samples_in WHERE text IS NOT NULL), {_grown(12, 'bags')} SELECT id, label, tokens FROM grown", ("samples",))
 def smote_bags(spark: SparkSession, d: str) -> DataFrame:
-    """B12; its properties are tested."""
+    """B12."""
     return splits.smote_bags(_bags(spark, d), 12).withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query()
+@query(f"""WITH f AS (SELECT id, label, text, {_split(13, 'id', 0.2, 0.4)} AS split FROM samples_in WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label, array_to_string(list_sort(string_split(text, ' ')), ' ') ORDER BY id) = 1),
+bags AS (SELECT id, label, text FROM f WHERE split = 'train'), {_grown(13, 'bags')} SELECT id, label, text AS tokens, split FROM f WHERE split <> 'train' UNION ALL SELECT id, label, tokens, 'train' FROM grown""", ("samples",))
 def split_disjoint_smote(spark: SparkSession, d: str) -> DataFrame:
     """B10."""
     return splits.split_disjoint_smote(_bags(spark, d), 13).withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id AS id, CASE WHEN label % 5 = 0 THEN 'unsafe' ELSE 'safe' END AS label, embedding AS vector FROM embeddings), u AS (SELECT count(*) FILTER (label = 'unsafe') AS ones, count(*) AS every FROM e), w AS (SELECT *, greatest(0, every // 2 - ones) AS wanted FROM u),
+x AS (SELECT * FROM e WHERE label = 'unsafe'), p AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.vector, b.vector), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM x a JOIN x b ON a.id <> b.id),
+n AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5), k AS (SELECT wanted, greatest(1, (wanted + greatest(1, ones * least(5, greatest(1, ones - 1))) - 1) // greatest(1, ones * least(5, greatest(1, ones - 1)))) AS times FROM w),
+t AS (SELECT a, b, unnest(range(1, times + 1)) AS t, wanted FROM n, k), c AS (SELECT a, b, {_fraction(15, "a || ':' || b || ':' || t")} AS share FROM t QUALIFY row_number() OVER (ORDER BY {_random(14, "a || ':' || b || ':' || t")}, a, b, t) <= wanted),
+g AS (SELECT id, label, vector FROM e, w WHERE label = 'safe' QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_random(14, 'id')}, id) <= every // 2 UNION ALL SELECT id, label, vector FROM x
+ UNION ALL SELECT NULL, 'unsafe', list_transform(list_zip(y.vector, z.vector), lambda v: (v[1] + (v[2] - v[1]) * c.share)::FLOAT) FROM c JOIN x y ON y.id = c.a JOIN x z ON z.id = c.b)
+SELECT id, label, array_to_string(list_transform(vector, lambda v: round(v::DOUBLE * 1000000)::BIGINT), ' ') AS vector FROM g""")
 def smote_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """B11."""
+    """B11; entries in millionths."""
     e = given(spark, d, "SELECT vec_id AS id, CASE WHEN label % 5 = 0 THEN 'unsafe' ELSE 'safe' END AS label, embedding AS vector FROM {embeddings}")
-    return splits.smote_vectors(e, 14)
+    return splits.smote_vectors(e, 14).withColumn("vector", F.array_join(F.transform("vector", lambda v: F.round(v.cast("double") * 1000000).cast("long").cast("string")), " "))
 
 
-@query()
+@query(f"""WITH {_tokens('samples_in')}, {_nearest_sql(3, 'a.id % 100 = 0')} SELECT n.a, count(*) OVER (PARTITION BY n.a) AS neighbours, round(similarity, 9) AS similarity, x.text AS bag, y.text AS neighbour FROM near n JOIN samples_in x ON x.id = n.a JOIN samples_in y ON y.id = n.b""", ("samples",))
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """K09's report of nearest bags."""
+    """J14 with the three nearest, K09's report of nearest bags: the bags whose id is divisible by 100 against all."""
     bags = _bags(spark, d)
-    return neighbour_report(splits.bag_cosine(bags, 3, queries=bags.filter("id % 100 = 0")), bags)
+    return neighbour_report(splits.bag_cosine(bags, 3, queries=bags.filter("id % 100 = 0")), bags).withColumn("similarity", F.round("similarity", 9))
 
 
 def _contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -301,16 +332,22 @@ def _negatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return docs.filter("id % 3 = 0").drop("message"), negatives
 
 
-@query()
+_NEG_SQL = """docs AS (SELECT doc_id AS id, source AS project, 'u/' || source AS project_url, CASE WHEN doc_id % 10 < 3 THEN 'a.js' ELSE 'f' || (doc_id % 9) END AS file_path FROM documents)"""
+
+
+@query(f"""WITH {_NEG_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY project, file_path ORDER BY {_random(15, 'id')}, id) AS r FROM docs WHERE id % 3 = 0),
+n AS (SELECT DISTINCT project, md5(id::VARCHAR) AS sha, file_path FROM docs WHERE id % 3 > 0 AND id % 13 > 0), b AS (SELECT *, row_number() OVER (PARTITION BY project, file_path ORDER BY md5('15:' || sha || ':' || file_path), sha) AS r FROM n),
+g AS (SELECT project, file_path AS path, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM (SELECT project, file_path, 1 AS a, 0 AS b FROM v UNION ALL SELECT project, file_path, 0, 1 FROM n) GROUP BY 1, 2), z AS (SELECT project, sum(a) AS sa, sum(b) AS sb, greatest(sum(a), sum(b), max(a + b))::BIGINT AS m FROM g GROUP BY 1),
+o AS (SELECT project, path, a, b, 0 AS over FROM g UNION ALL SELECT project, NULL, m - sa, m - sb, 1 FROM z),
+w AS (SELECT *, sum(a) OVER p - a AS at_a, sum(b) OVER p - b AS at_b FROM o WINDOW p AS (PARTITION BY project ORDER BY over, {_random(16, "coalesce(path, '')")}, path)), s AS (SELECT project, max(at_b + b - at_a) AS shift, sum(a) AS m FROM w GROUP BY 1),
+x AS (SELECT v.*, (at_a + v.r - 1 + shift) % m AS place FROM v JOIN w ON v.project = w.project AND v.file_path = w.path JOIN s ON s.project = v.project), y AS (SELECT b.*, at_b + b.r - 1 AS place FROM b JOIN w ON b.project = w.project AND b.file_path = w.path)
+SELECT x.id, x.project, x.project_url, x.file_path, y.sha AS non_vuln_commit_hash, y.file_path AS non_vuln_file_path FROM x LEFT JOIN y ON x.project = y.project AND x.place = y.place""")
 def pair_negatives(spark: SparkSession, d: str) -> DataFrame:
     """J12."""
     vulnerable, negatives = _negatives(spark, d)
     return rows.pair_negatives(vulnerable, negatives, 15, ["aes", "access role"])
 
 
-_NEG_SQL = """docs AS (SELECT doc_id AS id, source AS project, 'u/' || source AS project_url, CASE WHEN doc_id % 10 < 3 THEN 'a.js' ELSE 'f' || (doc_id % 9) END AS file_path FROM documents)"""
-
-
 @query(f"""WITH {_NEG_SQL}, a AS (SELECT project, project_url, row_number() OVER (PARTITION BY project ORDER BY {_random(16, 'id')}, id) AS r FROM docs WHERE id % 3 = 0),
 n AS (SELECT project, md5(id::VARCHAR) AS sha, file_path FROM docs WHERE id % 3 > 0), b AS (SELECT project, sha, file_path, row_number() OVER (PARTITION BY project ORDER BY md5('16:' || sha || ':' || file_path), file_path) AS r FROM n)
 SELECT a.project, a.project_url, sha AS non_vuln_commit_hash, file_path AS non_vuln_file_path, 'non-vuln' AS dataset FROM a, (VALUES (1), (2)) u(i) JOIN b ON a.project = b.project AND b.r = (a.r - 1) * 2 + u.i""")

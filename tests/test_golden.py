@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import code, refs
 from patchloom.operators import aggregates, filters, joins, models, patches, rows, splits
-from patchloom.sinks import write_code_jsonl, write_splits
+from patchloom.sinks import read_code_jsonl, write_code_jsonl, write_splits
 from patchloom.sources import files, lookups
 from patchloom.streaming.advisories import commits_of, stream_osv_commits
 
@@ -89,9 +89,8 @@ def test_enclosing_function(spark):
     f = [("o", "p", "v", "f", 1, 0, 20, 1, "fn_dec", 0), ("o", "p", "v", "f", 3, 0, 10, 1, "fn_dec", 1), ("o", "p", "v", "f", 4, 0, 6, 1, "fn_exp", 0), ("o", "p", "v", "f", 30, 0, 40, 1, "fn_exp", 1)]
     r = [("o", "p", "v", "f", 5, 0, 5, 3, "unsafe", "h1"), ("o", "p", "v", "f", 31, 0, 32, 0, "safe", "h2"), ("o", "p", "v", "f", 90, 0, 91, 0, "safe", "h3"), ("o", "p", "v", "g", 5, 0, 5, 3, "safe", "h4")]
     regions, functions = spark.createDataFrame(r, place + ", label string, pair_hash string"), spark.createDataFrame(f, place + ", ftype string, ord int")
-    for lines in (None, 10):
-        found = {(x.sline, x.eline, x.ftype, x.label, x.pair_hash) for x in joins.enclosing_function(regions, functions, lines).collect()}
-        assert found == {(3, 10, "fn_dec", "unsafe", "h1"), (30, 40, "fn_exp", "safe", "h2")}
+    found = {(x.sline, x.eline, x.ftype, x.label, x.pair_hash) for x in joins.enclosing_function(regions, functions).collect()}
+    assert found == {(3, 10, "fn_dec", "unsafe", "h1"), (30, 40, "fn_exp", "safe", "h2")}
 
 
 def test_line_diff_is_a_plain_diff(spark):
@@ -193,8 +192,16 @@ def test_files(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a // b\n", "safe", "train"), ("c", "unsafe", "test")], "input string, label string, split string")
-    write_code_jsonl(df, f"{tmp_path}/j")
-    write_code_jsonl(df, f"{tmp_path}/j")
-    assert spark.read.json(f"{tmp_path}/j").groupBy("label").count().orderBy("label").collect() == [(0, 2), (1, 2)]
+    counts = lambda: read_code_jsonl(spark, f"{tmp_path}/j").groupBy("label").count().orderBy("label").collect()
+    assert counts() == []
+    assert write_code_jsonl(df, f"{tmp_path}/j") and write_code_jsonl(df, f"{tmp_path}/j")
+    assert counts() == [(0, 2), (1, 2)]
+    # A batch that is written again adds nothing, and one that fails in the middle nothing in part.
+    assert write_code_jsonl(df, f"{tmp_path}/j", batch="b/1") and not write_code_jsonl(df, f"{tmp_path}/j", batch="b/1")
+    broken = df.repartition(2).withColumn("input", F.when(F.col("label") == "safe", F.raise_error("stop")).otherwise(F.col("input")))
+    with pytest.raises(Exception, match="stop"):
+        write_code_jsonl(broken, f"{tmp_path}/j", batch="b/2")
+    assert counts() == [(0, 3), (1, 3)]
+    assert write_code_jsonl(df, f"{tmp_path}/j", batch="b/2") and counts() == [(0, 4), (1, 4)]
     write_splits(df, f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").filter("split = 'test'").count() == 1
