@@ -5,9 +5,12 @@ features are the phrases of its blocks (up to PHRASE words, digits alike), and i
 of its children. Over the pages of the host a phrase has the entropy of its spread, from 0 (on one page) to 1 (on all
 of them). A node's commonness is the mean entropy over its distinct phrases and those below it, and counts up to twice
 where the pages agree in the node's children; what is left to 1 is the node's importance. Branches of low importance
-are removed, unless the host's largest node is nearly as common, as where pages are copies. What a node's tag or name
-states (menu, footer, advert and the like) decides only for nodes whose importance does not, and for hosts with too few
-pages to compare. Scripts, forms, hidden parts and reader comments, which differ between pages like articles, go always.
+are removed, unless the host's largest node is nearly as common, as where pages are copies. The fewer pages a host has the
+less their agreement tells, so commonness is shrunk by m / (m + PRIOR) for m pages; a page alone shares nothing. What a
+node's tag or name states (menu, footer, advert and the like) removes it too, but not against its importance: a node that holds
+at least half of what is important on the host stays whatever its name. One rule holds for hosts of any size. Scripts,
+forms, hidden parts and reader comments, which differ between pages like articles, go always; and where what is left of a
+page lies by at least half in a stated main part, the rest of it goes.
 
 The tree exists only as counts by host, node and feature: tasks count their own pages first, and Spark adds these up.
 So no task holds the pages of a host.
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from patchloom.llm.common import written
 
 PHRASE = 6
+#: Pages without anything in common that count beside a host's own.
+PRIOR = 30
 #: Levels of a style path; elements nested deeper belong to the node at this depth.
 DEPTH = 64
 CONTENT, PRESENTATION, ROLE = 0, 1, 2
@@ -69,12 +74,12 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
     names = {k.lower(): (v or "").strip("\"'") for k, v in _NAME.findall(attributes)} if attributes else {}
     given = f"{names.get('class', '')} {names.get('id', '')}"
     label = ".".join(sorted(given.lower().split()))
-    style = _DIGITS.sub("0", f"{tag}.{label}" if label else tag) if label or tag not in _INLINE else ""
     words = set(re.findall("[a-z]+", f"{re.sub('(?<=[a-z])(?=[A-Z])', ' ', given)} {names.get('role', '')}".lower()))
     named = tag not in ("html", "body", "main", "article")
     hidden = "hidden" in names or names.get("aria-hidden", "") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
     hard = hidden or tag in _HARD_TAGS or named and bool(words & _HARD_NAMES)
     soft = tag in _SOFT_TAGS or named and bool(words & _SOFT_NAMES)
+    style = _DIGITS.sub("0", f"{tag}.{label}" if label else tag) if label or tag not in _INLINE else ""
     return style, tag in _MAIN or names.get("role") == "main", hard, soft, tag == "header" or "header" in words
 
 
@@ -270,31 +275,35 @@ def style_counts(pages: DataFrame, limit: int = 200_000) -> DataFrame:
     return made.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def low_branches(counts: DataFrame, least: float = 0.9, fewest: int = 30) -> DataFrame:
-    """host and paths (a sorted array of nodes to remove, perhaps empty) for the hosts of at least fewest pages.
+def low_branches(counts: DataFrame, least: float = 0.9, share: float = 0.5) -> DataFrame:
+    """host and paths (a sorted array of nodes to remove, perhaps empty) for all hosts.
 
     A node goes when its importance is below least and its commonness is over twice that of the host's node with most
-    phrases, or when its importance does not settle it and it states a role.
+    phrases, or when it states a role and holds less than this share of the host's importance (phrases, each counted by what
+    its entropy leaves to 1).
     """
     log = F.log(F.col("n").cast("double"))
     nodes = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(log).alias("logs"), F.sum(F.col("n") * log).alias("spread"), F.count("*").alias("features"))
     nodes = written(nodes, "style-tree")
-    hosts = nodes.filter((F.col("path") == "") & (F.col("kind") == PRESENTATION)).select("host", F.col("n").alias("m")).filter(F.col("m") >= fewest)
+    hosts = nodes.filter((F.col("path") == "") & (F.col("kind") == PRESENTATION)).select("host", F.col("n").alias("m"))
     content = nodes.filter(F.col("kind") == CONTENT).join(hosts, "host").select("host", "path", "logs", "features", "m")
     # A node has the phrases of all nodes below it, so each content row goes to every prefix of its path.
     parts = F.split("path", ">")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ">"))
     below = content.select("host", "m", "logs", "features", F.explode(prefixes).alias("node")).filter(F.col("node") != "")
-    spread = below.groupBy("host", "node").agg((F.sum("logs") / F.sum("features") / F.log(F.max("m").cast("double"))).alias("entropy"))
+    per = F.try_divide(F.sum("logs"), F.log(F.max("m").cast("double")))  # entropies summed up; null for a page alone
+    spread = below.groupBy("host", "node").agg(F.coalesce(per, F.lit(0.0)).alias("spread"), F.sum("features").alias("features"), F.max("m").alias("m"))
+    spread = spread.select("host", "node", (F.col("spread") / F.col("features") * F.col("m") / (F.col("m") + PRIOR)).alias("entropy"), (F.col("features") - F.col("spread")).alias("own"))
     # Of the children's sequences: 0 where all pages agree, 1 where all differ.
     differ = F.when(F.col("n") > 1, (F.log(F.col("n").cast("double")) - F.col("spread") / F.col("n")) / F.log(F.col("n").cast("double"))).otherwise(0.0)
     shape = nodes.filter(F.col("kind") == PRESENTATION).select("host", F.col("path").alias("node"), differ.alias("differ"))
-    common = spread.join(shape, ["host", "node"], "left").select("host", "node", (F.col("entropy") * (2 - F.coalesce("differ", F.lit(0.0)))).alias("common"))
-    largest = content.groupBy("host").agg(F.max_by("path", F.struct("features", "path")).alias("node"), F.max("m").alias("m"))
-    main = largest.join(common, ["host", "node"], "left").select("host", F.coalesce("common", F.lit(0.0)).alias("main"))
+    common = spread.join(shape, ["host", "node"], "left").select("host", "node", "own", (F.col("entropy") * (2 - F.coalesce("differ", F.lit(0.0)))).alias("common"))
+    largest = content.groupBy("host").agg(F.max_by("path", F.struct("features", "path")).alias("node"), (F.sum("features") - F.coalesce(per, F.lit(0.0))).alias("whole"))
+    main = largest.join(common, ["host", "node"], "left").select("host", "whole", F.coalesce("common", F.lit(0.0)).alias("main"))
     roles = nodes.filter(F.col("kind") == ROLE).select("host", F.col("path").alias("node"), F.lit(True).alias("role"))
     judged = common.join(roles, ["host", "node"], "full").join(hosts, "host").join(main, "host", "left")
-    low = F.coalesce((F.col("common") > 1 - least) & (F.col("common") > 2 * F.col("main")), F.lit(False)) | F.coalesce("role", F.lit(False))
+    often = F.coalesce((F.col("common") > 1 - least) & (F.col("common") > 2 * F.col("main")), F.lit(False))
+    low = often | F.coalesce(F.col("role") & (F.coalesce("own", F.lit(0.0)) < share * F.col("whole")), F.col("role"), F.lit(False))
     found = judged.groupBy("host").agg(F.collect_set(F.when(low, F.col("node"))).alias("paths"))
     return hosts.select("host").join(found, "host", "left").select("host", F.array_sort(F.coalesce("paths", F.array().cast("array<string>"))).alias("paths"))
 
@@ -302,7 +311,8 @@ def low_branches(counts: DataFrame, least: float = 0.9, fewest: int = 30) -> Dat
 def main_text(source: str | None, removed: frozenset[str] | None = None) -> str:
     """Blocks of one page without those in removed branches, each on a line of its own.
 
-    Without a tree (None), what elements state decides: the main part where there is one, without parts of other roles.
+    Without a tree (None), what elements state decides alone. A stated main part that holds at least half of what is left
+    is taken without the rest.
     """
     blocks = [b for b in Page(source or "").blocks if not b[3]]
     if removed is None:
@@ -310,15 +320,16 @@ def main_text(source: str | None, removed: frozenset[str] | None = None) -> str:
         return "\n".join(b[1] for b in [b for b in plain if b[2]] or plain)
     cut: dict[tuple[str, ...], bool] = {}
     kept = []
-    for path, text, *_ in blocks:
+    for path, text, main, *_ in blocks:
         if path not in cut:
             cut[path] = any(">".join(path[:k]) in removed for k in range(1, len(path) + 1))
         if not cut[path]:
-            kept.append(text)
-    return "\n".join(kept)
+            kept.append((text, main))
+    within = [text for text, main in kept if main]
+    return "\n".join(within if 2 * sum(map(len, within)) >= sum(len(text) for text, _ in kept) else (text for text, _ in kept))
 
 
-def extract_text(pages: DataFrame, limit: int = 32 << 20, least: float = 0.9, fewest: int = 30) -> DataFrame:
+def extract_text(pages: DataFrame, limit: int = 32 << 20, least: float = 0.9, share: float = 0.5) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars (code points).
 
     pages needs page_id, url and html; other columns are ignored. A null html counts as empty, and its text is empty; a
@@ -327,7 +338,7 @@ def extract_text(pages: DataFrame, limit: int = 32 << 20, least: float = 0.9, fe
     otherwise, where adaptive skew joins split a hot host.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = written(low_branches(style_counts(rows), least, fewest), "branches")
+    low = written(low_branches(style_counts(rows), least, share), "branches")
     size = low.agg(F.sum(64 + F.length(F.array_join("paths", "\n")) * 4)).first()[0] or 0
     joined = rows.join(F.broadcast(low) if size <= limit else low, "host", "left")
 
