@@ -1,7 +1,7 @@
 """Near-duplicate classes of vectors by random-hyperplane sign hashing, each link confirmed by its exact cosine.
 
 Nodes are distinct vectors, so exact copies never multiply. A node has a key in each of several tables: the signs of its
-products with a few random hyperplanes; and a sketch of 128 more signs. Nodes are first gathered into balls: in the first
+products with a few random hyperplanes; and a sketch of 256 more signs. Nodes are first gathered into balls: in the first
 tables every node looks at the smallest node of its bucket and, where that one lies within half the angle of a link, joins
 its ball. Any two members of a ball are thus linked, and need no comparison. In the tables' buckets, balls (most of them of
 one node) are then compared by their centres' sketches in blocks of bounded size, and the pairs left are settled by exact
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,11 @@ from patchloom.llm.near_dup import bounded, components
 BUCKET, MISSED = 256, 1e-5
 #: Tables in which nodes look for a ball, and tables whose buckets are compared in one round.
 BALL_TABLES, ROUND = 4, 16
-SKETCH = 128
+SKETCH = 256
 #: Nodes of a block.
 BLOCK = 1024
+#: The sketch as longs.
+LONGS = [f"s{i}" for i in range(SKETCH // 64)]
 #: Standard deviations by which a sketch may differ more than expected, and room for rounding in angles.
 SPREAD, ROUNDING = 5.0, 1e-7
 
@@ -65,7 +69,7 @@ def _signs(x: np.ndarray, planes: int, seed: int) -> np.ndarray:
 
 
 def signatures(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """node, unit (vector of length 1, little-endian doubles), keys (one a table), s1, s2 (sketch); nodes has node, vector."""
+    """node, unit (vector of length 1, little-endian doubles), keys (one a table), LONGS (sketch); nodes has node, vector."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean_worker()
@@ -78,9 +82,10 @@ def signatures(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                     x = np.stack([_unit(v) for v in part["vector"]])
                     keys = _signs(x, bits * tables, 1).reshape(len(x), tables, bits) @ weights + first + (np.int64(size) << 52)
                     sketch = np.packbits(_signs(x, SKETCH, 2), axis=1).view(np.int64)
-                    yield pd.DataFrame({"node": part["node"], "unit": [v.astype("<f8").tobytes() for v in x], "keys": list(keys), "s1": sketch[:, 0], "s2": sketch[:, 1]})
+                    made = pd.DataFrame({"node": part["node"], "unit": [v.astype("<f8").tobytes() for v in x], "keys": list(keys)})
+                    yield made.assign(**{name: sketch[:, i] for i, name in enumerate(LONGS)})
 
-    return nodes.select("node", "vector").mapInPandas(sign, "node long, unit binary, keys array<long>, s1 long, s2 long")
+    return nodes.select("node", "vector").mapInPandas(sign, "node long, unit binary, keys array<long>, " + ", ".join(f"{c} long" for c in LONGS))
 
 
 def _cosines(pairs: DataFrame, u: str, v: str) -> DataFrame:
@@ -96,7 +101,8 @@ def _cosines(pairs: DataFrame, u: str, v: str) -> DataFrame:
 
 
 def _differ() -> Column:
-    return F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    """Signs in which a node's sketch and that of its bucket's head, in columns named with an h before, differ."""
+    return reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"h{c}"))) for c in LONGS])
 
 
 def _sketch_limit(angle: float) -> float:
@@ -107,9 +113,9 @@ def _sketch_limit(angle: float) -> float:
 
 def gathered(signed: DataFrame, most: float) -> DataFrame:
     """node, ball, angle of every node: ball is the node at its centre, at no more than most / 2."""
-    keys = signed.select("node", "s1", "s2", F.explode(F.slice("keys", 1, BALL_TABLES)).alias("key"))
-    heads = keys.groupBy("key").agg(F.min(F.struct("node", F.col("s1").alias("t1"), F.col("s2").alias("t2"))).alias("head"), F.count("*").alias("n"))
-    heads = written(heads.filter("n > 1").select("key", F.col("head.node").alias("centre"), "head.t1", "head.t2"), "vector-heads")
+    keys = signed.select("node", *LONGS, F.explode(F.slice("keys", 1, BALL_TABLES)).alias("key"))
+    heads = keys.groupBy("key").agg(F.min(F.struct("node", *[F.col(c).alias(f"h{c}") for c in LONGS])).alias("head"), F.count("*").alias("n"))
+    heads = written(heads.filter("n > 1").select("key", F.col("head.node").alias("centre"), *[f"head.h{c}" for c in LONGS]), "vector-heads")
     asked = keys.join(bounded(heads), "key").filter((F.col("node") != F.col("centre")) & (_differ() <= F.lit(_sketch_limit(most / 2)))).select("node", "centre").distinct()
     units = signed.select("node", "unit")
     pairs = asked.join(units, "node").join(units.select(F.col("node").alias("centre"), F.col("unit").alias("other")), "centre")
@@ -125,7 +131,7 @@ def gathered(signed: DataFrame, most: float) -> DataFrame:
 def _near_balls(rows: DataFrame) -> DataFrame:
     """Pairs (u, v) of balls, u < v, whose centres' sketches allow a link, within blocks.
 
-    rows: block, side (0 or 1; in a block of one side alone its balls meet each other), ball, s1, s2, limit (a ball's share
+    rows: block, side (0 or 1; in a block of one side alone its balls meet each other), ball, LONGS, limit (a ball's share
     of the signs that may differ).
     """
 
@@ -138,13 +144,15 @@ def _near_balls(rows: DataFrame) -> DataFrame:
             if held:
                 own = pd.concat(held)
                 side, ball, limit = own["side"].to_numpy(), own["ball"].to_numpy(), own["limit"].to_numpy()
-                s = own[["s1", "s2"]].to_numpy().view(np.uint64)
+                s = own[LONGS].to_numpy().view(np.uint64)
                 alone = not side.any() or side.all()
                 rest = np.arange(len(s)) if alone else np.flatnonzero(side == 1)
                 asking = np.arange(len(s)) if alone else np.flatnonzero(side == 0)
                 for low in range(0, len(asking), 256):
                     a = asking[low : low + 256]
-                    apart = np.bitwise_count(s[a, None, 0] ^ s[None, rest, 0]) + np.bitwise_count(s[a, None, 1] ^ s[None, rest, 1])
+                    apart = np.zeros((len(a), len(rest)), np.uint16)
+                    for j in range(len(LONGS)):
+                        apart += np.bitwise_count(s[a, None, j] ^ s[None, rest, j])
                     i, j = np.nonzero(apart <= limit[a, None] + limit[None, rest])
                     u, v = ball[a[i]], ball[rest[j]]
                     out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[(u < v) if alone else (u != v)])
@@ -169,7 +177,7 @@ def _near_balls(rows: DataFrame) -> DataFrame:
 
 
 def candidate_balls(signed: DataFrame, balls: DataFrame, centres: DataFrame, tables: int) -> DataFrame:
-    """Distinct pairs (u, v) of balls that share a bucket of some table and whose sketches allow a link; centres: ball, s1, s2, limit."""
+    """Distinct pairs (u, v) of balls that share a bucket of some table and whose sketches allow a link; centres: ball, LONGS, limit."""
     placed = written(signed.select("node", "keys").join(balls.select("node", "ball"), "node").select("ball", "keys"), "vector-keys")
     found, centres = None, bounded(centres)
     for low in range(0, tables, ROUND):
@@ -180,7 +188,7 @@ def candidate_balls(signed: DataFrame, balls: DataFrame, centres: DataFrame, tab
         dealt = rows.join(sizes, "key").withColumn("own", own).select("ball", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         dealt = dealt.select("ball", block.alias("block"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        pairs = _near_balls(dealt.join(centres, "ball").select("block", "side", "ball", "s1", "s2", "limit")).distinct()
+        pairs = _near_balls(dealt.join(centres, "ball").select("block", "side", "ball", *LONGS, "limit")).distinct()
         pairs = written(pairs, "vector-pairs")
         removed(sizes)
         found = pairs if found is None else found.union(pairs)
@@ -253,12 +261,12 @@ def duplicate_vectors(df: DataFrame, cosine: float = 0.9, vector: str = "embeddi
 
     sizes = balls.join(nodes.select("node", "weight"), "node").groupBy("ball").agg(F.count("*").alias("members"), F.sum("weight").alias("weight"), (F.max("angle") + F.when(F.count("*") > 1, ROUNDING).otherwise(0.0)).alias("radius"))
     sizes = written(sizes, "vector-ball-sizes")
-    sketches = signed.select(F.col("node").alias("ball"), "s1", "s2", "unit").join(sizes, "ball")
+    sketches = signed.select(F.col("node").alias("ball"), *LONGS, "unit").join(sizes, "ball")
     # At a right angle sketches spread most; a ball's radius adds to the angle at which its members may still be linked.
     wider = SPREAD * math.sqrt(SKETCH) / 2 - _sketch_limit(most) + SKETCH * most / math.pi
     share = F.lit(_sketch_limit(most) / 2) + F.when(F.col("radius") > 0, F.col("radius") * SKETCH / math.pi + wider / 2).otherwise(0.0)
     centres = written(sketches.withColumn("limit", share), "vector-centres")
-    pairs = candidate_balls(signed, balls, centres.select("ball", "s1", "s2", "limit"), tables)
+    pairs = candidate_balls(signed, balls, centres.select("ball", *LONGS, "limit"), tables)
 
     side = lambda end, unit: centres.select(F.col("ball").alias(end), F.col("unit").alias(unit), F.col("radius").alias(f"radius_{end}"), F.col("weight").alias(f"weight_{end}"))
     met = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")

@@ -43,4 +43,4 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries())
-    assert numbers == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert numbers == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
