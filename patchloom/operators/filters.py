@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchloom.functions.refs import code_refs, file_extension, refs_of_source
@@ -48,8 +49,10 @@ def drop_projects(df: DataFrame, blacklist: list[str] | None, column: str = "com
 
 
 def by_language(df: DataFrame, languages: list[str], table: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
-    """Rows with one of the requested languages, and the extensions of those; unknown names are skipped."""
+    """Rows with one of the requested languages, and the extensions of those; unknown names are skipped with a warning."""
     known = [name for name in languages if name in table]
+    if unknown := [name for name in languages if name not in table]:
+        warnings.warn(f"no extensions are known for {', '.join(unknown)}", stacklevel=2)
     rows = df.filter(F.arrays_overlap("language", F.array(*map(F.lit, known)).cast("array<string>")))
     return rows, [e for name in known for e in table[name]]
 
@@ -122,8 +125,11 @@ def negative_candidates(files: DataFrame, excluded: DataFrame, extensions: list[
     return rows.filter(~F.lower("file_path").contains("test") & (F.col("status") == "modified") & file_extension(F.col("file_path")).isin(extensions))
 
 
-def nonempty_code(df: DataFrame, code: str = "code") -> DataFrame:
-    return df.filter(F.length(F.trim(code)) > 0)
+def nonempty_code(df: DataFrame, code: str = "code", lost: Observation | None = None) -> DataFrame:
+    """Rows whose code isn't null or blank; lost gets the number of others as lost["rows"], without another pass, once the result is used."""
+    good = F.coalesce(F.length(F.trim(code)) > 0, F.lit(False))
+    rows = df if lost is None else df.observe(lost, F.count_if(~good).alias("rows"))
+    return rows.filter(good)
 
 
 def quoted(keywords: list[str]) -> str:

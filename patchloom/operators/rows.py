@@ -37,9 +37,13 @@ def keep_last(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
 
 
 def dedup_fix_rows(df: DataFrame, sequence: str) -> DataFrame:
-    """Last row per all columns but dataset, score, cwe_id, project and the sequence."""
+    """Last row per all columns but dataset, score, cwe_id, project and the sequence.
+
+    Rows meet by two 64-bit digests of these columns instead of their values, some of which are long arrays.
+    """
     keys = [c for c in df.columns if c not in ("dataset", "score", "cwe_id", "project", sequence)]
-    return keep_last(df, keys, sequence)
+    placed = df.withColumns({"one_": F.xxhash64(*keys), "two_": F.xxhash64(F.lit(1), *keys)})
+    return keep_last(placed, ["one_", "two_"], sequence).drop("one_", "two_")
 
 
 def func_id(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -31,15 +31,14 @@ def code_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id AS id, (len(string_split(regexp_replace(text, '\\n$', ''), chr(10))))::INT AS loc, md5(text) AS hash, md5('o_p_v_' || doc_id || '_1_2_3_4') AS place_hash,
- sha1('o_p_a_v1_1_2_v2_3') AS pair, len(string_split(trim(string_split(text, chr(10))[1]), ' '))::INT AS contexts FROM documents WHERE text <> ''""")
+ sha1('o_p_a_v1_1_2_v2_3') AS pair, len(string_split(trim(text), ' '))::INT AS contexts FROM documents WHERE text <> ''""")
 def code_measures(spark: SparkSession, d: str) -> DataFrame:
     """T16, T17, T18."""
     t = given(spark, d, "SELECT doc_id AS id, text FROM {documents} WHERE text <> ''")
-    first = F.element_at(F.split("text", "\n"), 1)
     place = C.function_hash(pair_hash=F.lit(""), key=[F.lit(x) for x in ("o", "p", "v")] + [F.col("id")] + [F.lit(i) for i in (1, 2, 3, 4)])
     lits = [F.lit(x) for x in ("o", "p", "a", "v1")]
     pair = C.pair_hash(*lits, F.array(F.lit(1), F.lit(2)), F.lit("v2"), F.array(F.lit(3)))
-    return t.select("id", C.line_count(F.col("text")).alias("loc"), C.function_hash(pair_hash=F.md5("text"), key=[F.col("id")]).alias("hash"), place.alias("place_hash"), pair.alias("pair"), C.context_count(first).alias("contexts"))
+    return t.select("id", C.line_count(F.col("text")).alias("loc"), C.function_hash(pair_hash=F.md5("text"), key=[F.col("id")]).alias("hash"), place.alias("place_hash"), pair.alias("pair"), C.context_count(F.col("text")).alias("contexts"))
 
 
 @query("""SELECT o_orderkey AS id, 'o' || (o_custkey % 50) AS owner, 'p' AS project, 'v1' AS version, 'src/a' || o_orderkey || '.js' AS fpath, 'root/o' || (o_custkey % 50) || '/p/v1/src/a' || o_orderkey || '.js' AS whole,
@@ -165,16 +164,17 @@ def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return contexts.line_offsets(t.withColumn("line_no", F.col("p") + 1)).select("path", "line_no", "offset")
 
 
-@query("""WITH w AS (SELECT doc_id AS id, string_split(text, ' ')[1] AS a, string_split(text, ' ')[2] AS b FROM documents WHERE len(string_split(text, ' ')) > 2)
-SELECT id, CASE WHEN lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) = '' THEN lower(a) ELSE lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) END AS normal, regexp_matches(a, '^[a-zA-Z|]+$') AS legal,
- CASE WHEN regexp_matches(a, '^[a-zA-Z|]+$') THEN (CASE WHEN regexp_matches(b, '^[a-zA-Z|]+$') THEN 1 ELSE 0 END) END AS place, len(string_split(a || '|' || b, '|'))::INT AS parts FROM w WHERE lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) <> lower(regexp_replace(b, '[^a-zA-Z]', '', 'g'))""")
+@query("""WITH l AS (SELECT string_split(text, ' ') AS l FROM documents), w AS (SELECT DISTINCT unnest(list_zip(l[:-2], l[2:])) AS p FROM l WHERE len(l) > 1), v AS (SELECT p[1] AS a, p[2] AS b FROM w)
+SELECT a, b, CASE WHEN lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) = '' THEN lower(a) ELSE lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) END AS normal, regexp_matches(a, '^[a-zA-Z|]+$') AS legal,
+ CASE WHEN regexp_matches(a, '^[a-zA-Z|]+$') THEN (CASE WHEN regexp_matches(b, '^[a-zA-Z|]+$') THEN 1 ELSE 0 END) END AS place, len(string_split(a || '|' || b, '|'))::INT AS parts FROM v WHERE lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) <> lower(regexp_replace(b, '[^a-zA-Z]', '', 'g'))""")
 def words_and_names(spark: SparkSession, d: str) -> DataFrame:
-    """T24, T25."""
+    """All words that stand beside each other."""
     cut = F.split("text", " ")
-    w = given(spark, d, "SELECT doc_id AS id, text FROM {documents}").filter(F.size(cut) > 2).select("id", cut[0].alias("a"), cut[1].alias("b"))
+    both = F.arrays_zip(F.slice(cut, 1, F.size(cut) - 1).alias("a"), F.slice(cut, 2, F.size(cut) - 1).alias("b"))
+    w = given(spark, d, "SELECT text FROM {documents}").filter(F.size(cut) > 1).select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
     w = w.filter(F.lower(F.regexp_replace("a", "[^a-zA-Z]", "")) != F.lower(F.regexp_replace("b", "[^a-zA-Z]", "")))
     hit = R.first_match_word(F.col("a"), F.array("b", "a"))
-    return w.select("id", R.normalize_word(F.col("a")).alias("normal"), R.legal_name(F.col("a")).alias("legal"), hit["pos"].alias("place"), F.size(R.subtokens(F.concat_ws("|", "a", "b"))).alias("parts"))
+    return w.select("a", "b", R.normalize_word(F.col("a")).alias("normal"), R.legal_name(F.col("a")).alias("legal"), hit["pos"].alias("place"), F.size(R.subtokens(F.concat_ws("|", "a", "b"))).alias("parts"))
 
 
 _PAIRS = """SELECT d.doc_id AS id, 'o' AS owner, 'p' AS project, 'v1' AS a_version, 'v2' AS b_version, 'a.js' AS a_path, 'a.js' AS b_path, d.text AS a_text,

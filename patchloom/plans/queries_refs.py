@@ -148,8 +148,7 @@ _NVD_JSON = """SELECT o_custkey AS k, concat('{"cve": {"CVE_data_meta": {"ID": "
  CASE WHEN o_orderkey % 3 > 0 THEN 2.5::DOUBLE END AS exploitability, CASE WHEN o_orderkey % 3 > 0 THEN 6.4::DOUBLE END AS impact, '2020-05-06T01:02Z' AS published_date, '2021' AS last_modified_date, 'u1 u2' AS refs FROM orders""")
 def nvd_accessors(spark: SparkSession, d: str) -> DataFrame:
     """The feed's items as rows."""
-    item = schemas.NVD.removeprefix("CVE_Items array<struct<").removesuffix(">>")
-    raw = given(spark, d, _doubled(_NVD_JSON)).select(F.from_json("js", f"struct<{item}>").alias("item"))
+    raw = given(spark, d, _doubled(_NVD_JSON)).select(F.from_json("js", schemas.NVD_ITEM).alias("item"))
     return raw.select(*A.nvd_columns(F.col("item"))).withColumns({c: F.array_join(c, " ") for c in ("cwes", "refs")})
 
 

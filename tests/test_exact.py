@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import json
 import math
 import random
 import time
@@ -12,6 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from patchloom.operators import aggregates, contexts, filters, joins, models, patches, ranks, rows, splits
+from patchloom.sources import files
 
 
 def test_running_sums_over_many_ranges(spark):
@@ -314,3 +316,27 @@ def test_vocabulary_keeps_ties_at_its_edge(spark):
         found = {(r.kind, r.term) for r in contexts.vocab_histogram(df, size).collect()}
         edge = sorted((i // 3 + 1 for i in range(12)), reverse=True)[min(size, 12) - 1]
         assert found == {("word", f"w{i}") for i in range(12) if i // 3 + 1 >= edge or size > 12} | {("path", "p")}
+
+
+def test_feeds_are_read_in_splits(spark, tmp_path):
+    """One feed in several tasks, in any layout, with brackets, quotes and escapes within strings."""
+    odd = ['}, {"cve": [', 'a \\" } ] [ {', "\\\\", '"', "", "ünï } \\n", '{"CVE_Items": [']
+    items = [
+        {"cve": {"CVE_data_meta": {"ID": f"CVE-{i}"}, "problemtype": {"problemtype_data": [{"description": [{"value": f"CWE-{i % 9}"}]}]}, "description": {"description_data": [{"value": odd[i % len(odd)] + str(i)}]}, "references": {"reference_data": [{"url": "https://a/}"}, {"url": "b"}]}}, "impact": {} if i % 3 else {"baseMetricV2": {"severity": "LOW", "impactScore": 1.5}}, "publishedDate": "x"}
+        for i in range(1500)
+    ]
+    other = [{"cve": None, "name": "}"}, {"name": "["}]
+    for name, indent, feed in (("one", None, {"format": "M{I}TRE", "other": other, "CVE_Items": items}), ("pretty", 2, {"CVE_Items": items[:40], "other": other}), ("empty", None, {"CVE_Items": []})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(feed, indent=indent, ensure_ascii=name == "one") + "\n" * (name == "pretty"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        assert spark.read.text(f"{tmp_path}/one.json", lineSep="}").rdd.getNumPartitions() > 10
+        found = files.scan_nvd_feed(spark, [f"{tmp_path}/{n}.json" for n in ("one", "pretty", "empty")]).select("cve_id", "description", "impact").collect()
+        runs = [{"tool": {"rules": [{"id": "}"}]}, "results": [{"ruleId": "js/zipslip", "message": {"text": "{"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": f"o/p/v/f{i}.js"}, "region": {"startLine": i}}}]} for i in range(300)]}, {"results": [{"ruleId": "x", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "o/p/v/no.js"}}}]}]}]
+        (tmp_path / "r.sarif").write_text(json.dumps({"$schema": "s", "runs": runs}, indent=1))
+        findings = files.scan_sarif(spark, f"{tmp_path}/r.sarif").select("fpath", "sline", "label").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(f"CVE-{i}", odd[i % len(odd)] + str(i), None if i % 3 else 1.5) for i in [*range(1500), *range(40)]]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, findings)) == sorted((f"f{i}.js", i, "CWE-22") for i in range(300))
