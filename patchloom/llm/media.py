@@ -146,7 +146,8 @@ def media_columns(docs: DataFrame, path: str | None = None, text: str = "text",
     index = store_payloads(docs, path or shared_dir(docs.sparkSession, "media"), text)
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     rows = docs.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(padded(F.col(text)), 256).alias("digest"))
-    return rows.join(index, "digest").join(read_stored(index, read_payloads), "digest")
+    # Both sides of the first join have a digest once; only the second one sees how often documents share it.
+    return rows.join(index.join(read_stored(index, read_payloads), "digest"), "digest")
 
 
 def read_media(shard: str, offset: int, length: int) -> bytes:
