@@ -4,7 +4,8 @@ Words are runs of digits, letters and non-ASCII characters in ASCII lower case.
 benchmark item, or the whole of a shorter one. The distinct windows form a hash table by a 64-bit hash of their words,
 which is broadcast while its size is below a bound. One scan of the documents hashes the words from each place on, looks
 the hash up, and verifies each find by comparing the words; what leaves the scan is one row for each document, and one
-for each hit. Beyond the bound only hashes and places are shuffled, and the few documents with finds are read again.
+for each hit. Beyond the bound the hashes alone are broadcast, up to some millions of them, so that only places whose hash is
+a window's are shuffled, and the few documents with finds are read again; beyond that all places' hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows of up to so many bytes are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a hash in a broadcast table.
+KEY_BYTES = 24
 
 
 def _cut(text: Column) -> Column:
@@ -59,12 +62,12 @@ def _places(docs: DataFrame, sizes: list[int], *others: str) -> DataFrame:
     return placed.select(*columns, each.alias("x")).select(*columns, "x.size", "x.key")
 
 
-def found_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
+def found_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES, key_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Verified occurrences, and a row with a null start for each row of docs: doc_id, tie, n_words, start, size, item_ids."""
     table = benchmark_windows(benchmark, window)
     # One small job: the windows' bytes, and the sizes that occur, of which there are at most as many as window.
     n = F.sum(64 + 24 * F.size("window") + F.length(F.array_join("window", "")) * 4 + 8 * F.size("item_ids"))
-    total, sizes = table.agg(n, F.array_sort(F.collect_set("size"))).first()
+    total, sizes, count = table.agg(n, F.array_sort(F.collect_set("size")), F.count("*")).first()
     sizes = list(sizes) or [window]
     by_key = table.groupBy("key").agg(F.collect_list(F.struct("window", "size", "item_ids")).alias("windows"))
     own = lambda x: (x["size"] == F.col("size")) & (F.slice("w", F.col("i") + 1, x["size"]) == x["window"])
@@ -78,7 +81,9 @@ def found_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     places = _places(docs, sizes)
     kind = table.schema["item_ids"].dataType
     rows = places.filter(once_a_row).select("doc_id", "tie", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit(None).cast(kind).alias("item_ids"))
-    keys = places.filter("key IS NOT NULL").select("doc_id", "tie", "i", "size", "key").join(table.select("key").distinct(), "key", "left_semi")
+    known = table.select("key").distinct()
+    known = F.broadcast(known) if count * KEY_BYTES <= key_limit else known
+    keys = places.filter("key IS NOT NULL").select("doc_id", "tie", "i", "size", "key").join(known, "key", "left_semi")
     at = keys.join(table.select("key", F.col("size").alias("of"), "window", "item_ids"), "key").filter("size = of").select("doc_id", "tie", "i", "size", "window", "item_ids")
     few = at.select(F.col("doc_id").alias("its_doc"), F.col("tie").alias("its_tie")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("its_doc")) & (F.col("tie") == F.col("its_tie"))

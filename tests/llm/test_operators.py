@@ -158,8 +158,11 @@ def words10(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize("limit", [1 << 20, 0, -1])
+def test_decontamination(spark, limit, monkeypatch):
+    """limit: windows are broadcast, their hashes are, or nothing is."""
+    if limit < 0:
+        monkeypatch.setattr(decontamination, "KEY_BYTES", 1 << 40)
     items = [(1, "One two three four five six seven eight nine ten eleven"), (2, "short item HERE"), (3, None), (4, "!!"), (5, "same same same same same same same same same same same")]
     a, b, five = items[0][1], items[1][1], items[4][1]
     docs = [(1, f"x {a} y"), (2, "a short, item-here b"), (3, None), (4, ""), (5, f"{a} {a}"), (5, f"{a} {a}"), (6, "one two three four five six seven eight nine"), (7, f"{five} same"), (None, f"q {b}"), (8, "Ünïcode short item hereé"), (9, LONG + " " + a), (10, f"-- {a} --")]

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from patchloom.llm import katz, language, near_dup, quality, secrets
@@ -35,7 +36,7 @@ def test_quality_scores_recomputed_from_rules(spark):
     text = lambda i: " ".join("".join(rng.choice("abcDEf12#") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 50))) + ("\nsame" * (i % 4))
     rows = [(i, text(i)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    marked = written(quality.with_statistics(docs).withColumn("label_", (docs["doc_id"] % 4 > 1).cast("int")), "marked")
+    marked = written(quality.with_statistics(docs).withColumn("label_", F.when(F.col("doc_id") % 7 > 1, F.col("doc_id") % 4 > 1).otherwise(F.length("text") % 3 > 1).cast("int")), "marked")
     ensemble = quality.fit_rules(marked, "label_")
     assert len(ensemble.weights) > 2
     found = {r.doc_id: r.score for r in marked.select("doc_id", ensemble.score().alias("score")).collect()}
