@@ -9,6 +9,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -206,6 +207,42 @@ def test_knn_votes_of_the_nearest_rows(spark):
             assert got[i] == float(vote > 1e-12) or abs(vote) < 1e-9
 
 
+def test_grid_search_scores_every_point(spark):
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 6, (240, 5)).astype(float)
+    y = ((x[:, 0] + x[:, 1] > 6) ^ (x[:, 2] > 4)).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(v.tolist()), float(t)) for v, t in zip(x, y, strict=True)], ["features", "label"]).coalesce(1)
+    grid = {"maxDepth": [0, 4], "minInstancesPerNode": [1, 5]}
+    search = models.grid_search(df, DecisionTreeClassifier(seed=3), grid, folds=2, seed=5)
+    rows = df.withColumn("f", F.floor(F.rand(5) * 2)).persist()
+    want = []
+    for depth, least in itertools.product(*grid.values()):
+        found = []
+        for fold in range(2):
+            model = DecisionTreeClassifier(seed=3, maxDepth=depth, minInstancesPerNode=least).fit(rows.filter(f"f <> {fold}"))
+            a, b = np.array([(r.label, r.prediction) for r in model.transform(rows.filter(f"f = {fold}")).collect()]).T
+            found.append(np.corrcoef(a, b)[0, 1] if b.std() and a.std() else 0.0)
+        want.append(np.mean(found))
+    assert np.allclose(search.avgMetrics, want)
+    assert search.bestModel.getMaxDepth() == 4 and (np.array([r.prediction for r in search.transform(df).collect()]) == y).mean() > 0.8
+    (metrics,) = models.evaluate(search, df, "tree").collect()
+    assert metrics.TP + metrics.TN + metrics.FP + metrics.FN == 240 and metrics.model == "tree"
+
+
+def test_forest_and_linear_classifier_learn(spark):
+    rng = np.random.default_rng(14)
+    rows = [(" ".join(rng.choice(["eval", "input", "print", "x"], 12, p=[0.4, 0.3, 0.1, 0.2] if i % 2 else [0.02, 0.1, 0.58, 0.3])), float(i % 2)) for i in range(200)]
+    text = spark.createDataFrame(rows, "input string, label double")
+    features = models.count_features(text, 3)
+    counts = collections.Counter(t for t, _ in rows for t in t.split())
+    assert features.vocabulary == [t for t, _ in counts.most_common(3)]
+    made = models.with_features(text, features).select("features", "label")
+    first = made.first().features.toArray().tolist()
+    assert first == [float(rows[0][0].split().count(t)) for t in features.vocabulary]
+    for model in (models.train_forest(made, grid={"maxDepth": [3], "numTrees": [5]}), models.train_linear_svc(made, grid={"regParam": [0.1]})):
+        assert models.evaluate(model, made, "m").first().MCC > 0.9
+
+
 def test_adaboost_weights_and_plans(spark):
     rng = np.random.default_rng(12)
     x = rng.integers(0, 6, (300, 6)).astype(float)
