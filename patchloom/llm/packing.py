@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from patchloom.llm.common import lean_worker
+from patchloom.llm.common import lean_worker, rest_worker
 from patchloom.llm.encoding import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,6 +111,8 @@ def pack_documents(
         if group:
             flush()
         pieces.rest()
-        yield frame()
+        last = frame()
+        rest_worker()
+        yield last
 
     return docs.select("doc_id", "text").mapInPandas(pack, SCHEMA + ", ids binary")
