@@ -65,7 +65,7 @@ def test_collocations_equal_their_definition(spark, monkeypatch, block):
     rows = prose(1, 300) + [("en", ""), ("en", " \t\n"), ("und", "one two, one two one two")] + [("fr", "de la belle vie")] * 40 + [("en", "Beta alpha " * 300), ("en", "alpha")]
     real = phrases.token_blocks
     monkeypatch.setattr(phrases, "token_blocks", lambda batches: real(batches, block))  # pickled with the function that calls it
-    for least, top in ((5, 2000), (20, 7), (1, 50)):
+    for least, top in ((5, 2000), (20, 7), (1, 50)) if block == 400 else ((5, 2000),):
         assert as_set(phrases.collocations(texts(spark, rows), least, top)) == mined(rows, least, top)
 
 
