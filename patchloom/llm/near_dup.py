@@ -118,10 +118,10 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """node and each of its table keys."""
+def _keys(nodes: DataFrame, *others: str) -> DataFrame:
+    """node, other columns and each of its table keys."""
     pair_keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * 1000 + j))))
-    return nodes.select("node", F.explode(pair_keys).alias("key"))
+    return nodes.select("node", *others, F.explode(pair_keys).alias("key"))
 
 
 def star_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -213,16 +213,26 @@ def _stars(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return written(compared(stars.withColumn("comp", F.col("role").cast("long")).join(full, "node"), RESEMBLANCE), "stars")
 
 
-def _unsettled(members: DataFrame, star_links: DataFrame, percent: int) -> DataFrame:
-    """key, node of members (key, u: leader, node) that may link to one that doesn't resemble the leader, if a key has two or more.
+def _far(pairs: DataFrame, star_links: DataFrame, percent: int) -> DataFrame:
+    """u, node, fallen of distinct pairs (u: leader, node) whose node may link to one that doesn't resemble the leader.
 
     Distances 1 - J are a metric: a partner at the similarity asked for is nearer than RESEMBLANCE to the leader when
-    the member is nearer than settled. Keys all of whose members resemble the leader are done, as these share a cluster,
-    and keys of an equal group give it once.
+    the member is nearer than settled. Fallen ones don't resemble the leader themselves.
     """
     settled = RESEMBLANCE + 1 - percent / 100
-    known = star_links.select("u", F.col("v").alias("node"), (F.col("shared") >= F.lit(settled) * F.col("joint")).alias("near"))
-    left = written(members.join(known, ["u", "node"], "left").filter("near IS NULL OR NOT near").select("key", "node", F.col("near").isNull().alias("fallen")), "unsettled")
+    links = star_links.select("u", F.col("v").alias("node"), (F.col("shared") >= F.lit(settled) * F.col("joint")).alias("near"))
+    left = pairs.join(links.filter("near").select("u", "node"), ["u", "node"], "left_anti")
+    beside = links.filter("NOT near").select("u", "node", F.lit(False).alias("fallen"))
+    return written(left.join(beside, ["u", "node"], "left").select("u", "node", F.coalesce("fallen", F.lit(True)).alias("fallen")), "far")
+
+
+def _unsettled(members: DataFrame, far: DataFrame) -> DataFrame:
+    """key, node, n (of key) of members (key, u: leader, node) that are far from their leader, if a key has two or more.
+
+    Only far members are joined, so the many that are near a leader make no rows. Keys all of whose far members resemble
+    the leader are done, as these share a cluster, and keys of an equal group give it once.
+    """
+    left = written(members.join(far, ["u", "node"]).select("key", "node", "fallen"), "unsettled")
     mixed = F.xxhash64("node", F.lit(7))
     groups = left.groupBy("key").agg(F.count("*").alias("n"), F.max("fallen").alias("fallen"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(8))).alias("y"))
     once = groups.filter("n > 1 and fallen").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
@@ -231,20 +241,21 @@ def _unsettled(members: DataFrame, star_links: DataFrame, percent: int) -> DataF
 
 def rest_links(nodes: DataFrame, pairs: DataFrame, large: DataFrame, star_links: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Further star_links of members that chose new leaders, and compared pairs of those left at last that meet the similarity."""
-    settled = RESEMBLANCE + 1 - percent / 100
-    near = star_links.filter(F.col("shared") >= F.lit(settled) * F.col("joint")).select("u", "v")
-    far = pairs.join(near, ["u", "v"], "left_anti")
+    far = _far(pairs.select("u", F.col("v").alias("node")), star_links, percent)
     # Keys are made again for the few nodes that are far from a leader, instead of being kept for all.
-    known = written(far.select(F.col("v").alias("node")).distinct().join(nodes.select("node", "a", "b"), "node"), "far")
-    left = _unsettled(_keys(known).join(bounded(large), "key").filter("u <> node"), star_links, percent)
+    # A key is met only under a leader that its node is far from, of which a node has at most one a table.
+    known = written(far.groupBy("node").agg(F.collect_list("u").alias("leaders")).join(nodes.select("node", "a", "b"), "node"), "far-nodes")
+    led = bounded(written(large.join(far.select("u").distinct(), "u", "left_semi").select(F.col("key").alias("met"), "u"), "far-keys"))
+    left = _unsettled(_keys(known, "leaders").join(led, (F.col("key") == F.col("met")) & F.array_contains("leaders", F.col("u"))).select("key", "u", "node"), far)
     found = star_links
     for _ in range(STAR_ROUNDS - 1):
         if not left.limit(1).count():
             break
-        members = left.join(left.groupBy("key").agg(F.min("node").alias("u")), "key").filter("u <> node").select("key", "u", "node")
-        more = _stars(members.select("u", F.col("node").alias("v")).distinct(), full)
+        members = written(left.join(left.groupBy("key").agg(F.min("node").alias("u")), "key").filter("u <> node").select("key", "u", "node"), "members")
+        distinct = written(members.select("u", "node").distinct(), "member-pairs")
+        more = _stars(distinct.select("u", F.col("node").alias("v")), full)
         found = found.union(more)
-        left = _unsettled(members, more, percent)
+        left = _unsettled(members, _far(distinct, more, percent))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), blocks)
     dealt = lambda role, name: left.select(F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), name)).alias("block"), F.lit(role).alias("role"), "node", F.col("node").alias("comp"))
