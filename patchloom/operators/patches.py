@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
-from pyspark.sql.window import Window
 
 from patchloom.functions.code import change_status, hunk_lines, line_count, pair_hash
 from patchloom.functions.refs import repo_path
@@ -38,8 +37,9 @@ def fix_scenario(df: DataFrame, extensions: list[str] | None = None) -> DataFram
 
 def diff_blocks(diffs: DataFrame, extensions: list[str], key: str = "id", text: str = "diff") -> DataFrame:
     """key, start (line number from 0), a_path, b_path of a diff's file headers with one of the extensions, no tests, no /dev/null."""
-    lines = diffs.select(key, F.posexplode(F.split(text, "\n")).alias("start", "line"))
-    paired = lines.withColumn("next", F.lead("line").over(Window.partitionBy(key).orderBy("start")))
+    cut = diffs.select(key, F.explode(F.array(F.split(text, "\n"))).alias("lines_"))
+    both = F.arrays_zip(F.col("lines_").alias("line"), F.expr("slice(lines_, 2, size(lines_))").alias("next"))
+    paired = cut.select(key, F.posexplode(both).alias("start", "p_")).select(key, "start", "p_.line", "p_.next")
     ends = F.lit(False)
     for e in extensions:
         ends = ends | F.col("line").endswith(e)
