@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from patchloom.operators import joins, patches, splits
+from patchloom.operators import contexts, joins, patches, splits
 
 
 def _plan(df):
@@ -45,3 +45,33 @@ def test_diff_blocks_shuffles_nothing(spark):
     out = patches.diff_blocks(spark.createDataFrame([(1, diff), (2, None), (3, "+++ b/e.js")], "id long, diff string"), ["js"])
     assert "Window" not in _plan(out)
     assert [tuple(r) for r in out.collect()] == [(1, 1, "src/a.js", "src/b.js")]
+
+
+def test_memory_of_a_task_does_not_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    place = {"owner": "o", "project": "p", "version": "v"}
+    rows = [place | {"fpath": f"f{i}", "sline": i, "scol": 0, "eline": i + 1, "ecol": 1} for i in range(200)]
+    schema = "owner string, project string, version string, fpath string, sline int, scol int, eline int, ecol int"
+    labels = spark.createDataFrame([r | {"label": "CWE-1" if i % 2 else "safe", "sfp": "s"} for i, r in enumerate(rows)], schema + ", label string, sfp string")
+    out = joins.attach_cwe(spark.createDataFrame(rows, schema), labels)
+    assert "RepartitionByExpression [owner" in _plan(out) and ", 20" in _plan(out)
+    assert {r.fpath: r.cwe for r in out.collect()} == {f"f{i}": "CWE-1" if i % 2 else None for i in range(200)}
+
+
+def test_regions_meet_one_small_block(spark):
+    file = "owner string, project string, version string, fpath string, sline int, scol int, eline int, ecol int, "
+    bounds = [(1, 200), *[(i, i + w) for i in range(2, 60, 10) for w in (0, 3, 8)]]
+    f = spark.createDataFrame([("o", "p", "v", "f", a, 0, b, 9, "fn_dec", n) for n, (a, b) in enumerate(bounds)], file + "ftype string, ord int")
+    r = spark.createDataFrame([("o", "p", "v", "f", i, 1, i, 2, f"l{i}", "h") for i in range(1, 200, 3)], file + "label string, pair_hash string")
+    out = joins.enclosing_function(r, f)
+    wanted = {(f"l{i}", *max((n, a, b) for n, (a, b) in enumerate(bounds) if a <= i <= b)[1:]) for i in range(1, 200, 3)}
+    assert {(x.label, x.sline, x.eline) for x in out.collect()} == wanted
+    assert "[6,8]" in _plan(out)
+
+
+def test_contexts_of_a_long_row_reach_python_in_parts(spark):
+    df = spark.createDataFrame([(1, [f"w{i},p,w{i % 3}" for i in range(250)]), (2, []), (3, None)], "id long, contexts array<string>")
+    vocab = spark.createDataFrame([("word", "w1", 1), ("path", "p", 1)], "kind string, term string, n long")
+    out = contexts.context_membership(df, vocab)
+    assert "slice(" in _plan(out)
+    assert [(r.pos, r.context, r.is_full) for r in out.orderBy("pos").collect()] == [(i, f"w{i},p,w{i % 3}", i == 1) for i in range(250)]
