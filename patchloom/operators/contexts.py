@@ -17,6 +17,8 @@ from patchloom.operators.rows import seeded
 
 #: A vocabulary is sent to all tasks below this size.
 BROADCAST_BYTES = 64 << 20
+#: Contexts of a row that a Python task gets at once where their order in the row doesn't matter.
+PART = 100
 
 
 def context_terms(df: DataFrame, first_only: bool = True, key: str = "id") -> DataFrame:
@@ -79,10 +81,14 @@ def context_membership(df: DataFrame, vocab: DataFrame, key: str = "id") -> Data
             rows = np.asarray(pc.list_parent_indices(contexts))
             first = np.zeros(len(batch) + 1, np.int64)
             np.cumsum(pc.fill_null(pc.list_value_length(contexts), 0), out=first[1:])
-            pos = pa.array(np.arange(len(rows)) - first[rows], pa.int32())
+            pos = pa.array(np.arange(len(rows)) - first[rows] + np.asarray(batch.column(2))[rows], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pos, contexts.flatten(), pa.array(total == 3), pa.array(total > 0)], [key, "pos", "context", "is_full", "is_partial"])
 
-    return df.select(key, "contexts").mapInArrow(look, f"{key} {df.schema[key].dataType.simpleString()}, pos int, context string, is_full boolean, is_partial boolean")
+    # Long rows are cut, so that a batch's size does not go by the longest texts.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("contexts") - 1, F.lit(0)), F.lit(PART))
+    parts = df.select(key, F.explode(F.array("contexts")).alias("contexts")).select(key, "contexts", F.explode(starts).alias("at"))
+    parts = parts.select(key, F.slice("contexts", F.col("at") + 1, PART).alias("contexts"), "at")
+    return parts.mapInArrow(look, f"{key} {df.schema[key].dataType.simpleString()}, pos int, context string, is_full boolean, is_partial boolean")
 
 
 def _joined_membership(df: DataFrame, vocab: DataFrame, key: str = "id") -> DataFrame:
@@ -119,9 +125,14 @@ def sample_contexts(df: DataFrame, vocab: DataFrame, max_contexts: int, seed: in
                 at = np.arange(low, stop)
                 if len(at) > max_contexts:
                     head = f"{seed}:{names[i]}:" if names[i] is not None else f"{seed}:"
-                    partial = np.flatnonzero(total[low:stop])
-                    order = sorted((total[low + j] < 3, hashlib.md5(f"{head}{j}".encode()).hexdigest(), j) for j in partial.tolist())
-                    at = low + np.array(sorted(j for *_, j in order[:max_contexts]), np.int64)
+                    full, partial = (np.flatnonzero(own) for own in (total[low:stop] == 3, (total[low:stop] > 0) & (total[low:stop] < 3)))
+                    # Digests order only the kind that is cut.
+                    whole, cut_, room = (full[:0], full, max_contexts) if len(full) > max_contexts else (full, partial, max_contexts - len(full))
+                    if len(cut_) > room:
+                        digests = b"".join([hashlib.md5(f"{head}{j}".encode()).digest() for j in cut_.tolist()])
+                        high, last = np.frombuffer(digests, ">u8").reshape(-1, 2).T
+                        cut_ = cut_[np.lexsort((cut_, last, high))[:room]]
+                    at = low + np.sort(np.concatenate([whole, cut_]))
                     if not len(at):
                         continue
                 kept.append(at)
