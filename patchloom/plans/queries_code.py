@@ -169,9 +169,11 @@ SELECT a, b, CASE WHEN lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) = '' THEN
  CASE WHEN regexp_matches(a, '^[a-zA-Z|]+$') THEN (CASE WHEN regexp_matches(b, '^[a-zA-Z|]+$') THEN 1 ELSE 0 END) END AS place, len(string_split(a || '|' || b, '|'))::INT AS parts FROM v WHERE lower(regexp_replace(a, '[^a-zA-Z]', '', 'g')) <> lower(regexp_replace(b, '[^a-zA-Z]', '', 'g'))""")
 def words_and_names(spark: SparkSession, d: str) -> DataFrame:
     """All words that stand beside each other."""
-    cut = F.split("text", " ")
+    # Words are exploded from an array of one, so that a text is cut once.
+    cut = F.col("cut")
     both = F.arrays_zip(F.slice(cut, 1, F.size(cut) - 1).alias("a"), F.slice(cut, 2, F.size(cut) - 1).alias("b"))
-    w = given(spark, d, "SELECT text FROM {documents}").filter(F.size(cut) > 1).select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
+    t = given(spark, d, "SELECT text FROM {documents}").select(F.explode(F.array(F.split("text", " "))).alias("cut"))
+    w = t.filter(F.size(cut) > 1).select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
     w = w.filter(F.lower(F.regexp_replace("a", "[^a-zA-Z]", "")) != F.lower(F.regexp_replace("b", "[^a-zA-Z]", "")))
     hit = R.first_match_word(F.col("a"), F.array("b", "a"))
     return w.select("a", "b", R.normalize_word(F.col("a")).alias("normal"), R.legal_name(F.col("a")).alias("legal"), hit["pos"].alias("place"), F.size(R.subtokens(F.concat_ws("|", "a", "b"))).alias("parts"))
