@@ -1,8 +1,13 @@
 """Operators whose shuffles or memory once grew faster than their input."""
 
+import json
+
 import numpy as np
+import pytest
 
 from patchloom.operators import contexts, joins, patches, splits
+from patchloom.plans import queries_files
+from patchloom.sources import files
 
 
 def _plan(df):
@@ -75,3 +80,40 @@ def test_contexts_of_a_long_row_reach_python_in_parts(spark):
     out = contexts.context_membership(df, vocab)
     assert "slice(" in _plan(out)
     assert [(r.pos, r.context, r.is_full) for r in out.orderBy("pos").collect()] == [(i, f"w{i},p,w{i % 3}", i == 1) for i in range(250)]
+
+
+def _report(*uris):
+    return {"runs": [{"results": [{"ruleId": '"}{[', "locations": [{"physicalLocation": {"artifactLocation": {"uri": u}, "region": {"startLine": 7}}}]} for u in uris]}, {"results": [{"ruleId": "x"}]}]}
+
+
+def test_small_reports_are_parsed_where_they_are_read(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"{i}.sarif").write_text(json.dumps(_report(f"o/p/v/a{i}.js", f"o/p/v/b{i}.js"), indent=i))
+    found = lambda df: sorted((r.fpath, r.sline, r.label) for r in df.collect())
+    out = files.scan_sarif(spark, str(tmp_path))
+    assert "Window" not in _plan(out) and "Aggregate" not in _plan(out) and "Repartition" not in _plan(out)
+    wanted = sorted((f"{c}{i}.js", 7, "unsafe") for c in "ab" for i in range(3))
+    assert found(out) == wanted
+    monkeypatch.setattr(files, "WHOLE_BYTES", 0)
+    assert found(files.scan_sarif(spark, str(tmp_path))) == wanted
+
+
+@pytest.mark.parametrize("whole", [0, 8 << 20])
+def test_files_that_are_no_json_keep_their_whole_elements(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(files, "WHOLE_BYTES", whole)
+    text = json.dumps(_report("o/p/v/a.js", "o/p/v/b.js"))
+    (tmp_path / "cut.sarif").write_text(text[: text.index("b.js")])
+    (tmp_path / "marked.sarif").write_text("\ufeff" + text.replace(".js", "1.js"))
+    (tmp_path / "more.sarif").write_text(text.replace(".js", "2.js") + " }")
+    (tmp_path / "blank.sarif").write_text("")
+    found = {r.fpath for r in files.scan_sarif(spark, str(tmp_path)).collect()}
+    assert found == {"a.js", "a1.js", "b1.js", "a2.js", "b2.js"}
+
+
+def test_reports_are_dealt_out_once(spark, small, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 500)
+    plans = []
+    real = queries_files._stored
+    monkeypatch.setattr(queries_files, "_stored", lambda s, values, *rest, **more: plans.append(values._jdf.queryExecution().executedPlan().toString()) or real(s, values, *rest, **more))
+    queries_files.scan_sarif(spark, small)
+    assert plans[0].count("Exchange") == 1 and "REPARTITION_BY_NUM" in plans[0] and "l_orderkey" in plans[0].split("Exchange")[1].split("Scan")[0]
