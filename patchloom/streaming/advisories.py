@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions.refs import clean_github_refs, explode_chain, normalize_refs, split_github_urls
-from patchloom.operators.filters import filter_by_source, filter_code_refs
+from patchloom.operators.filters import filter_by_source, filter_code_refs, with_found
 from patchloom.sources import schemas
 from patchloom.sources.files import osv_columns
 
@@ -19,6 +19,5 @@ def stream_osv_commits(spark: SparkSession, path: str, source: str = "github") -
 
 def commits_of(advisories: DataFrame, source: str = "github") -> DataFrame:
     """One row for each fix commit of advisories with refs, on one source."""
-    rows = filter_code_refs(advisories.filter("refs is not null")).withColumn("code_refs", normalize_refs(F.col("code_refs"))).filter("code_refs is not null")
-    rows = filter_by_source(rows, source).withColumn("chain", clean_github_refs(split_github_urls(F.col("commits")))).filter("chain is not null")
-    return explode_chain(rows)
+    rows = with_found(filter_code_refs(advisories.filter("refs is not null")), "code_refs", normalize_refs(F.col("code_refs")))
+    return explode_chain(with_found(filter_by_source(rows, source), "chain", clean_github_refs(split_github_urls(F.col("commits")))))

@@ -4,10 +4,13 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from patchloom.functions import code
 from patchloom.operators import contexts, joins, patches, splits
 from patchloom.plans import queries_files
 from patchloom.sources import files
+from patchloom.streaming.advisories import commits_of
 
 
 def _plan(df):
@@ -117,3 +120,20 @@ def test_reports_are_dealt_out_once(spark, small, monkeypatch):
     monkeypatch.setattr(queries_files, "_stored", lambda s, values, *rest, **more: plans.append(values._jdf.queryExecution().executedPlan().toString()) or real(s, values, *rest, **more))
     queries_files.scan_sarif(spark, small)
     assert plans[0].count("Exchange") == 1 and "REPARTITION_BY_NUM" in plans[0] and "l_orderkey" in plans[0].split("Exchange")[1].split("Scan")[0]
+
+
+def test_references_and_hunks_are_cut_once(spark):
+    url = f"https://github.com/o/p/commit/{'ab12' * 10}"
+    df = spark.createDataFrame([(1, [f"{url}.patch,", "x"]), (2, ["https://example.com/a"]), (3, None), (4, [f"{url}.patch"])], "id long, refs array<string>")
+    out = commits_of(df)
+    joined = out.join(spark.createDataFrame([(url[-40:],)], "commit_sha string"), "commit_sha")
+    plan = _plan(joined)
+    # The pattern of a commit's URL, of a hash in it and of what stands before it: each in one place.
+    assert [plan.count(p) for p in ("(/commit/|/commits/)", "{5,40}", "{6,40}", "/commits?/")] == [1, 1, 1, 1]
+    assert {(r.id, r.commit_href, r.commit_sha) for r in out.collect()} == {(1, url, url[-40:]), (4, url, url[-40:])}
+    assert out.columns == ["id", "refs", "code_refs", "commits", "chain", "patch", "commit_href", "project", "commit_sha"]
+
+    patch = "@@ -1,2 +1,2 @@ f\n-a\n+b\n c\n@@ -9 +9 @@\n d\n+e"
+    hunks = spark.createDataFrame([(patch,), ("no header",), (None,)], "patch string").select(code.hunk_lines(F.col("patch")).alias("h"))
+    assert _plan(hunks).count("@@ .* @@") == 2  # the headers, and what is between them
+    assert [r.h and (r.h.deleted, r.h.added) for r in hunks.collect()] == [([1], [1, 10]), ([], []), None]
