@@ -100,15 +100,20 @@ def scan_nvd(spark: SparkSession, d: str) -> DataFrame:
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_custkey, l_linenumber""")
 def scan_commits(spark: SparkSession, d: str) -> DataFrame:
     """Files of a thousand orders' commits each, with a map of changed files."""
-    lines = given(spark, d, "SELECT o_orderkey, o_orderstatus, o_orderpriority, o_custkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_custkey, l_linenumber")
-    change = F.struct(F.concat(F.lit("src/"), F.col("l_linenumber").cast("string"), F.lit(".js")).alias("key"), F.struct(F.when(F.col("l_returnflag") == "R", "removed").otherwise("modified").alias("status")).alias("value"))
-    commits = lines.groupBy("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey").agg(F.map_from_entries(F.collect_list(change)).alias("files"))
-    made = commits.select(
+    orders = given(spark, d, "SELECT o_orderkey, o_orderstatus, o_orderpriority, o_custkey FROM {orders}")
+    lines = given(spark, d, "SELECT l_orderkey AS o_orderkey, l_linenumber, l_returnflag FROM {lineitem}")
+    n = lines.count() + orders.count()
+    flags = _dealt(lines, "o_orderkey", of=n).groupBy("o_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    changed = flags.groupBy("o_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("changes"))
+    commits = _dealt(orders, "o_orderkey", of=n).distinct().join(changed, "o_orderkey")
+    name = lambda c: F.concat(F.lit("src/"), c["l_linenumber"].cast("string"), F.lit(".js"))
+    change = lambda c: F.struct(name(c).alias("key"), F.struct(F.when(c["l_returnflag"] == "R", "removed").otherwise("modified").alias("status")).alias("value"))
+    made = _dealt(commits.withColumn("f", F.floor(F.col("o_orderkey") / 1000)), "f", of=n).select(
         F.md5(F.col("o_orderkey").cast("string")).alias("commit_sha"), F.col("o_orderstatus").alias("author"), F.col("o_orderpriority").alias("message"),
-        F.struct(F.col("o_custkey").cast("int").alias("additions")).alias("stats"), "files", F.floor(F.col("o_orderkey") / 1000).alias("f"),
+        F.struct(F.col("o_custkey").cast("int").alias("additions")).alias("stats"), F.map_from_entries(F.transform("changes", change)).alias("files"), "f",
     )
     whole = _objects(made, "f").groupBy("f").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
-    found = files.scan_commit_metadata(spark, _stored(spark, whole, "commits", "f"))
+    found = files.scan_commit_metadata(spark, _stored(spark, whole, "commits", "f", dealt=True))
     return found.select("commit_sha", "author", "message", "stats.additions", F.explode("files").alias("file_path", "c")).select("commit_sha", "author", "message", "additions", "file_path", F.col("c.status").alias("status"))
 
 

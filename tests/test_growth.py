@@ -1,6 +1,7 @@
 """Operators whose shuffles or memory once grew faster than their input."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -137,3 +138,16 @@ def test_references_and_hunks_are_cut_once(spark):
     hunks = spark.createDataFrame([(patch,), ("no header",), (None,)], "patch string").select(code.hunk_lines(F.col("patch")).alias("h"))
     assert _plan(hunks).count("@@ .* @@") == 2  # the headers, and what is between them
     assert [r.h and (r.h.deleted, r.h.added) for r in hunks.collect()] == [([1], [1, 10]), ([], []), None]
+
+
+def test_tasks_of_commit_files_grow_with_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 500)
+    plans = []
+    real = queries_files._stored
+    monkeypatch.setattr(queries_files, "_stored", lambda s, values, *rest, **more: plans.append(values._jdf.queryExecution().executedPlan().toString()) or real(s, values, *rest, **more))
+    rows = sum(spark.read.parquet(f"{small}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    found = queries_files.scan_commits(spark, small)
+    for key in ("o_orderkey", "f"):
+        assert re.search(rf"hashpartitioning\({key}#\d+L, {-(-rows // 500)}\), REPARTITION_BY_NUM", plans[0])
+    assert plans[0].count("Exchange hashpartitioning") == 3
+    assert found.count() == spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
