@@ -109,7 +109,7 @@ def test_files_that_are_no_json_keep_their_whole_elements(spark, tmp_path, monke
     (tmp_path / "cut.sarif").write_text(text[: text.index("b.js")])
     (tmp_path / "marked.sarif").write_text("\ufeff" + text.replace(".js", "1.js"))
     (tmp_path / "more.sarif").write_text(text.replace(".js", "2.js") + " }")
-    (tmp_path / "blank.sarif").write_text("")
+    (tmp_path / "blank.sarif").write_text(" \n")
     found = {r.fpath for r in files.scan_sarif(spark, str(tmp_path)).collect()}
     assert found == {"a.js", "a1.js", "b1.js", "a2.js", "b2.js"}
 
