@@ -86,6 +86,17 @@ def rest_worker() -> None:
         trim(0)
 
 
+def rest_executors(spark: SparkSession) -> None:
+    """Let the executors' heaps shrink to what is in use, before a stage that needs the room otherwise.
+
+    A heap that one stage has grown stays so for many minutes, as it shrinks at full collections alone, and counts beside
+    the Python workers of the next. There is a task for each core, so each executor gets one where all are free; one
+    that gets none just keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("append").save()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a folder or file URI; a plain path is local."""
     from pyarrow import fs

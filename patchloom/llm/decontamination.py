@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import ascii_lower, free_name, once, own_columns
+from patchloom.llm.common import ascii_lower, free_name, once, own_columns, written
+from patchloom.llm.near_dup import bounded
 
 #: What is not a word character, capital letters among the words' characters; text is cut at runs of these.
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -22,6 +23,8 @@ WINDOW = 10
 BROADCAST_BYTES = 32 << 20
 #: Bytes of a hash in a broadcast table.
 KEY_BYTES = 24
+#: Documents with hits, of some 100 bytes each in a table of them, are broadcast up to so many.
+BROADCAST_HITS = 300_000
 
 
 def _cut(text: Column) -> Column:
@@ -133,10 +136,13 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -
     return spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(tie)), hits
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the rows that hold an occurrence of a window; all columns kept, whatever their names, and null texts kept."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES, hit_limit: int = BROADCAST_HITS) -> DataFrame:
+    """docs without the rows that hold an occurrence of a window; all columns kept, whatever their names, and null texts kept.
+
+    The documents with hits are found and counted first; up to hit_limit of them are broadcast, so that no text is shuffled.
+    """
     spans, same, hits = _with_hits(docs, benchmark, window, limit)
-    return docs.join(spans.drop(hits), same, "left_anti")
+    return docs.join(bounded(written(spans.drop(hits), "contaminated"), hit_limit), same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:

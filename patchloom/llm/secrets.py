@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm.common import lean_worker
+
 #: Kinds in the order that ties in a list of spans follow.
 KINDS = ("assign", "access", "hex", "random_hex", "random_base32", "random_base36", "random_base64")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -134,6 +136,7 @@ def scan_secrets(docs: DataFrame, rate: float = 1e-5, text: str = "text") -> Dat
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean_worker()
         for batch in batches:
             out = []
             for value in batch["text"]:
@@ -159,6 +162,8 @@ def redact_secrets(docs: DataFrame, rate: float = 1e-5, mark: str = "[secret]")
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:
+        lean_worker()
+
         def one(value: str | None) -> str | None:
             if not value:
                 return value
